@@ -68,7 +68,7 @@ def _hashes(keys: list[bytes]) -> np.ndarray:
 
 def filter_bits(docs: DataFrame) -> int:
     """log2 of the filter's bits: about two bits for each byte of the stored input, within the bounds."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return int(np.clip(int(2 * size).bit_length(), MIN_BITS, MAX_BITS))
 
 
