@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import binaries, fresh, schema_with, slices, texts
+from tracewright.llm.common import binaries, fresh, schema_with, slices, strings
 from tracewright.llm.words import WordEncoder, drops_white_space, library_tokenizer
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
@@ -94,12 +94,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
             used += int(sequence.max()) + 1
             held.clear()
 
-        for batch in slices(batches, text, 1 << 20):
-            docs_here = texts(batch, text)
+        for batch in slices(batches, text):
             if by_word:
-                ids, n = words.encode(docs_here)
+                ids, n = words.encode(batch.column(text))
             else:
-                found = [e.ids for e in whole.encode_batch_fast([d.decode() for d in docs_here], add_special_tokens=False)]
+                found = [e.ids for e in whole.encode_batch_fast(strings(batch, text), add_special_tokens=False)]
                 ids, n = np.array([i for f in found for i in f], np.uint32), np.array([len(f) for f in found], np.int64)
             ids = np.insert(ids, np.cumsum(n), np.uint32(end_id))
             held.append((batch.drop_columns([text]), ids.astype("<u4", copy=False), n + 1))
