@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from tracewright.llm.byte_bpe import op4_byte_bpe
 from tracewright.llm.line_dedup import SQL_OP9, op9_line_dedup
+from tracewright.llm.max_score import SQL_OP5, op5_max_score
 from tracewright.llm.packing import op10_packing
+from tracewright.llm.pii import op2_pii
+from tracewright.llm.quality_model import op3_quality_model
 from tracewright.llm.quality_rules import SQL_OP6, op6_quality_rules
 from tracewright.llm.token_counts import op7_token_counts
 
 
 def queries() -> dict:
-    return {"op4_byte_bpe": op4_byte_bpe, "op6_quality_rules": op6_quality_rules, "op7_token_counts": op7_token_counts, "op9_line_dedup": op9_line_dedup, "op10_packing": op10_packing}
+    return {
+        "op2_pii": op2_pii,
+        "op3_quality_model": op3_quality_model,
+        "op4_byte_bpe": op4_byte_bpe,
+        "op5_max_score": op5_max_score,
+        "op6_quality_rules": op6_quality_rules,
+        "op7_token_counts": op7_token_counts,
+        "op9_line_dedup": op9_line_dedup,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": SQL_OP6, "op9_line_dedup": SQL_OP9}
+    return {"op5_max_score": SQL_OP5, "op6_quality_rules": SQL_OP6, "op9_line_dedup": SQL_OP9}
