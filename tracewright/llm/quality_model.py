@@ -81,7 +81,7 @@ def fit(figures: np.ndarray, good: np.ndarray, rounds: int = 400, rate: float =
     raw = x @ w
     cut = float(np.quantile(raw, (~good).mean()))
     slope, best = 1.0, np.inf
-    for k in np.geomspace(0.05, 20, 40):  # the scale of the likeliest scores
+    for k in np.geomspace(0.05, 1, 40) * min(20, 25 / max(np.abs(raw - cut).max(), 1e-9)):  # the scale of the likeliest scores
         z = np.clip(k * (raw - cut) + np.log(CUT / (1 - CUT)), -30, 30)
         loss = np.mean(np.logaddexp(0, np.where(good, -z, z)))
         if loss < best:

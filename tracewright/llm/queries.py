@@ -9,11 +9,13 @@ from tracewright.llm.packing import op10_packing
 from tracewright.llm.pii import op2_pii
 from tracewright.llm.quality_model import op3_quality_model
 from tracewright.llm.quality_rules import SQL_OP6, op6_quality_rules
+from tracewright.llm.suffix_dedup import op1_suffix_dedup
 from tracewright.llm.token_counts import op7_token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_pii": op2_pii,
         "op3_quality_model": op3_quality_model,
         "op4_byte_bpe": op4_byte_bpe,
