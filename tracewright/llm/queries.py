@@ -5,6 +5,7 @@ from __future__ import annotations
 from tracewright.llm.byte_bpe import op4_byte_bpe
 from tracewright.llm.line_dedup import SQL_OP9, op9_line_dedup
 from tracewright.llm.max_score import SQL_OP5, op5_max_score
+from tracewright.llm.near_dedup import op8_near_dedup
 from tracewright.llm.packing import op10_packing
 from tracewright.llm.pii import op2_pii
 from tracewright.llm.quality_model import op3_quality_model
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op5_max_score": op5_max_score,
         "op6_quality_rules": op6_quality_rules,
         "op7_token_counts": op7_token_counts,
+        "op8_near_dedup": op8_near_dedup,
         "op9_line_dedup": op9_line_dedup,
         "op10_packing": op10_packing,
     }
