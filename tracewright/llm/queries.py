@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from tracewright.llm.byte_bpe import op4_byte_bpe
 from tracewright.llm.line_dedup import SQL_OP9, op9_line_dedup
 from tracewright.llm.max_score import SQL_OP5, op5_max_score
@@ -26,6 +28,7 @@ def queries() -> dict:
         "op8_near_dedup": op8_near_dedup,
         "op9_line_dedup": op9_line_dedup,
         "op10_packing": op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
