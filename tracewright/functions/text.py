@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normal_text(text: Column) -> Column:
@@ -48,7 +49,7 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_subsequence(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
@@ -67,7 +68,7 @@ def text_similarity(found: Column, truth: Column) -> Column:
     return F.when(t == "", F.when(found != "", 0.5).otherwise(0.0)).when(f == t, 1.0).otherwise(score)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def line_score(found: pd.Series, truth: pd.Series) -> pd.Series:
     def one(fs, ts) -> float:
         best = [max((common_subsequence(f, t) / max(len(f), len(t)) for f in fs if f or t), default=0.0) if t else 0.0 for t in ts]
