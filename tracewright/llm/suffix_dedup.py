@@ -22,6 +22,7 @@ hashes that agree count as equal.
 
 from __future__ import annotations
 
+import io
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,13 +43,13 @@ BUCKET_KEYS = 2_000_000
 #: Bits of the hashes by which the cover sample is sorted; clashes only leave more suffixes to sort.
 SAMPLE_BITS = 44
 _BLOCK = "block_id long, n_bytes long, text binary, ends binary, rest binary"
-_SENT = "bucket int, block_id long, keys binary"
-_FLAGS = "block_id long, step int, bucket int, n long, bits binary, more binary"
+_SENT = "bucket long, block_id long, keys binary"
+_FLAGS = "block_id long, step int, bucket long, n long, bits binary, more binary"
 
 
 def cover(min_bytes: int) -> tuple[int, tuple[int, ...]]:
-    """The difference cover for strings of min_bytes: the largest that leaves a third of them to the sample."""
-    v = max(m for m in COVERS if 3 * m <= 2 * min_bytes or m == 1)
+    """The difference cover for strings of min_bytes: the largest of up to a third of them."""
+    v = max(m for m in COVERS if 3 * m <= min_bytes or m == 1)
     return v, COVERS[v]
 
 
@@ -102,21 +103,31 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Rolling:
-    """Hashes of any substrings of a block, from sums of byte values times powers of an odd base modulo 2**64."""
+#: Bytes that a hash's running sums cover at a time: what a processor cache holds.
+PIECE = 1 << 16
 
-    def __init__(self, data: np.ndarray, which: int):
-        base = _BASES[which]
-        values = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93 + 2 * which))
-        self.power = np.ones(len(data) + 1, np.uint64)
-        np.multiply.accumulate(np.full(len(data), base), out=self.power[1:]) if len(data) else None
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * self.power[:-1], out=self.sums[1:])
-        inverse = np.uint64(pow(int(base), -1, 2**64))
-        np.multiply.accumulate(np.full(len(data), inverse), out=self.power[1:]) if len(data) else None
 
-    def at(self, positions: np.ndarray, length: int) -> np.ndarray:
-        return _mixed((self.sums[positions + length] - self.sums[positions]) * self.power[positions])
+class Rolling:
+    """Hashes of substrings of one length, from sums of byte values times powers of an odd base modulo 2**64."""
+
+    def __init__(self, which: int, length: int):
+        base, self.length = int(_BASES[which]), length
+        self.values = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93 + 2 * which))
+        powers = lambda b: np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(PIECE + length - 1, np.uint64(b)))))
+        self.power, self.inverse = powers(base), powers(pow(base, -1, 2**64))
+
+    def at(self, data: np.ndarray, positions: np.ndarray) -> np.ndarray:
+        """The hashes of the substrings that begin at the positions, which ascend."""
+        out = np.empty(len(positions), np.uint64)
+        sums = np.zeros(PIECE + self.length + 1, np.uint64)
+        bounds = np.searchsorted(positions, np.arange(0, len(data) + PIECE, PIECE))
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            if a < b:
+                piece = data[i * PIECE : (i + 1) * PIECE + self.length]
+                np.cumsum(self.values[piece] * self.power[: len(piece)], out=sums[1 : len(piece) + 1])
+                own = positions[a:b] - i * PIECE
+                out[a:b] = (sums[own + self.length] - sums[own]) * self.inverse[own]
+        return _mixed(out)
 
 
 class Keys:
@@ -132,8 +143,7 @@ class Keys:
         self.which = np.empty(len(high), np.int64)
         self.which[order] = np.cumsum(new) - 1
         self.high, self.low = high[new], None if low is None else low[new]
-        counts = np.bincount(self.which, minlength=len(self.high))
-        self.here_again = counts > 1
+        self.here_again = np.bincount(self.which, minlength=len(self.high)) > 1
         self.asks = None if asks is None else np.bincount(self.which[asks], minlength=len(self.high)) > 0
 
     def sent(self, block: int, bits: int, width: int) -> list[tuple[int, int, bytes]]:
@@ -143,69 +153,109 @@ class Keys:
         part = lambda x, b: None if x is None else x[bounds[b] : bounds[b + 1]]
         return [(int(b), block, packed_keys(part(self.high, b), part(self.low, b), part(self.asks, b))) for b in np.flatnonzero(np.diff(bounds))]
 
-    def bits(self, flags: list[tuple[int, int, bytes, bytes]], field: int = 2) -> np.ndarray:
-        """The bitmaps (bucket, number of keys, bits, more bits) of all buckets in a row."""
-        found = [np.unpackbits(np.frombuffer(_expand(f[field]), np.uint8), count=f[1]) for f in sorted(flags)]
-        return np.concatenate(found).astype(bool) if found else np.zeros(len(self.high), bool)
-
     def with_(self, chosen: np.ndarray) -> np.ndarray:
         """The positions of the chosen keys."""
         return self.positions[chosen[self.which]]
 
 
+def _bits(flags: list[tuple[int, int, bytes, bytes]], field: int = 2) -> np.ndarray:
+    """The bitmaps (bucket, number of keys, bits, more bits) of all buckets in a row."""
+    found = [np.unpackbits(np.frombuffer(_expand(f[field]), np.uint8), count=f[1]) for f in sorted(flags) if f[0] >= 0]
+    return np.concatenate(found).astype(bool) if found else np.zeros(0, bool)
+
+
 def _around(n: int, at: np.ndarray, before: int, after: int) -> np.ndarray:
-    """Which of n positions lie from at - before up to, not including, at + after for some at."""
-    change = np.zeros(n + 1, np.int32)
-    np.add.at(change, np.maximum(at - before, 0), 1)
-    np.add.at(change, np.minimum(at + after, n), -1)
-    return np.cumsum(change[:-1]) > 0
+    """Which of n positions lie from at - before up to, not including, at + after for some at; at ascends."""
+    if not len(at):
+        return np.zeros(n, bool)
+    apart = np.flatnonzero(at[1:] - at[:-1] > before + after)
+    starts = np.maximum(at[np.concatenate(([0], apart + 1))] - before, 0)
+    stops = np.minimum(at[np.append(apart, len(at) - 1)] + after, n)
+    edges = np.concatenate(([0], np.stack((starts, stops), axis=1).ravel(), [n]))
+    return np.repeat(np.arange(len(edges) - 1) % 2 == 1, np.diff(edges))
 
 
 class Block:
+    """A block's part in the steps. A step's state, arrays that the next one needs, comes back with its flags."""
+
     def __init__(self, block_id: int, text: bytes, ends: np.ndarray, min_bytes: int):
         self.id, self.data, self.ends, self.min_bytes = block_id, np.frombuffer(text, np.uint8), ends, min_bytes
         self.v, members = cover(min_bytes)
-        n = len(self.data)
-        sizes = np.diff(ends, prepend=0)
-        #: bytes from each position to its document's end
-        self.left = np.repeat(ends, sizes) - np.arange(n)
-        self.sampled = np.isin(np.arange(self.v), members)[np.arange(n) % self.v]
-        self.hash = Rolling(self.data, 0)
-
-    def _long_keys(self, positions: np.ndarray, length: int) -> Keys:
-        return Keys(positions, self.hash.at(positions, length), (Rolling(self.data, 1).at(positions, length) >> np.uint64(32)).astype(np.uint32))
-
-    def sample_keys(self, at: np.ndarray, asks: np.ndarray | None = None) -> Keys:
-        return Keys(at, self.hash.at(at, self.min_bytes - self.v + 1) >> np.uint64(64 - SAMPLE_BITS), asks=asks)
-
-    def keys(self, step: int, flags: dict[int, list]) -> Keys:
-        """The keys that this block sends in a step, by the flags of the steps before."""
-        n, v = len(self.data), self.v
-        first = self.sample_keys(np.flatnonzero(self.sampled & (self.left >= self.min_bytes - v + 1)))
-        if step == 1:
-            return first
-        common = first.with_(first.here_again | first.bits(flags.get(1, [])))
-        open_ = (self.left >= self.min_bytes) & _around(n, common, v - 1, 1)
-        ties = self._long_keys(common[self.left[common] >= self.min_bytes + v - 1], self.min_bytes + v - 1)
-        if step == 2:
-            return ties
-        again = ties.here_again | ties.bits(flags.get(2, []))
-        self.tied = _around(n, ties.with_(again), 0, v)
-        spoken_for = _around(n, ties.with_(again & ties.bits(flags.get(2, []), 3)), 0, v)
-        single = open_ & ~self.tied
-        at = common[_around(n, np.flatnonzero(single | spoken_for), 0, v)[common]]
-        asking = self.sample_keys(at, _around(n, np.flatnonzero(single), 0, v)[at])
+        self.members = np.array(members)
+        self.sizes = np.diff(ends, prepend=0)
+
+    def _sample(self) -> np.ndarray:
+        """The sampled positions with min_bytes - v + 1 bytes to their document's end."""
+        at = (np.arange(0, len(self.data), self.v)[:, None] + self.members).ravel()
+        at = at[at < len(self.data)]
+        return at[np.repeat(self.ends, self.sizes)[at] - at > self.min_bytes - self.v]
+
+    def _keys(self, at: np.ndarray, length: int) -> Keys:
+        return Keys(at, Rolling(0, length).at(self.data, at), (Rolling(1, length).at(self.data, at) >> np.uint64(32)).astype(np.uint32))
+
+    def _ties(self, common: np.ndarray) -> Keys:
+        length = self.min_bytes + self.v - 1
+        return self._keys(common[np.repeat(self.ends, self.sizes)[common] - common >= length], length)
+
+    def _asking(self, masks: dict[str, np.ndarray]) -> Keys:
+        """The sample hashes of suffixes that ask or may be asked for."""
+        common = np.flatnonzero(masks["common"])
+        asks = _around(len(self.data), np.flatnonzero(masks["single"]), 0, self.v)[common]
+        near = asks | _around(len(self.data), np.flatnonzero(masks["spoken_for"]), 0, self.v)[common]
+        return Keys(common[near], self._sample_hashes(common[near]), asks=asks[near])
+
+    def _sample_hashes(self, at: np.ndarray) -> np.ndarray:
+        return Rolling(0, self.min_bytes - self.v + 1).at(self.data, at) >> np.uint64(64 - SAMPLE_BITS)
+
+    def keys(self, step: int, flags: dict[int, list]) -> tuple[Keys, dict[str, np.ndarray]]:
+        """The keys that this block sends in a step, and its state, by the flags and state of the step before."""
+        n, v, least = len(self.data), self.v, self.min_bytes
+        last = flags.get(step - 1, [])
+        if step <= 2:
+            at = self._sample()
+            first = Keys(at, self._sample_hashes(at))
+            if step == 1:
+                return first, {}
+            common = first.with_(first.here_again | _bits(last))
+            return self._ties(common), {"common": _mask(n, common)}
+        masks = _state(last, n)
         if step == 3:
-            return asking
-        asked = _around(n, asking.with_(asking.bits(flags.get(3, []))), v - 1, 1)
-        return self._long_keys(np.flatnonzero(single | (spoken_for & asked)), self.min_bytes)
+            common = np.flatnonzero(masks["common"])
+            ties = self._ties(common)
+            again = ties.here_again | _bits(last)
+            tied = _around(n, ties.with_(again), 0, v)
+            fits = np.stack((np.maximum(self.sizes - least + 1, 0), np.minimum(self.sizes, least - 1)), axis=1).ravel()
+            single = np.repeat(np.arange(len(fits)) % 2 == 0, fits) & _around(n, common, v - 1, 1) & ~tied
+            masks |= {"tied": tied, "spoken_for": _around(n, ties.with_(again & _bits(last, 3)), 0, v), "single": single}
+            return self._asking(masks), masks
+        asked = _around(n, self._asking(masks).with_(_bits(last)), v - 1, 1)
+        rest = masks["single"] | (masks["spoken_for"] & asked)
+        return self._keys(np.flatnonzero(rest), least), {"tied": masks["tied"], "rest": rest}
 
     def repeated(self, flags: dict[int, list]) -> np.ndarray:
-        """The suffixes whose prefix of min_bytes occurs again, by the flags of all steps."""
-        last = self.keys(4, flags)
-        found = self.tied
-        found[last.with_(last.here_again | last.bits(flags.get(4, [])))] = True
-        return found
+        """The suffixes whose prefix of min_bytes occurs again, by the flags and state of the last step."""
+        last = flags.get(4, [])
+        masks = _state(last, len(self.data))
+        rest = self._keys(np.flatnonzero(masks["rest"]), self.min_bytes)
+        return masks["tied"] | _mask(len(self.data), rest.with_(rest.here_again | _bits(last)))
+
+
+def _mask(n: int, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[at] = True
+    return out
+
+
+def _pack_state(masks: dict[str, np.ndarray]) -> bytes:
+    sink = io.BytesIO()
+    np.savez(sink, **{k: np.packbits(x) for k, x in masks.items()})
+    return _squeeze(sink.getvalue())
+
+
+def _state(flags: list[tuple], n: int) -> dict[str, np.ndarray]:
+    """The masks over a block's n positions among a step's flags: they have a bucket below 0."""
+    found = np.load(io.BytesIO(_expand(next(f[2] for f in flags if f[0] < 0))))
+    return {k: np.unpackbits(found[k], count=n).astype(bool) for k in found.files}
 
 
 def _blocks(docs: DataFrame, text_col: str, block_bytes: int) -> DataFrame:
@@ -241,9 +291,13 @@ def _flags_of(rows: pa.Table) -> dict[int, list]:
     return out
 
 
-def _sent_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+def _sent_table(block: Block, step: int, flags: dict[int, list], bits: int) -> pa.Table:
+    keys, state = block.keys(step, flags)
+    rows = keys.sent(block.id, bits, SAMPLE_BITS if step in (1, 3) else 64)
+    if state:
+        rows.append((-1 - block.id, block.id, _pack_state(state)))
     buckets, ids, keys = zip(*rows, strict=True) if rows else ([], [], [])
-    return pa.table([pa.array(buckets, pa.int32()), pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["bucket", "block_id", "keys"])
+    return pa.table([pa.array(buckets, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["bucket", "block_id", "keys"])
 
 
 def _sorted_buckets(sent: DataFrame, step: int) -> DataFrame:
@@ -251,7 +305,9 @@ def _sorted_buckets(sent: DataFrame, step: int) -> DataFrame:
     step 3: which keys any block asks for."""
 
     def sort_bucket(key: tuple, rows: pa.Table) -> pa.Table:
-        ids = rows.column("block_id").to_pylist()
+        ids, bucket = rows.column("block_id").to_pylist(), key[0].as_py()
+        if bucket < 0:  # a block's state passes through
+            return pa.table([pa.array(ids, pa.int64()), pa.array([step], pa.int32()), pa.array([bucket], pa.int64()), pa.array([0], pa.int64()), rows.column("keys"), pa.array([None], pa.binary())], names=["block_id", "step", "bucket", "n", "bits", "more"])
         parts = [unpacked_keys(k, step) for k in rows.column("keys").to_pylist()]
         sizes = np.array([len(h) for h, _ in parts])
         high, more = np.concatenate([h for h, _ in parts]), np.concatenate([m for _, m in parts])
@@ -267,7 +323,7 @@ def _sorted_buckets(sent: DataFrame, step: int) -> DataFrame:
         split = lambda x: [_squeeze(np.packbits(y).tobytes()) for y in np.split(x, np.cumsum(sizes)[:-1])]
         n = len(ids)
         return pa.table(
-            [pa.array(ids, pa.int64()), pa.array([step] * n, pa.int32()), pa.array([key[0].as_py()] * n, pa.int32()), pa.array(sizes, pa.int64()), pa.array(split(bits), pa.binary()), pa.array(split(first) if step == 2 else [None] * n, pa.binary())],
+            [pa.array(ids, pa.int64()), pa.array([step] * n, pa.int32()), pa.array([bucket] * n, pa.int64()), pa.array(sizes, pa.int64()), pa.array(split(bits), pa.binary()), pa.array(split(first) if step == 2 else [None] * n, pa.binary())],
             names=["block_id", "step", "bucket", "n", "bits", "more"],
         )
 
@@ -296,8 +352,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", min_bytes: int = 200
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             for i in range(rows.num_rows):
-                block = _block_of(rows, i, min_bytes)
-                yield from _sent_table(block.keys(1, {}).sent(block.id, bits, SAMPLE_BITS)).to_batches()
+                yield from _sent_table(_block_of(rows, i, min_bytes), 1, {}, bits).to_batches()
 
     def by_block(flags: DataFrame, work: Callable[[Block, dict, pa.Table], pa.Table], schema) -> DataFrame:
         def run(key: tuple, rows: pa.Table, own: pa.Table) -> pa.Table:
@@ -306,7 +361,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", min_bytes: int = 200
         return blocks.groupBy("block_id").cogroup(flags.groupBy("block_id")).applyInArrow(run, schema)
 
     def next_keys(step: int) -> Callable[[Block, dict, pa.Table], pa.Table]:
-        return lambda block, flags, rows: _sent_table(block.keys(step, flags).sent(block.id, bits, SAMPLE_BITS if step == 3 else 64))
+        return lambda block, flags, rows: _sent_table(block, step, flags, bits)
 
     def cut(block: Block, flags: dict, rows: pa.Table) -> pa.Table:
         gone = _around(len(block.data), np.flatnonzero(block.repeated(flags)), 0, min_bytes)
@@ -323,7 +378,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", min_bytes: int = 200
 
     flags = _sorted_buckets(blocks.mapInArrow(sample, _SENT), 1)
     for step in (2, 3, 4):
-        flags = flags.unionAll(_sorted_buckets(by_block(flags, next_keys(step), _SENT), step))
+        flags = _sorted_buckets(by_block(flags, next_keys(step), _SENT), step)
     return by_block(flags, cut, result_schema)
 
 
