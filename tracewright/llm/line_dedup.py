@@ -5,8 +5,9 @@
    tasks have in their once-filters counts as seen twice.
 2. Only keys that the twice-filter suspects are counted exactly, by a 128-bit digest, once per document and
    pre-aggregated in each task, so that a line in a third of all documents costs one row a task.
-3. Keys in min_docs documents or more are dropped. Up to broadcast_keys such keys go to the tasks as they are; beyond
-   that the documents are joined with them by a shuffle.
+3. Keys in min_docs documents or more are dropped, all their lines or all but the first. Up to broadcast_keys such
+   keys go to the tasks as they are; beyond that, and where the first line stays, the documents are joined with them by
+   a shuffle.
 
 The filters have a size between MIN_BITS and MAX_BITS, by the size of the input. A full filter only suspects more;
 the result is the same.
@@ -142,9 +143,11 @@ def frequent_keys(docs: DataFrame, text_col: str, min_docs: int, min_chars: int)
     return counted.groupBy("digest").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("digest")
 
 
-def drop_frequent_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, broadcast_keys: int = 1_000_000) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, broadcast_keys: int = 1_000_000, keep_first: bool = False) -> DataFrame:
     """docs with the lines dropped whose key min_docs rows or more hold; adds kept_text, n_lines and n_dropped.
 
+    With keep_first the first line of each such key stays: of the rows in their order as read, the first that holds it.
+
     A null text counts as empty and a text always has one line more than it has line feeds. Repeated rows count as
     rows of their own. A key of fewer than min_chars code points never goes. Input columns named like an added one
     give way to it. No rows: no rows.
@@ -152,26 +155,33 @@ def drop_frequent_lines(docs: DataFrame, text_col: str = "text", min_docs: int =
     keys = stored(frequent_keys(docs, text_col, min_docs, min_chars))
     added = [("kept_text", T.StringType()), ("n_lines", T.LongType()), ("n_dropped", T.LongType())]
 
-    def result(batch: pa.RecordBatch, gone: list) -> pa.RecordBatch:
+    def result(batch: pa.RecordBatch, gone: list, firsts: list) -> pa.RecordBatch:
         kept, n_lines, n_dropped = [], [], []
-        for text, drop in zip(texts(batch, text_col), gone, strict=True):
+        for text, drop, first in zip(texts(batch, text_col), gone, firsts, strict=True):
             lines, own = line_keys(text, min_chars)
-            stay = [x for x, k in zip(lines, own, strict=True) if not k or _digest(k) not in drop] if drop else lines
+            stay, open_ = lines, set(first)
+            if drop:
+                stay = []
+                for x, k in zip(lines, own, strict=True):
+                    d = _digest(k) if k else b""
+                    if d not in drop or d in open_:
+                        stay.append(x)
+                        open_.discard(d)
             kept.append(b"\n".join(stay))
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(stay))
         return with_columns(batch, {"kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())})
 
-    if keys.count() <= broadcast_keys:
+    if not keep_first and keys.count() <= broadcast_keys:
         shared = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r.digest) for r in keys.toLocalIterator()))
 
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, text_col):
-                yield result(batch, [shared.value] * batch.num_rows)
+                yield result(batch, [shared.value] * batch.num_rows, [()] * batch.num_rows)
 
         return docs.mapInArrow(drop, schema_with(docs.schema, added))
 
-    row, gone = fresh(docs.columns, "line_dedup_row"), fresh(docs.columns, "line_dedup_gone")
+    row, gone, first = (fresh(docs.columns, f"line_dedup_{x}") for x in ("row", "gone", "first"))
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +191,16 @@ def drop_frequent_lines(docs: DataFrame, text_col: str = "text", min_docs: int =
 
     held = numbered.select(row, text_col).mapInArrow(explode, f"`{row}` long, digest binary").join(keys, "digest", "left_semi")
     marked = numbered.join(held.groupBy(row).agg(F.collect_list("digest").alias(gone)), row, "left")
+    if keep_first:
+        lead = held.groupBy("digest").agg(F.min(row).alias(row)).groupBy(row).agg(F.collect_list("digest").alias(first))
+        marked = marked.join(lead, row, "left")
+    else:
+        marked = marked.withColumn(first, F.array().cast("array<binary>"))
 
     def drop_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            own = [frozenset(x or ()) for x in batch.column(gone).to_pylist()]
-            yield result(batch.drop_columns([row, gone]), own)
+            sets = ([frozenset(x or ()) for x in batch.column(c).to_pylist()] for c in (gone, first))
+            yield result(batch.drop_columns([row, gone, first]), *sets)
 
     return marked.mapInArrow(drop_own, schema_with(docs.schema, added))
 
