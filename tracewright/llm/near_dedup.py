@@ -31,8 +31,8 @@ from tracewright.llm.graph import components
 HASHES, MIN_DEPTH = 128, 4
 #: Classes of a region that are compared at a time; classes that neighbouring parts of a larger region share.
 REGION, SHARED = 1024, 64
-#: Classes of a block of a component, and code points of a group's texts at most, unless one text has more.
-BLOCK = 512
+#: Classes, and shingles, of a block of a component, about; a block has one class at least.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Standard errors by which a signature may fall short of the wanted similarity and still link provisionally.
 SLACK = 4.0
 
@@ -218,9 +218,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     source = docs.select(*(F.col(f"`{c}`") for c in others), F.monotonically_increasing_id().alias(row))
     described = stored(source.mapInArrow(describe, T.StructType([*source.schema.fields, T.StructField(size, T.LongType()), T.StructField(key, T.BinaryType()), T.StructField(sign, T.BinaryType())])))
-    classes = stored(described.where(F.col(size) > 0).groupBy(key).agg(F.min(row).alias("node"), F.min(f"`{id_col}`").alias("id"), F.first(sign).alias("sign")))
+    classes = stored(described.where(F.col(size) > 0).groupBy(key).agg(F.min(row).alias("node"), F.min(f"`{id_col}`").alias("id"), F.first(sign).alias("sign"), F.first(size).alias("size")))
     rough = components(_regions(classes.select("node", "sign"), percent / 100))
-    sizes = rough.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    needed = F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)
+    sizes = rough.join(classes.select("node", "size"), "node").groupBy("root").agg(F.ceil(needed).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j"))))
     dealt = rough.join(sizes, "root").select("root", "node", pairs.alias("pair"))
