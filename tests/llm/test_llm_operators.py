@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tracewright.llm import byte_bpe, line_dedup, max_score, near_dedup, packing, pii, quality_model, quality_rules, suffix_dedup, token_counts, words
+from tracewright.llm import byte_bpe, common, line_dedup, max_score, near_dedup, packing, pii, quality_model, quality_rules, suffix_dedup, token_counts, words
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -89,6 +89,21 @@ def test_line_dedup(docs, rows, broadcast):
     assert got == {(i if i != 3 else None): w for (i, _), w in zip(rows, brute_lines([t or "" for _, t in rows], 4), strict=True)}
 
 
+def test_line_dedup_keeps_the_first(spark):
+    texts = ["a\nB \nx", "b\na\nb", None, "a\nc", "B\na\n\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = by_id(line_dedup.drop_frequent_lines(df, min_docs=3, keep_first=True), "kept_text", "n_dropped")
+    assert got == {0: ("a\nB \nx", 0), 1: ("", 3), 2: ("", 0), 3: ("c", 1), 4: ("\n", 2)}
+
+
+def test_scratch_can_be_dropped(spark):
+    df = spark.createDataFrame([(1, "a" * 50)], "doc_id long, text string")
+    suffix_dedup.remove_repeats(df, min_bytes=20).collect()
+    assert any(t.name.startswith("tracewright_blocks") for t in spark.catalog.listTables())
+    common.forget_scratch()
+    assert not any(t.name.startswith("tracewright_blocks") for t in spark.catalog.listTables())
+
+
 def brute_components(texts, width, percent):
     sets = []
     for t in texts:

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step of a Python operator works on.
 STEP_BYTES = 4 << 20
+#: (session, path or table) of what forget_scratch() deletes.
+_MADE: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +28,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tracewright-scratch"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tw-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tw-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -37,6 +41,28 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_table(spark: SparkSession, kind: str) -> str:
+    """A new table name; the table goes to the shared warehouse."""
+    name = f"tracewright_{kind}_{uuid.uuid4().hex}"
+    _MADE.append((spark, name))
+    return name
+
+
+def forget_scratch() -> None:
+    """Deletes all folders and tables that this process has made in the shared folder and the warehouse.
+
+    Results not written yet still read them, so call it when these have been written.
+    """
+    while _MADE:
+        spark, name = _MADE.pop()
+        if "/" in name:
+            jvm = spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        else:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def fresh(taken: Iterable[str], wanted: str) -> str:
     """wanted, with underscores added until no column of the input has that name."""
     names = {n.lower() for n in taken}

@@ -23,7 +23,6 @@ hashes that agree count as equal.
 from __future__ import annotations
 
 import io
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import fresh, schema_with, slices, stored, texts
+from tracewright.llm.common import fresh, schema_with, scratch_table, slices, stored, texts
 
 #: Difference sets, by modulus; every residue is a difference of two members.
 COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)}
 BLOCK_BYTES = 4 << 20
-#: Hashes of a bucket, about.
+#: Hashes of a bucket, at most about; there are at least as many buckets as shuffle partitions.
 BUCKET_KEYS = 2_000_000
 #: Bits of the hashes by which the cover sample is sorted; clashes only leave more suffixes to sort.
 SAMPLE_BITS = 44
@@ -273,7 +272,7 @@ def _blocks(docs: DataFrame, text_col: str, block_bytes: int) -> DataFrame:
             number += 1
 
     spark = docs.sparkSession
-    name = f"tracewright_blocks_{uuid.uuid4().hex}"
+    name = scratch_table(spark, "blocks")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs.mapInArrow(run, _BLOCK).repartition(parts, "block_id").write.bucketBy(parts, "block_id").option("compression", "uncompressed").saveAsTable(name)
     return spark.table(name)
@@ -346,7 +345,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", min_bytes: int = 200
     blocks = _blocks(source, text, block_bytes)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     v, members = cover(min_bytes)
-    bits = max(0, int(total * len(members) / v / BUCKET_KEYS).bit_length())
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(parts.bit_length(), int(total * len(members) / v / BUCKET_KEYS).bit_length())
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
