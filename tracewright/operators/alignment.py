@@ -108,3 +108,48 @@ def sampled_affine(pairs: DataFrame, key: str, rounds: int, threshold: float, se
 def contact_angle(contacts: DataFrame, key: str = "board") -> DataFrame:
     """(key, angle) of the least-squares line through contacts, in degrees; 0 where it is undefined."""
     return contacts.groupBy(key).agg(F.coalesce(F.degrees(F.atan(F.regr_slope("y", "x"))), F.lit(0.0)).alias("angle"))
+
+
+def without_outliers(contacts: DataFrame, most: float, key: str = "board") -> DataFrame:
+    """contacts (key, id, x, y, width, height) without those far from the others' line and size.
+
+    The score adds three times the width's and one and a half times the height's excess over the upper median, as
+    ratios, and the distance from the line over three times the residuals' spread, 5 at least. The best rows up to the
+    share 1 - most stay, two at least, and all scores under 1. Boards of two contacts or fewer stay as they are.
+    """
+    fit = contacts.groupBy(key).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("level"))
+    middle = upper_median(contacts, [key], "y").withColumnRenamed("median", "my")
+    off = contacts.join(fit, key).join(middle, key).withColumn("off", F.abs(F.col("y") - F.coalesce(F.col("slope") * F.col("x") + F.col("level"), F.col("my"))))
+    w = W.partitionBy(key).orderBy("off", "id")
+    placed = off.withColumn("k", F.row_number().over(w) - 1)
+    at = lambda part: F.max(F.when(F.col("k") == F.floor(part), F.col("off")))
+    spread = placed.groupBy(key).agg((at(F.col("n") * 3 / 4) - at(F.col("n") / 4)).alias("iqr"))
+    sizes = upper_median(contacts, [key], "width").withColumnRenamed("median", "mw").join(upper_median(contacts, [key], "height").withColumnRenamed("median", "mh"), key)
+    ratio = lambda v, m: F.greatest(F.try_divide(F.col(v), F.col(m)), F.try_divide(F.col(m), F.col(v)))
+    score = (ratio("width", "mw") - 1) * 3 + (ratio("height", "mh") - 1) * 1.5 + F.col("off") / F.greatest(F.col("iqr") * 3, F.lit(5.0))
+    ranked = placed.join(spread, key).join(sizes, key).withColumn("score", score).withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("score", "id")))
+    keep = (F.col("n") <= 2) | (F.col("rank") <= F.greatest(F.floor(F.col("n") * (1.0 - most)), F.lit(2))) | (F.col("score") < 1)
+    return ranked.where(keep).select(*contacts.columns)
+
+
+def grid_run(contacts: DataFrame, pitch: float, count: int, slack: float = 0.2, key: str = "board") -> DataFrame:
+    """(key, start, place, id): of each board the start whose places start + n * pitch meet most contacts (key, id, x);
+    a place takes its nearest contact within slack * pitch, ties go to the smaller x. None under count - 5 places."""
+    starts = contacts.select(key, F.col("id").alias("start"), F.col("x").alias("x0"))
+    n = F.round((F.col("x") - F.col("x0")) / pitch)
+    met = starts.join(contacts, key).withColumn("place", n.cast("int")).withColumn("off", F.abs(F.col("x") - F.col("x0") - n * pitch)).where(F.col("place").between(0, count - 1) & (F.col("off") <= slack * pitch))
+    best = met.groupBy(key, "start", "x0", "place").agg(F.min(F.struct("off", "x", "id"))["id"].alias("id"))
+    size = best.groupBy(key, "start", "x0").agg(F.count("*").alias("n")).groupBy(key).agg(F.max(F.struct("n", -F.col("x0"), "start")).alias("b")).where(F.col("b.n") >= count - 5)
+    return best.join(size.select(key, F.col("b.start").alias("start")), [key, "start"]).select(key, "start", "place", "id")
+
+
+def coarse_pairs(front: DataFrame, back: DataFrame, tolerance: float) -> DataFrame:
+    """Candidate pairs (left_id, right_id, dist) of contacts (board, id, x) after moving the back by the means' offset;
+    greedy_match() then uses each once. Distance order decides, not the front's order."""
+    mean = lambda df: df.groupBy("board").agg(F.avg("x").alias("m"))
+    f = front.join(mean(front), "board").select("board", F.col("id").alias("left_id"), (F.col("x") - F.col("m")).alias("a"))
+    b = back.join(mean(back), "board").select("board", F.col("id").alias("right_id"), (F.col("x") - F.col("m")).alias("b"))
+    cell = lambda c: F.floor(F.col(c) / tolerance)
+    around = F.explode(F.array(*(cell("b") + i for i in (-1, 0, 1))))
+    pairs = f.withColumn("cell", cell("a")).join(b.withColumn("cell", around), ["board", "cell"]).withColumn("dist", F.abs(F.col("a") - F.col("b")))
+    return pairs.where(F.col("dist") <= tolerance).select("left_id", "right_id", "dist")

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.functions.names import base_name, net_priority
+from tracewright.functions.names import base_name, net_priority, output_name
 from tracewright.operators.graph import components
+from tracewright.operators.loop import settled
 from tracewright.operators.near import near_join
 
 TOLERANCE = 5.0
@@ -125,3 +126,30 @@ def net_statistics(pins: DataFrame, all_pins: DataFrame) -> DataFrame:
     """One row: components, nets, connections and pins without any."""
     loose = all_pins.join(pins, ["component", "pin"], "left_anti").agg(F.count("*").alias("loose_pins"))
     return pins.agg(F.countDistinct("component").alias("components"), F.countDistinct("net_id").alias("nets"), F.count("*").alias("connections")).crossJoin(loose)  # one row each
+
+
+def gate_links(functions: DataFrame, components_: DataFrame, pins: DataFrame) -> DataFrame:
+    """(net_out, net_in, gate) of logic functions with a single input, by the nets of their pins."""
+    single = functions.where(F.size("inputs") == 1).select("part_number", "package", F.col("type").alias("gate"), F.get("inputs", F.lit(0)).cast("string").alias("in_pin"), F.explode("outputs").alias("o"))
+    placed = components_.join(single, ["part_number", "package"]).select("component", "gate", "in_pin", F.col("o").cast("string").alias("out_pin"))
+    first = pins.groupBy("component", "pin").agg(F.min("net_id").alias("net_id"))
+    out = placed.join(first.select("component", F.col("pin").alias("out_pin"), F.col("net_id").alias("net_out")), ["component", "out_pin"])
+    both = out.join(first.select("component", F.col("pin").alias("in_pin"), F.col("net_id").alias("net_in")), ["component", "in_pin"])
+    return both.where("net_out <> net_in").select("net_out", "net_in", "gate").distinct()
+
+
+def logic_names(nets: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """nets(net_id, name, manual) with names of gate outputs after their inputs' names: not for manual nets, only over
+    names of low priority, only from names of the highest. Each round works on the names of the one before; without
+    rounds until nothing changes. Of several gates the smallest (input net, gate) names the output."""
+    nets, links, turn = settled(nets), settled(links), 0
+    while rounds is None or turn < rounds:
+        source = nets.where(net_priority(F.col("name")) == 2).select(F.col("net_id").alias("net_in"), F.col("name").alias("from_name"))
+        named = links.join(source, "net_in").withColumn("new", output_name(F.col("gate"), F.col("from_name"))).where("new <> ''")
+        best = named.groupBy(F.col("net_out").alias("net_id")).agg(F.min(F.struct("net_in", "gate", "new"))["new"].alias("new"))
+        change = F.col("new").isNotNull() & ~F.col("manual") & (net_priority(F.col("name")) < 2)
+        step = settled(nets.join(best, "net_id", "left").select("net_id", F.when(change, F.col("new")).otherwise(F.col("name")).alias("name"), "manual", change.alias("changed")))
+        nets, turn = step.drop("changed"), turn + 1
+        if step.where("changed").isEmpty():
+            break
+    return nets
