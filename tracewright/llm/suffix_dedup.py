@@ -36,9 +36,9 @@ from tracewright.llm.common import fresh, schema_with, scratch_table, slices, st
 
 #: Difference sets, by modulus; every residue is a difference of two members.
 COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)}
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Hashes of a bucket, at most about; there are at least as many buckets as shuffle partitions.
-BUCKET_KEYS = 2_000_000
+BUCKET_KEYS = 1_000_000
 #: Bits of the hashes by which the cover sample is sorted; clashes only leave more suffixes to sort.
 SAMPLE_BITS = 44
 _BLOCK = "block_id long, n_bytes long, text binary, ends binary, rest binary"
