@@ -64,3 +64,27 @@ def started_at(numbered: DataFrame, start: DataFrame) -> DataFrame:
     n = numbered.groupBy("component").agg(F.count("*").alias("n"))
     slot = start.select("component", "id", F.col("pin").alias("want")).join(numbered, ["component", "id"]).select("component", (F.col("want") - F.col("pin")).alias("shift"))
     return numbered.join(n, "component").join(slot, "component").select("component", "id", (F.pmod(F.col("pin") - 1 + F.col("shift"), F.col("n")) + 1).alias("pin"))
+
+
+def template_matches(parts: DataFrame, templates: DataFrame) -> DataFrame:
+    """(id, template, turned, reason) of parts (id, width_mm, height_mm) by size templates (template, width_low,
+    width_high, height_low, height_high): upright before turned, then the smaller template; else the DIP rule.
+
+    Templates are derived from grouped samples, a few dozen rows; widths are met by an equi-join on whole millimetres.
+    """
+    both = parts.select("id", F.lit(0).alias("turned"), F.col("width_mm").alias("w"), F.col("height_mm").alias("h")).unionByName(parts.select("id", F.lit(1).alias("turned"), F.col("height_mm").alias("w"), F.col("width_mm").alias("h")))
+    spans = templates.withColumn("mm", F.explode(F.sequence(F.floor("width_low"), F.floor("width_high"))))
+    hit = both.withColumn("mm", F.floor("w")).join(spans, "mm").where("w between width_low and width_high and h between height_low and height_high")
+    best = hit.groupBy("id").agg(F.min(F.struct("turned", "template")).alias("m"))
+    narrow, long = F.least("width_mm", "height_mm"), F.greatest("width_mm", "height_mm")
+    dip = is_dip_width(narrow) & (F.abs(long / PITCH - F.round(long / PITCH)) <= 1.5 / PITCH)
+    out = parts.join(best, "id", "left")
+    reason = F.when(F.col("m").isNotNull(), "template").when(dip, "DIP width").otherwise("no size fits")
+    return out.select("id", F.col("m.template").alias("template"), (F.col("m.turned") == 1).alias("turned"), reason.alias("reason"))
+
+
+def guessed_pin(vias: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, pin) of vias (component, id, x, y): the nearest pin place (component, pin, x, y), the lower pin on ties."""
+    p = places.select("component", "pin", F.col("x").alias("px"), F.col("y").alias("py"))
+    off = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
+    return vias.join(p, "component").groupBy("id").agg(F.min(F.struct(off.alias("off"), "pin"))["pin"].alias("pin"))
