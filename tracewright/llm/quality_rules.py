@@ -26,7 +26,7 @@ STOP_WORDS = {
 #: (ratio, lowest, highest): a document is kept if each ratio lies within.
 RULES = (
     ("mean_word_chars", 1.5, 30.0),
-    ("symbols_per_word", 0.0, 0.5),
+    ("symbols_per_word", 0.0, 0.25),
     ("dup_line_share", 0.0, 0.5),
     ("repeat_word_share", 0.0, 0.3),
     ("stop_word_share", 0.01, 1.0),
