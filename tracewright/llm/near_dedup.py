@@ -93,6 +93,14 @@ def linked(signs: np.ndarray, least: int) -> np.ndarray:
         label = new
 
 
+def _star(nodes: np.ndarray, group: np.ndarray) -> list[pa.Array]:
+    """(a, b): each node of a group with the group's smallest one, which is often the same in many regions."""
+    least = np.full(len(nodes), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, nodes)
+    root = least[group]
+    return [pa.array(nodes[nodes != root]), pa.array(root[nodes != root])]
+
+
 def _regions(table: DataFrame, similarity: float) -> DataFrame:
     """Provisional links (a, b) between classes of table (node, sign)."""
     trees = HASHES // MIN_DEPTH
@@ -142,9 +150,7 @@ def _regions(table: DataFrame, similarity: float) -> DataFrame:
 
         def links(n: int) -> pa.RecordBatch:
             found = linked(np.frombuffer(b"".join(signs[:n]), np.uint8).reshape(-1, HASHES), least)
-            own = np.array(nodes[:n], np.int64)
-            apart = found != np.arange(n)
-            return pa.RecordBatch.from_arrays([pa.array(own[apart]), pa.array(own[found[apart]])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays(_star(np.array(nodes[:n], np.int64), found), names=["a", "b"])
 
         for batch in batches:
             for region, node, sign in zip(*(batch.column(c).to_pylist() for c in ("region", "node", "sign")), strict=True):
@@ -231,9 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def confirm(key: tuple, rows: pa.Table) -> pa.Table:
         nodes = rows.column("node").to_numpy()
         flat, counts = shingle_sets(rows.column("text").combine_chunks(), width)
-        found = confirmed(flat, counts, percent)
-        apart = found != np.arange(len(found))
-        return pa.table([pa.array(nodes[apart]), pa.array(nodes[found[apart]])], names=["a", "b"])
+        return pa.table(_star(nodes, confirmed(flat, counts, percent)), names=["a", "b"])
 
     links = groups.groupBy("root", "i", "j").applyInArrow(confirm, "a long, b long")
     final = components(links)
