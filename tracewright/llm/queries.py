@@ -7,7 +7,7 @@ import corpus_pipeline
 from tracewright.llm.byte_bpe import op4_byte_bpe
 from tracewright.llm.line_dedup import SQL_OP9, op9_line_dedup
 from tracewright.llm.max_score import SQL_OP5, op5_max_score
-from tracewright.llm.near_dedup import op8_near_dedup
+from tracewright.llm.near_dedup import SQL_OP8, op8_near_dedup
 from tracewright.llm.packing import op10_packing
 from tracewright.llm.pii import op2_pii
 from tracewright.llm.quality_model import op3_quality_model
@@ -33,4 +33,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_max_score": SQL_OP5, "op6_quality_rules": SQL_OP6, "op9_line_dedup": SQL_OP9}
+    return {"op5_max_score": SQL_OP5, "op6_quality_rules": SQL_OP6, "op8_near_dedup": SQL_OP8, "op9_line_dedup": SQL_OP9}
