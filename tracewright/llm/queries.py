@@ -12,7 +12,7 @@ from tracewright.llm.packing import op10_packing
 from tracewright.llm.pii import op2_pii
 from tracewright.llm.quality_model import op3_quality_model
 from tracewright.llm.quality_rules import SQL_OP6, op6_quality_rules
-from tracewright.llm.suffix_dedup import op1_suffix_dedup
+from tracewright.llm.suffix_dedup import SQL_OP1, op1_suffix_dedup
 from tracewright.llm.token_counts import op7_token_counts
 
 
@@ -33,4 +33,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_max_score": SQL_OP5, "op6_quality_rules": SQL_OP6, "op8_near_dedup": SQL_OP8, "op9_line_dedup": SQL_OP9}
+    return {"op1_suffix_dedup": SQL_OP1, "op5_max_score": SQL_OP5, "op6_quality_rules": SQL_OP6, "op8_near_dedup": SQL_OP8, "op9_line_dedup": SQL_OP9}

@@ -386,3 +386,22 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = remove_repeats(docs)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL_OP1 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT *, octet_length(b) AS n FROM d),
+w AS (SELECT rid, b, unnest(range(1, n - 198)) AS i FROM n WHERE n >= 200),
+x AS (SELECT rid, i, md5(b[i:i + 199]) AS h FROM w),
+r AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY h) AS c FROM x) WHERE c > 1),
+g AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM r),
+k AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM g),
+s AS (SELECT rid, min(i) AS a, max(i) + 199 AS z FROM k GROUP BY rid, run),
+p AS (
+  SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM s
+  UNION ALL SELECT n.rid, coalesce(max(s.z), 0) + 1, any_value(n.n) FROM n LEFT JOIN s ON s.rid = n.rid GROUP BY n.rid),
+t AS (SELECT p.rid, string_agg(CASE WHEN p.z >= p.a THEN hex(b[p.a:p.z]) ELSE '' END, '' ORDER BY p.a) AS kept FROM p JOIN n ON n.rid = p.rid GROUP BY p.rid),
+c AS (SELECT rid, sum(z - a + 1) AS removed, count(*) AS spans FROM s GROUP BY rid)
+SELECT n.doc_id, n.n::BIGINT AS n_bytes, coalesce(c.removed, 0)::BIGINT AS n_removed, coalesce(c.spans, 0)::BIGINT AS n_spans, sha256(unhex(t.kept)) AS kept_sha256
+FROM n JOIN t ON t.rid = n.rid LEFT JOIN c ON c.rid = n.rid
+"""
