@@ -23,7 +23,7 @@ from tracewright.llm.common import binaries, ragged, schema_with, slices, string
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
-HELD_PIECES = 400_000
+HELD_PIECES = 250_000
 #: Cells of one matrix, about.
 CELLS = 1 << 21
 

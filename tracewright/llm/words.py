@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from tracewright.llm.common import binaries, ragged
 
 #: Distinct words that a task holds; beyond it, it starts anew.
-HELD_WORDS = 600_000
+HELD_WORDS = 300_000
 #: Fixed value: ASCII punctuation but the apostrophe, which may begin a piece with the letters after it.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Fixed value: what a stem may end in, letters that lower-case to one letter, and digits.
