@@ -19,6 +19,8 @@ from tracewright.llm.pii import find_pii
 from tracewright.llm.quality_model import score_quality, train
 
 MIN_LINE_DOCS, SHINGLE_WORDS, SIMILAR_PERCENT, SEQUENCE_TOKENS = 10, 5, 80, 2048
+#: A character that is not ASCII white space.
+_WORD = r"[^\x09-\x0D\x20]"
 
 
 def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -34,8 +36,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the lines that MIN_LINE_DOCS documents or more hold."""
-    return _with_text(drop_frequent_lines(docs, min_docs=MIN_LINE_DOCS), docs.columns, "kept_text")
+    """Drops the lines that MIN_LINE_DOCS documents or more hold.
+
+    Of the rows that this leaves without a word, one of each text comes back, in the order of the ids and with the lines
+    that no row before it brought back; the others drop out. So no text is lost with all its copies.
+    """
+    out = drop_frequent_lines(docs, min_docs=MIN_LINE_DOCS)
+    emptied = (F.col("n_dropped") > 0) & ~F.col("kept_text").rlike(_WORD)
+    rest = [c for c in docs.columns if c != "text"]
+    firsts = out.where(emptied).groupBy("text").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in rest))).alias("first"))
+    firsts = stored(firsts.select("text", "first.*").select(docs.columns))
+    kept = _with_text(out.where(~emptied), docs.columns, "kept_text")
+    if firsts.isEmpty():
+        return kept
+    back = drop_frequent_lines(firsts.orderBy("doc_id", "text"), min_docs=2, keep_first=True)
+    return kept.unionByName(_with_text(back.where(F.col("kept_text").rlike(_WORD)), docs.columns, "kept_text"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
