@@ -1,6 +1,12 @@
 """Cases in which a shortcut would lose part of the job: copies, repeated rows, large values, long words."""
 
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from tracewright.llm import max_score, near_dedup, pii, quality_model
 
 
 def test_line_dedup_keeps_one_of_many_copies(spark):
@@ -14,3 +20,12 @@ def test_line_dedup_keeps_one_of_many_copies(spark):
     pieces = corpus_pipeline.packing(spark, near, "").collect()
     assert {p.doc_id for p in pieces} == {0, 21, 22, 23}
     assert next(p.doc_tokens for p in pieces if p.doc_id == 0) > 10
+
+
+def test_training_takes_one_row_of_an_id(spark):
+    good, bad = [f"some plain words of text number {i}" for i in range(5)], [f"### $$$ {i} ### ***" for i in range(5)]
+    data = [(0, good[0])] * 300 + [(i, t) for i, t in enumerate(good + bad)]
+    labels = spark.createDataFrame([(i, int(i < 5)) for i in range(10)], "doc_id long, quality int")
+    learn = lambda rows: quality_model.train(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), labels, F.lit(True), max_rows=10)
+    hot, plain = learn(data), learn(data[300:])
+    assert plain.weights.any() and np.array_equal(hot.weights, plain.weights) and hot.cut == plain.cut

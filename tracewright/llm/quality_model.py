@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,19 +91,24 @@ def fit(figures: np.ndarray, good: np.ndarray, rounds: int = 400, rate: float =
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> Ranker:
-    """Fits a ranker on the labelled rows for which learn holds: at most max_rows of them, by a hash of the id."""
+    """Fits a ranker on the labelled ids for which learn holds: at most max_rows of them, by a hash of the id.
+
+    Of the rows of an id, the one whose text has the smallest hash counts.
+    """
     key, label = fresh([text_col], "label_id"), fresh([text_col], "label_good")
     chosen = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias(key)).agg(F.max(label_col).alias(label))
     chosen = chosen.orderBy(F.xxhash64(key), key).limit(max_rows)
-    rows = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(chosen), F.col(id_col) == F.col(key)).select(text_col, label)
+    rows = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(chosen), F.col(id_col) == F.col(key)).select(key, text_col, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             flat = features(batch, text_col)
-            yield pa.RecordBatch.from_arrays([pa.array(list(flat), pa.list_(pa.float64())), batch.column(label).cast(pa.int64())], names=["figures", "good"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(flat), pa.list_(pa.float64())), batch.column(label).cast(pa.int64()), batch.column(key), pa.array(map(xxhash.xxh3_64_intdigest, texts(batch, text_col)), pa.uint64()).view(pa.int64())], names=schema.names)
 
-    # at most max_rows rows of some two dozen numbers; rows of one id count once
-    got = rows.mapInArrow(run, "figures array<double>, good long").limit(2 * max_rows).toPandas()
+    schema = T.StructType([T.StructField("figures", T.ArrayType(T.DoubleType())), T.StructField("good", T.LongType()), T.StructField("of", rows.schema[key].dataType), T.StructField("hash", T.LongType())])
+    # at most max_rows rows of some two dozen numbers: one row an id
+    single = rows.mapInArrow(run, schema).groupBy("of").agg(F.min(F.struct("hash", "figures", "good")).alias("row"))
+    got = single.select("row.figures", "row.good").toPandas()
     width = 2 + len(SHARES) + 3 + sum(map(len, STEPS.values()))
     got = got.iloc[np.lexsort(np.stack(got["figures"]).T)] if len(got) else got  # the same order in every run
     figures = np.stack(got["figures"]) if len(got) else np.zeros((0, width))
