@@ -29,3 +29,19 @@ def test_training_takes_one_row_of_an_id(spark):
     learn = lambda rows: quality_model.train(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), labels, F.lit(True), max_rows=10)
     hot, plain = learn(data), learn(data[300:])
     assert plain.weights.any() and np.array_equal(hot.weights, plain.weights) and hot.cut == plain.cut
+
+
+def test_top_k_scores_large_components(spark):
+    vectors = [(i, [float(i % 7) - 3, i / 16, -i / 32]) for i in range(60)]
+    vectors += [(100, [2e5, 1.0, 0.0]), (101, [-3e7, 0.5, 2.0]), (102, [1e8, 0.0, -1e8]), (103, [0.0, float(2**17), -1.0]), (104, [1e300, 1.0]), (105, [float("inf"), 1.0, 0.0])]
+    df = spark.createDataFrame(vectors[:-2] + vectors[-1:], "vec_id long, embedding array<double>").repartition(3)
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in vectors[:-2]}
+    want = set()
+    for i, v in whole.items():
+        if i % 50 == 0:
+            hits = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for j, w in whole.items() if j != i)[:5]
+            want |= {(i, r, j, -s) for r, (s, j) in enumerate(hits, 1)}
+    assert {tuple(r) for r in max_score.top_k(df, 5, 50).collect()} == want
+    assert any(j >= 100 for _, _, j, _ in want) and any(i == 100 for i, _, _, _ in want)
+    wide = max_score.search_apart(([1], [1], [max_score._whole([1e300, 1.0])]), ([2], [2], [[256, 512]]), 1)
+    assert list(wide) == [(1, 1, 2, 65536 * int(1e300) + 256 * 512)]

@@ -10,10 +10,13 @@ term here, so the essential postings hold them all; what is saved is the probing
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,16 +26,22 @@ from tracewright.llm.common import stored
 SCALE = 256
 #: Vectors and queries of a cell, about; vectors of a shard; terms probed at a time.
 CELL_VECTORS, CELL_QUERIES, SHARD, GROUP = 16_384, 2_048, 2_048, 8
-#: Quantised components from this on up are refused, so that sums stay exact in 64 bits.
+#: Vectors with a quantised component from this on up are scored apart, so that the sums of the others stay exact in 64 bits.
 LIMIT = 2**25
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, row, q): the row's number and floor(256 * x) of each component, for the vectors that take part."""
-    x = F.transform(F.col(f"`{vector_col}`"), lambda v: F.floor(F.lit(SCALE) * v.cast("double")))
-    sane = F.forall(F.col(f"`{vector_col}`"), lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(F.lit(SCALE) * v.cast("double")) < LIMIT))
-    numbered = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"), F.col(f"`{vector_col}`"))
-    return numbered.where(F.col("vec_id").isNotNull() & F.col(f"`{vector_col}`").isNotNull() & sane).select("vec_id", "row", x.alias("q"))
+    """(vec_id, row, q, large) of the vectors that take part: the row's number and floor(256 * x) of each component.
+
+    Where one of them reaches LIMIT, q is null and large holds the components as they are; else large is null.
+    """
+    each = F.col(f"`{vector_col}`")
+    x = F.transform(each, lambda v: F.floor(F.lit(SCALE) * v.cast("double")))
+    sane = F.forall(each, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
+    small = F.forall(each, lambda v: F.abs(F.lit(SCALE) * v.cast("double")) < LIMIT)
+    numbered = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"), each)
+    taking_part = numbered.where(F.col("vec_id").isNotNull() & each.isNotNull() & sane)
+    return taking_part.select("vec_id", "row", F.when(small, x).alias("q"), F.when(~small, each.cast("array<double>")).alias("large"))
 
 
 def _matrix(rows: list) -> np.ndarray:
@@ -42,6 +51,29 @@ def _matrix(rows: list) -> np.ndarray:
     return np.array([list(r) + [0] * (width - len(r)) for r in rows], np.int64)
 
 
+def _whole(row: list) -> list[int]:
+    """floor(256 * x) of each component, without a bound."""
+    return [SCALE * int(x) if abs(x) >= 2**53 else math.floor(SCALE * x) for x in row]
+
+
+def search_apart(queries: tuple, vectors: tuple, k: int) -> Iterator[tuple[int, int, int, int]]:
+    """search_cell for rows of integers of any size: 64 bits where no sum can pass them, else Python's integers."""
+    v_ids, v_rows, v = vectors
+    if not len(v):
+        return
+    width = max(len(r) for r in (*queries[2], *v))
+    v = np.array([[*r, *[0] * (width - len(r))] for r in v], object)
+    most = max(sum(map(abs, r)) for r in v.tolist()) if width else 0
+    narrow = v.astype(np.int64) if most < 2**63 else None
+    for q_id, q_row, query in zip(*queries, strict=True):
+        query = [*query, *[0] * (width - len(query))]
+        fits = narrow is not None and most * max(map(abs, query), default=0) < 2**63
+        score = (narrow @ np.array(query, np.int64) if fits else v @ np.array(query, object)).tolist() if width else [0] * len(v)
+        found = heapq.nsmallest(k, ((-s, i) for s, i, row in zip(score, v_ids, v_rows, strict=True) if row != q_row))
+        for s, i in found:
+            yield q_id, q_row, i, -s
+
+
 def search_shard(query: np.ndarray, shard: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the shard that reach the threshold, and their scores."""
     bound, least = np.maximum(query * low, query * high), np.minimum(query * low, query * high)
@@ -89,9 +121,9 @@ def search_cell(queries: tuple, vectors: tuple, k: int) -> Iterator[tuple[int, i
 def top_k(vectors: DataFrame, k: int, queries_every: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by queries_every, the k best other rows.
 
-    Ties go to the smaller id. Rows with a null id, and vectors that are null or hold a null, non-finite or too large
-    component (LIMIT) take no part; missing dimensions count as 0. Repeated rows are candidates of their own, and each
-    repeated query row has results of its own. No rows: no results.
+    Ties go to the smaller id. Rows with a null id, and vectors that are null or hold a null or non-finite component
+    take no part; missing dimensions count as 0. Repeated rows are candidates of their own, and each repeated query row
+    has results of its own. A score that 64 bits cannot hold is an error, as in SQL. No rows: no results.
     """
     table = stored(quantised(vectors, id_col, vector_col))
     is_query = F.col("vec_id") % queries_every == 0
@@ -99,12 +131,19 @@ def top_k(vectors: DataFrame, k: int, queries_every: int, id_col: str = "vec_id"
     across, down = -(-max(n, 1) // CELL_VECTORS), -(-max(n_queries, 1) // CELL_QUERIES)
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     spread = lambda m: F.pmod(F.xxhash64("row"), F.lit(m)).cast("int")
-    left = table.where(is_query).select("vec_id", "row", "q", spread(down).alias("down"), every(across).alias("across"))
-    right = table.select("vec_id", "row", "q", every(down).alias("down"), spread(across).alias("across"))
+    left = table.where(is_query).select("vec_id", "row", "q", "large", spread(down).alias("down"), every(across).alias("across"))
+    right = table.select("vec_id", "row", "q", "large", every(down).alias("down"), spread(across).alias("across"))
 
     def cell(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        sides = [(t.column("vec_id").to_numpy(), t.column("row").to_numpy(), _matrix(t.column("q").to_pylist())) for t in (a, b)]
-        found = list(search_cell(*sides, k)) if a.num_rows and b.num_rows else []
+        whole = [t.filter(pc.is_valid(t.column("q"))) for t in (a, b)]
+        sides = [(t.column("vec_id").to_numpy(), t.column("row").to_numpy(), _matrix(t.column("q").to_pylist())) for t in whole]
+        found = list(search_cell(*sides, k)) if all(t.num_rows for t in whole) else []
+        apart = [t.filter(pc.is_valid(t.column("large"))) for t in (a, b)]
+        if any(t.num_rows for t in apart):
+            wide = lambda t, large: (t.column("vec_id").to_pylist(), t.column("row").to_pylist(), [_whole(r) for r in t.column("large").to_pylist()] if large else t.column("q").to_pylist())
+            q, v = ((wide(t, False), wide(u, True)) for t, u in zip(whole, apart, strict=True))
+            for x, y in ((q[1], v[0]), (q[0], v[1]), (q[1], v[1])):
+                found += search_apart(x, y, k)
         columns = list(zip(*found, strict=True)) if found else [[]] * 4
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "query_row", "vec_id", "score"])
 
