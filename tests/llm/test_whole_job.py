@@ -45,3 +45,14 @@ def test_top_k_scores_large_components(spark):
     assert any(j >= 100 for _, _, j, _ in want) and any(i == 100 for i, _, _, _ in want)
     wide = max_score.search_apart(([1], [1], [max_score._whole([1e300, 1.0])]), ([2], [2], [[256, 512]]), 1)
     assert list(wide) == [(1, 1, 2, 65536 * int(1e300) + 256 * 512)]
+
+
+@pytest.mark.parametrize("i", [7377, 14946])
+def test_near_dedup_finds_an_isolated_pair_at_the_threshold(spark, i):
+    pair = [" ".join([*(f"w{i}.{j}" for j in range(8)), f"{x}{i}"]) for x in "xy"]  # 8 of 10 words are shared
+    a, b = near_dedup.signatures(*near_dedup.shingle_sets(pa.array(pair), 1))
+    assert (a == b).sum() < 84
+    data = list(enumerate([*pair, *(f"other{k} words{k}" for k in range(20))]))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, width=1).collect()}
+    assert got == {k: 0 if k < 2 else k for k, _ in data}

@@ -34,7 +34,7 @@ REGION, SHARED = 1024, 64
 #: Classes, and shingles, of a block of a component, about; a block has one class at least.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Standard errors by which a signature may fall short of the wanted similarity and still link provisionally.
-SLACK = 4.0
+SLACK = 6.0
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
