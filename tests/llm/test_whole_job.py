@@ -56,3 +56,12 @@ def test_near_dedup_finds_an_isolated_pair_at_the_threshold(spark, i):
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, width=1).collect()}
     assert got == {k: 0 if k < 2 else k for k, _ in data}
+
+
+def test_word_shapes_take_the_whole_word():
+    words = [b"x" * 60 + b"@1234", b"x" * 400 + b"@1234", b"1" * 700, b"1" * 60, b"a", b"x" * 200, b"x" * 60]
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    shape, kind = pii.word_shapes(np.frombuffer(b" ".join(words) + b" ", np.uint8), ends - [len(w) for w in words], ends)
+    assert (shape[0], kind[0]) == (shape[1], kind[1]) and (shape[2], kind[2]) == (shape[3], kind[3]) and shape[5] == shape[6]
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in pii.word_shapes(np.zeros(0, np.uint8), none, none)] == [0, 0]

@@ -84,10 +84,14 @@ _EDGE, _PLAIN, _SOME_DIGITS, _NUMBER, _AT, _DOTTED, _PHONE_PART, _SIGN, _LONG =
 
 
 def word_shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shape and class of each word data[start:end]; words of over 200 bytes count as their first 200."""
-    n = np.minimum(ends - starts, 200)
-    sums = np.add.reduceat(np.append(_PACKED[data], np.uint64(0)), np.stack((starts, starts + n), axis=1).ravel())[::2]
-    count = {k: ((sums >> np.uint64(8 * i)) & np.uint64(255)).astype(np.int64) for i, k in enumerate(_CLASSES)}
+    """Shape and class of each word data[start:end]; words of over 200 bytes are summed in parts, as a sum has eight bits."""
+    n = ends - starts
+    parts = np.maximum(-(-n // 200), 1)
+    word = np.repeat(np.arange(len(starts)), parts)
+    first = np.cumsum(parts) - parts
+    at = starts[word] + 200 * (np.arange(len(word)) - first[word])
+    sums = np.add.reduceat(np.append(_PACKED[data], np.uint64(0)), np.stack((at, np.minimum(at + 200, ends[word])), axis=1).ravel())[::2]
+    count = {k: np.add.reduceat(((sums >> np.uint64(8 * i)) & np.uint64(255)).astype(np.int64), first) for i, k in enumerate(_CLASSES)}
     count["length"] = n
     count["other"] = n - count["digit"] - count["hex"] - count["dot"] - count["phone"] - count["at"] - count["quote"] - count["mark"]
     shape = np.zeros(len(starts), np.int64)
