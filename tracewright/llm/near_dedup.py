@@ -3,12 +3,13 @@
 1. Documents with the same set of shingles are one class. Each class gets a signature of HASHES minhashes, a byte each.
 2. A tree is an order of the signatures, rotated by MIN_DEPTH positions a tree. Classes that share a tree's first
    MIN_DEPTH values form a region; classes alone in a region leave that tree.
-3. A region is read in the order of its tree, over as many tasks as it takes. Regions of up to REGION classes are
-   compared whole; a larger one is cut where its neighbours share the least of their prefixes, which is a greater
-   depth there, and neighbouring parts share some classes. Classes whose signatures agree on enough positions are
-   provisionally linked; what is emitted is a star for each linked set, not its pairs.
-4. The components of these links are verified on full sets, from the whole texts, in groups of bounded size: a larger
-   component is dealt into blocks, and each pair of blocks is a group. What is confirmed is again emitted as stars.
+3. A region of up to REGION classes is compared whole. A larger one is read in the order of its tree and cut where its
+   neighbours share the least of their prefixes, which is a greater depth there; neighbouring parts share some classes.
+   Then its classes outside its largest component so far are compared with all of it, in blocks. Classes whose
+   signatures agree on enough positions are provisionally linked; a star is emitted for each linked set, not its pairs.
+4. The components of these links are verified on full sets, from the whole texts, in groups of bounded size. A component
+   of many blocks is verified by chance blocks first, and what its largest part leaves out then meets all blocks. What
+   is confirmed is again emitted as stars.
 5. The components of the confirmed links are the result.
 """
 
@@ -26,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.llm.common import fresh, ragged, slices, stored, with_columns
-from tracewright.llm.graph import components
+from tracewright.llm.graph import HOT, components, looked_up
 
 HASHES, MIN_DEPTH = 128, 4
 #: Classes of a region that are compared at a time; classes that neighbouring parts of a larger region share.
 REGION, SHARED = 1024, 64
 #: Classes, and shingles, of a block of a component, about; a block has one class at least.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Of the classes that a block's verification has linked, one in so many meets those of other blocks.
+DRAWN = 8
 #: Standard errors by which a signature may fall short of the wanted similarity and still link provisionally.
 SLACK = 6.0
 
@@ -101,45 +104,72 @@ def _star(nodes: np.ndarray, group: np.ndarray) -> list[pa.Array]:
     return [pa.array(nodes[nodes != root]), pa.array(root[nodes != root])]
 
 
-def _regions(table: DataFrame, similarity: float) -> DataFrame:
-    """Provisional links (a, b) between classes of table (node, sign)."""
+def _signs(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint8).reshape(-1, HASHES)
+
+
+def members(table: DataFrame) -> DataFrame:
+    """(region, node, wide) of the classes (node, sign) that share a region of a tree with others.
+
+    A region is wide if it has more than REGION classes, or may go on in another task. The low bits of a region name
+    its tree.
+    """
     trees = HASHES // MIN_DEPTH
     powers = _mix(np.arange(1, HASHES + 1, dtype=np.uint64)).reshape(trees, MIN_DEPTH)
-    least = int(np.floor(HASHES * (similarity - SLACK * np.sqrt(similarity * (1 - similarity) / HASHES))))
     parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["region", "node", "wide"]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signs = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint8).reshape(-1, trees, MIN_DEPTH).astype(np.uint64)
+            signs = _signs(batch).reshape(-1, trees, MIN_DEPTH).astype(np.uint64)
             keys = _mix((signs * powers).sum(axis=2, dtype=np.uint64) + np.arange(trees, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            keys = (keys & ~np.uint64(31)) | np.arange(trees, dtype=np.uint64)  # the low bits name the tree
+            keys = (keys & ~np.uint64(31)) | np.arange(trees, dtype=np.uint64)
             node = np.repeat(batch.column("node").to_numpy(), trees)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(node)], names=["region", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(node)], names=names[:2])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of regions with company, and the first and last region of the task, which may go on in others."""
-        held, held_joined, first = None, False, None
+        region = node = np.zeros(0, np.int64)  # the last run so far
+        first = open_ = None  # the task's first region, and the wide one that was passed on last
         for batch in batches:
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            if not batch.num_rows:
+            region, node = (np.concatenate((x, batch.column(c).to_numpy())) for x, c in ((region, "region"), (node, "node")))
+            if not len(region):
                 continue
-            region = batch.column("region").to_numpy()
-            same = region[1:] == region[:-1]
-            joined = np.concatenate(([held_joined], same))
             first = region[0] if first is None else first
-            yield batch.slice(0, len(region) - 1).filter(pa.array(joined[:-1] | same | (region[:-1] == first)))
-            held, held_joined = batch.slice(len(region) - 1), bool(joined[-1])
-        if held is not None:
-            yield held
+            starts = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
+            sizes = np.diff(np.append(starts, len(region)))
+            wide = (sizes > REGION) | (region[starts] == first) | (region[starts] == open_)
+            done = wide | (sizes > 1)
+            done[-1] = wide[-1]
+            rows = np.repeat(done, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(region[rows]), pa.array(node[rows]), pa.array(np.repeat(wide, sizes)[rows])], names=names)
+            open_ = region[-1] if wide[-1] else open_
+            last = len(region) if wide[-1] else starts[-1]
+            region, node = region[last:], node[last:]
+        if len(region):
+            yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(node), pa.array(np.ones(len(region), bool))], names=names)
 
     keyed = table.mapInArrow(prefixes, "region long, node long").repartitionByRange(parts, "region", "node").sortWithinPartitions("region", "node")
-    members = keyed.mapInArrow(shared, "region long, node long").join(table, "node")
+    return stored(keyed.mapInArrow(shared, "region long, node long, wide boolean"))
+
+
+def provisional_components(table: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of classes (node, sign) that are linked provisionally, by the regions that they share.
+
+    Every two classes of one region whose signatures agree on enough positions are of one component.
+    Regions that are not wide are compared whole. A wide one is read in the order of its tree and compared in windows,
+    which overlap; then its classes outside its largest component so far are compared with all its classes, in blocks.
+    """
+    least = int(np.floor(HASHES * (similarity - SLACK * np.sqrt(similarity * (1 - similarity) / HASHES))))
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row, link = "region long, node long, sign binary", "a long, b long"
+
+    def links(nodes: list[int], signs: list[bytes]) -> pa.RecordBatch:
+        found = linked(np.frombuffer(b"".join(signs), np.uint8).reshape(-1, HASHES), least)
+        return pa.RecordBatch.from_arrays(_star(np.array(nodes, np.int64), found), names=["a", "b"])
 
     def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signs = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint8).reshape(-1, HASHES)
-            shift = (batch.column("region").to_numpy() & 31) * MIN_DEPTH
+            signs, shift = _signs(batch), (batch.column("region").to_numpy() & 31) * MIN_DEPTH
             turned = signs[np.arange(len(signs))[:, None], (np.arange(HASHES)[None, :] + shift[:, None]) % HASHES]
             yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("node"), pa.array([r.tobytes() for r in turned], pa.binary())], names=["region", "node", "sign"])
 
@@ -147,29 +177,58 @@ def _regions(table: DataFrame, similarity: float) -> DataFrame:
         now: int | None = None
         nodes: list[int] = []
         signs: list[bytes] = []
-
-        def links(n: int) -> pa.RecordBatch:
-            found = linked(np.frombuffer(b"".join(signs[:n]), np.uint8).reshape(-1, HASHES), least)
-            return pa.RecordBatch.from_arrays(_star(np.array(nodes[:n], np.int64), found), names=["a", "b"])
-
         for batch in batches:
             for region, node, sign in zip(*(batch.column(c).to_pylist() for c in ("region", "node", "sign")), strict=True):
                 if region != now:
                     if len(nodes) > 1:
-                        yield links(len(nodes))
+                        yield links(nodes, signs)
                     now, nodes, signs = region, [], []
-                nodes.append(node)
-                signs.append(sign)
-                if len(nodes) == REGION:
+                elif len(nodes) == REGION:  # wide: cut where neighbours share the least of their prefixes
                     depth = [next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), HASHES) for a, b in zip(signs[REGION // 2 :], signs[REGION // 2 + 1 :], strict=False)]
                     cut = REGION // 2 + 1 + int(np.argmin(depth))
-                    yield links(cut)
+                    yield links(nodes[:cut], signs[:cut])
                     nodes, signs = nodes[cut - SHARED :], signs[cut - SHARED :]
+                nodes.append(node)
+                signs.append(sign)
         if len(nodes) > 1:
-            yield links(len(nodes))
-
-    ordered = members.select("region", "node", "sign").mapInArrow(rotate, "region long, node long, sign binary").repartitionByRange(parts, "region", "sign").sortWithinPartitions("region", "sign")
-    return ordered.mapInArrow(compare, "a long, b long")
+            yield links(nodes, signs)
+
+    def compare_blocks(key: tuple, rows: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([links(rows.column("node").to_pylist(), rows.column("sign").to_pylist())])
+
+    whole = shared.where("not wide").select("region", "node").join(table, "node").select("region", "node", "sign").repartition(parts, "region").sortWithinPartitions("region", "node")
+    wide = shared.where("wide").select("region", "node")
+    found = whole.mapInArrow(compare, link)
+    if wide.isEmpty():
+        return components(found)
+    turned = stored(wide.join(table, "node").select("region", "node", "sign").mapInArrow(rotate, row))
+    found = stored(found.unionAll(turned.repartitionByRange(parts, "region", "sign").sortWithinPartitions("region", "sign").mapInArrow(compare, link)))
+    label = components(found)
+    parted = wide.join(label.withColumnRenamed("root", "part"), "node", "left").select(F.col("region").alias("root"), "node", F.coalesce("part", "node").alias("part"), F.lit(1).alias("size"))
+    met = dealt(stored(parted), REGION // 2, REGION // 2).join(table, "node").select("root", "i", "j", "node", "sign")
+    more = stored(met.groupBy("root", "i", "j").applyInArrow(compare_blocks, link))
+    return label if more.isEmpty() else components(found.unionAll(more))
+
+
+def dealt(rows: DataFrame, most: int, most_size: int) -> DataFrame:
+    """(root, i, j, node): the groups in which the nodes of a root meet, for rows (root, node, part, size).
+
+    Nodes of one part are linked already. The nodes of a root's largest part, and the others, are dealt into blocks of at
+    most about so many nodes and so much size, one node at least. A group is two blocks, not both of the largest part; so
+    every two nodes of different parts meet in some group, and a root of one part has no group.
+    """
+    of_part = rows.groupBy("root", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    largest = of_part.groupBy("root").agg(F.max(F.struct("n", (-F.col("part")).alias("part"), "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("n > main.n")
+    needed = lambda n, size: F.ceil(F.greatest(n / most, size / most_size)).cast("int")
+    plan = largest.select("root", (-F.col("main.part")).alias("main"), needed(F.col("main.n"), F.col("main.size")).alias("main_blocks"), needed(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("blocks"))
+    placed = looked_up(rows, "root", stored(plan))
+    is_main = F.col("part") == F.col("main")
+    own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("main_blocks")).otherwise(F.col("blocks"))).cast("int") + F.when(is_main, F.col("blocks")).otherwise(0)
+    others = F.sequence(F.lit(0), F.when(is_main, F.col("blocks") - 1).otherwise(F.col("blocks") + F.col("main_blocks") - 1))
+    placed = placed.select("root", "node", own.alias("own"), others.alias("others"))
+    pairs = F.filter("others", lambda j: j != F.col("own"))
+    meet = F.transform(pairs, lambda j: F.struct(F.least(j, "own").alias("i"), F.greatest(j, "own").alias("j")))
+    return placed.select("root", "node", F.explode(meet).alias("pair")).select("root", "pair.i", "pair.j", "node")
 
 
 def confirmed(flat: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
@@ -201,6 +260,46 @@ def confirmed(flat: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     return np.array([top(i) for i in range(n)])
 
 
+def confirmed_links(rough: DataFrame, width: int, percent: int) -> DataFrame:
+    """Stars (a, b) of the confirmed links, for classes (root, node, size, text) of the components of provisional links.
+
+    Every two texts of a component that are linked are of one component of the result. A component of one block is
+    verified whole. A larger one is dealt into blocks by chance, which are verified; then again those that lead a set of
+    their block and one in DRAWN of the others, as long as that leaves few. What the largest part of the component then
+    leaves out meets all blocks.
+    """
+
+    def confirm(key: tuple, rows: pa.Table) -> pa.Table:
+        flat, counts = shingle_sets(rows.column("text").combine_chunks(), width)
+        return pa.table(_star(rows.column("node").to_numpy(), confirmed(flat, counts, percent)), names=["a", "b"])
+
+    texts = rough.select("node", "text")
+    verified = lambda groups: stored(groups.join(texts, "node").groupBy("root", "i", "j").applyInArrow(confirm, "a long, b long"))
+    needed = F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)
+    level, n, links, turn = rough.select("root", "node", "size"), rough.count(), [], 0
+    large = None
+    while True:
+        blocks = stored(level.groupBy("root").agg(F.ceil(needed).cast("int").alias("blocks")))
+        block = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")).cast("int")
+        at = looked_up(level, "root", blocks)
+        links.append(verified(at.select("root", block.alias("i"), block.alias("j"), "node")))
+        at = stored(at.where("blocks > 1").select("root", "node", "size"))
+        large = at if large is None else large
+        led = at.join(links[-1].select(F.col("a").alias("node")).distinct().withColumn("led", F.lit(True)), "node", "left")
+        level = stored(led.where(F.col("led").isNull() | (F.pmod(F.xxhash64("node", F.lit(-1 - turn)), F.lit(DRAWN)) == 0)).select("root", "node", "size"))
+        before, n, turn = n, level.count(), turn + 1
+        if not n or 2 * n > before:
+            break
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionAll(more)
+    if large.isEmpty():
+        return every
+    label = components(every.join(large.select(F.col("node").alias("a")), "a", "left_semi")).withColumnRenamed("root", "part")
+    parted = large.join(label, "node", "left").select("root", "node", F.coalesce("part", "node").alias("part"), "size")
+    return every.unionAll(verified(dealt(stored(parted), BLOCK, BLOCK_SHINGLES)))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """docs with n_shingles (long), component_id (the id's type), kept and is_first (boolean) added.
 
@@ -217,40 +316,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             flat, counts = shingle_sets(batch.column(text_col), width)
-            ends = np.cumsum(counts)
-            keys = [hashlib.blake2b(flat[e - n : e].tobytes(), digest_size=16).digest() for e, n in zip(ends, counts, strict=True)]
+            ends, own = np.cumsum(counts), batch.column(row).to_pylist()
+            # an empty set is of no class: its key is the row's own
+            keys = [hashlib.blake2b(flat[e - n : e].tobytes(), digest_size=16).digest() if n else o.to_bytes(8, "big") for e, n, o in zip(ends, counts, own, strict=True)]
             signs = [s.tobytes() for s in signatures(flat, counts)]
             yield with_columns(batch, {size: pa.array(counts, pa.int64()), key: pa.array(keys, pa.binary()), sign: pa.array(signs, pa.binary())})
 
     source = docs.select(*(F.col(f"`{c}`") for c in others), F.monotonically_increasing_id().alias(row))
     described = stored(source.mapInArrow(describe, T.StructType([*source.schema.fields, T.StructField(size, T.LongType()), T.StructField(key, T.BinaryType()), T.StructField(sign, T.BinaryType())])))
-    classes = stored(described.where(F.col(size) > 0).groupBy(key).agg(F.min(row).alias("node"), F.min(f"`{id_col}`").alias("id"), F.first(sign).alias("sign"), F.first(size).alias("size")))
-    rough = components(_regions(classes.select("node", "sign"), percent / 100))
-    needed = F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)
-    sizes = rough.join(classes.select("node", "size"), "node").groupBy("root").agg(F.ceil(needed).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j"))))
-    dealt = rough.join(sizes, "root").select("root", "node", pairs.alias("pair"))
-    texts = described.select(F.col(row).alias("node"), F.col(f"`{text_col}`").alias("text"))
-    groups = dealt.join(texts, "node").select("root", "pair.i", "pair.j", "node", "text")
-
-    def confirm(key: tuple, rows: pa.Table) -> pa.Table:
-        nodes = rows.column("node").to_numpy()
-        flat, counts = shingle_sets(rows.column("text").combine_chunks(), width)
-        return pa.table(_star(nodes, confirmed(flat, counts, percent)), names=["a", "b"])
-
-    links = groups.groupBy("root", "i", "j").applyInArrow(confirm, "a long, b long")
-    final = components(links)
-    joined = classes.select(key, "node", "id").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = joined.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_class = joined.join(best, "root").select(key, "root", "component_id")
-    result = described.drop(sign).withColumnRenamed(size, "n_shingles").join(of_class, key, "left")
-    result = result.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(f"`{id_col}`")))
-    result = result.withColumn("kept", F.coalesce(F.col(f"`{id_col}`") == F.col("component_id"), F.lit(False)))
-    lead = described.select(F.col(key), F.col(row).alias("lead"), F.col(f"`{id_col}`").alias("lead_id")).where(F.col(size) > 0)
-    leads = lead.join(of_class, key).where(F.col("lead_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("root").alias("lead_root")).agg(F.min("lead").alias("lead"))
-    result = result.join(leads, F.col("root") == F.col("lead_root"), "left")
-    result = result.withColumn("is_first", F.coalesce(F.col(row) == F.col("lead"), F.lit(True)))
+    own_id = F.col(f"`{id_col}`")
+    first = F.struct(own_id.isNull().alias("none"), own_id.alias("id"), F.col(row).alias("row"))
+    classes = stored(described.where(F.col(size) > 0).groupBy(key).agg(F.min(row).alias("node"), F.min(first).alias("first"), F.first(sign).alias("sign"), F.count("*").alias("copies")))
+    table = classes.select("node", "sign")
+    rough = provisional_components(table, members(table), percent / 100)
+    texts = described.select(F.col(row).alias("node"), F.col(size).alias("size"), F.col(f"`{text_col}`").alias("text"))
+    final = components(confirmed_links(stored(rough.join(texts, "node")), width, percent))
+    best = stored(final.join(classes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("best")))
+    of_node = looked_up(final, "root", best).select("node", "best")
+    of_class = classes.join(of_node, "node", "left").where(F.col("best").isNotNull() | (F.col("copies") > 1))
+    of_class = stored(of_class.select(key, F.coalesce("best", "first").alias("best"), "copies"))
+    hot = of_class.where(F.col("copies") > described.count() / HOT).select(key)
+    result = looked_up(described.drop(sign).withColumnRenamed(size, "n_shingles"), key, of_class.drop("copies"), "left", hot)
+    result = result.withColumn("component_id", F.when(F.col("best").isNotNull(), F.col("best.id")).otherwise(own_id))
+    result = result.withColumn("kept", F.coalesce(own_id == F.col("component_id"), F.lit(False)))
+    result = result.withColumn("is_first", F.coalesce(F.col(row) == F.col("best.row"), F.lit(True)))
     return result.select(*(F.col(f"`{c}`") for c in others), "n_shingles", "component_id", "kept", "is_first")
 
 
