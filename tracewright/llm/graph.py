@@ -45,3 +45,11 @@ def components(edges: DataFrame) -> DataFrame:
         tops = lower.select(F.col("node").alias("root"), F.col("root").alias("top")).where("root <> top")
         moves = stored(tops.join(lower.select("root").distinct(), "root", "left_semi"))
         labels = stored(looked_up(lower.select("node", "root"), "root", moves, "left").select("node", F.coalesce("top", "root").alias("root")))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root) after links (a, b) between their roots, or nodes that are alone, have been added."""
+    tops = components(links)
+    alone = tops.join(labels, "node", "left_anti").select("node", F.col("node").alias("root"))
+    tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return stored(looked_up(labels.unionByName(alone), "root", tops, "left").select("node", F.coalesce("top", "root").alias("root")))

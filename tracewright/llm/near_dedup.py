@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.llm.common import fresh, ragged, slices, stored, with_columns
-from tracewright.llm.graph import HOT, components, looked_up
+from tracewright.llm.graph import HOT, components, looked_up, merged
 
 HASHES, MIN_DEPTH = 128, 4
 #: Classes of a region that are compared at a time; classes that neighbouring parts of a larger region share.
@@ -96,12 +96,12 @@ def linked(signs: np.ndarray, least: int) -> np.ndarray:
         label = new
 
 
-def _star(nodes: np.ndarray, group: np.ndarray) -> list[pa.Array]:
-    """(a, b): each node of a group with the group's smallest one, which is often the same in many regions."""
+def _star(nodes: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+    """(a, b): each node of a group, once, with the group's smallest one, which is often the same in many regions."""
     least = np.full(len(nodes), np.iinfo(np.int64).max)
     np.minimum.at(least, group, nodes)
-    root = least[group]
-    return [pa.array(nodes[nodes != root]), pa.array(root[nodes != root])]
+    star = np.unique(np.stack((nodes, least[group]))[:, nodes != least[group]], axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(star[0]), pa.array(star[1])], names=["a", "b"])
 
 
 def _signs(batch: pa.RecordBatch) -> np.ndarray:
@@ -165,7 +165,7 @@ def provisional_components(table: DataFrame, shared: DataFrame, similarity: floa
 
     def links(nodes: list[int], signs: list[bytes]) -> pa.RecordBatch:
         found = linked(np.frombuffer(b"".join(signs), np.uint8).reshape(-1, HASHES), least)
-        return pa.RecordBatch.from_arrays(_star(np.array(nodes, np.int64), found), names=["a", "b"])
+        return _star(np.array(nodes, np.int64), found)
 
     def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +194,7 @@ def provisional_components(table: DataFrame, shared: DataFrame, similarity: floa
             yield links(nodes, signs)
 
     def compare_blocks(key: tuple, rows: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([links(rows.column("node").to_pylist(), rows.column("sign").to_pylist())])
+        return pa.Table.from_batches([links(rows.column("part").to_pylist(), rows.column("sign").to_pylist())])
 
     whole = shared.where("not wide").select("region", "node").join(table, "node").select("region", "node", "sign").repartition(parts, "region").sortWithinPartitions("region", "node")
     wide = shared.where("wide").select("region", "node")
@@ -205,13 +205,13 @@ def provisional_components(table: DataFrame, shared: DataFrame, similarity: floa
     found = stored(found.unionAll(turned.repartitionByRange(parts, "region", "sign").sortWithinPartitions("region", "sign").mapInArrow(compare, link)))
     label = components(found)
     parted = wide.join(label.withColumnRenamed("root", "part"), "node", "left").select(F.col("region").alias("root"), "node", F.coalesce("part", "node").alias("part"), F.lit(1).alias("size"))
-    met = dealt(stored(parted), REGION // 2, REGION // 2).join(table, "node").select("root", "i", "j", "node", "sign")
+    met = dealt(stored(parted), REGION // 2, REGION // 2).join(table, "node").select("root", "i", "j", "part", "sign")
     more = stored(met.groupBy("root", "i", "j").applyInArrow(compare_blocks, link))
-    return label if more.isEmpty() else components(found.unionAll(more))
+    return label if more.isEmpty() else merged(label, more)
 
 
 def dealt(rows: DataFrame, most: int, most_size: int) -> DataFrame:
-    """(root, i, j, node): the groups in which the nodes of a root meet, for rows (root, node, part, size).
+    """(root, i, j, node, part): the groups in which the nodes of a root meet, for rows (root, node, part, size).
 
     Nodes of one part are linked already. The nodes of a root's largest part, and the others, are dealt into blocks of at
     most about so many nodes and so much size, one node at least. A group is two blocks, not both of the largest part; so
@@ -225,10 +225,10 @@ def dealt(rows: DataFrame, most: int, most_size: int) -> DataFrame:
     is_main = F.col("part") == F.col("main")
     own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("main_blocks")).otherwise(F.col("blocks"))).cast("int") + F.when(is_main, F.col("blocks")).otherwise(0)
     others = F.sequence(F.lit(0), F.when(is_main, F.col("blocks") - 1).otherwise(F.col("blocks") + F.col("main_blocks") - 1))
-    placed = placed.select("root", "node", own.alias("own"), others.alias("others"))
+    placed = placed.select("root", "node", "part", own.alias("own"), others.alias("others"))
     pairs = F.filter("others", lambda j: j != F.col("own"))
     meet = F.transform(pairs, lambda j: F.struct(F.least(j, "own").alias("i"), F.greatest(j, "own").alias("j")))
-    return placed.select("root", "node", F.explode(meet).alias("pair")).select("root", "pair.i", "pair.j", "node")
+    return placed.select("root", "node", "part", F.explode(meet).alias("pair")).select("root", "pair.i", "pair.j", "node", "part")
 
 
 def confirmed(flat: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
@@ -260,10 +260,10 @@ def confirmed(flat: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     return np.array([top(i) for i in range(n)])
 
 
-def confirmed_links(rough: DataFrame, width: int, percent: int) -> DataFrame:
-    """Stars (a, b) of the confirmed links, for classes (root, node, size, text) of the components of provisional links.
+def confirmed_components(rough: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, root) by confirmed links, for classes (root, node, size, text) of the components of provisional links.
 
-    Every two texts of a component that are linked are of one component of the result. A component of one block is
+    Every two texts that are linked are of one component of the result. A component of one block is
     verified whole. A larger one is dealt into blocks by chance, which are verified; then again those that lead a set of
     their block and one in DRAWN of the others, as long as that leaves few. What the largest part of the component then
     leaves out meets all blocks.
@@ -271,7 +271,7 @@ def confirmed_links(rough: DataFrame, width: int, percent: int) -> DataFrame:
 
     def confirm(key: tuple, rows: pa.Table) -> pa.Table:
         flat, counts = shingle_sets(rows.column("text").combine_chunks(), width)
-        return pa.table(_star(rows.column("node").to_numpy(), confirmed(flat, counts, percent)), names=["a", "b"])
+        return pa.Table.from_batches([_star(rows.column("part").to_numpy(), confirmed(flat, counts, percent))])
 
     texts = rough.select("node", "text")
     verified = lambda groups: stored(groups.join(texts, "node").groupBy("root", "i", "j").applyInArrow(confirm, "a long, b long"))
@@ -282,7 +282,7 @@ def confirmed_links(rough: DataFrame, width: int, percent: int) -> DataFrame:
         blocks = stored(level.groupBy("root").agg(F.ceil(needed).cast("int").alias("blocks")))
         block = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")).cast("int")
         at = looked_up(level, "root", blocks)
-        links.append(verified(at.select("root", block.alias("i"), block.alias("j"), "node")))
+        links.append(verified(at.select("root", block.alias("i"), block.alias("j"), "node", F.col("node").alias("part"))))
         at = stored(at.where("blocks > 1").select("root", "node", "size"))
         large = at if large is None else large
         led = at.join(links[-1].select(F.col("a").alias("node")).distinct().withColumn("led", F.lit(True)), "node", "left")
@@ -293,11 +293,12 @@ def confirmed_links(rough: DataFrame, width: int, percent: int) -> DataFrame:
     every = links[0]
     for more in links[1:]:
         every = every.unionAll(more)
+    label = components(every)
     if large.isEmpty():
-        return every
-    label = components(every.join(large.select(F.col("node").alias("a")), "a", "left_semi")).withColumnRenamed("root", "part")
-    parted = large.join(label, "node", "left").select("root", "node", F.coalesce("part", "node").alias("part"), "size")
-    return every.unionAll(verified(dealt(stored(parted), BLOCK, BLOCK_SHINGLES)))
+        return label
+    parted = large.join(label.withColumnRenamed("root", "part"), "node", "left").select("root", "node", F.coalesce("part", "node").alias("part"), "size")
+    more = verified(dealt(stored(parted), BLOCK, BLOCK_SHINGLES))
+    return label if more.isEmpty() else merged(label, more)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -330,7 +331,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = classes.select("node", "sign")
     rough = provisional_components(table, members(table), percent / 100)
     texts = described.select(F.col(row).alias("node"), F.col(size).alias("size"), F.col(f"`{text_col}`").alias("text"))
-    final = components(confirmed_links(stored(rough.join(texts, "node")), width, percent))
+    final = confirmed_components(stored(rough.join(texts, "node")), width, percent)
     best = stored(final.join(classes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("best")))
     of_node = looked_up(final, "root", best).select("node", "best")
     of_class = classes.join(of_node, "node", "left").where(F.col("best").isNotNull() | (F.col("copies") > 1))
