@@ -105,13 +105,13 @@ def test_packages(spark):
 
 def test_features(spark):
     vias = spark.createDataFrame([("v1", (0.0, 0.0), 2.0, None, 0), ("v2", (10.0, 0.0), 1.0, [(9.0, -1.0), (11.0, -1.0), (11.0, 1.0), (9.0, 1.0)], 1)], "id string, center struct<x:double,y:double>, radius double, pad_boundary array<struct<x:double,y:double>>, ord int")
-    traces = spark.createDataFrame([("t1", "front", [(0.0, 0.0), (20.0, 0.0)], 2.0, 0)], "id string, side string, points array<struct<x:double,y:double>>, width double, ord int")
-    assert features.first_hit(features.hits(vias, traces, 10.5, 0.5)).first().id == "v2"
-    assert features.first_hit(features.hits(vias, traces, 5.0, 1.0)).first().id == "t1"
-    assert features.hits(vias, traces, 5.0, 1.01).count() == 0
+    tracks = spark.createDataFrame([("t1", "front", [(0.0, 0.0), (20.0, 0.0)], 2.0, 0)], "id string, side string, points array<struct<x:double,y:double>>, width double, ord int")
+    assert features.first_hit(features.hits(vias, tracks, 10.5, 0.5)).first().id == "v2"
+    assert features.first_hit(features.hits(vias, tracks, 5.0, 1.0)).first().id == "t1"
+    assert features.hits(vias, tracks, 5.0, 1.01).count() == 0
     flat = spark.createDataFrame([("v1", 0.0, 0.0, "front", 2.0, 0.5, True), ("v2", 20.0, 5.0, "back", 2.0, 0.9, False)], "id string, x double, y double, side string, radius double, confidence double, both_sides_confirmed boolean")
-    assert [tuple(r) for r in features.traces_at(traces, flat, 5.0).orderBy("via_id").collect()] == [("v1", "t1"), ("v2", "t1")]
-    assert [tuple(r) for r in features.traces_at(traces, flat, 5.0, same_side=True).collect()] == [("v1", "t1")]
+    assert [tuple(r) for r in features.tracks_at(tracks, flat, 5.0).orderBy("via_id").collect()] == [("v1", "t1"), ("v2", "t1")]
+    assert [tuple(r) for r in features.tracks_at(tracks, flat, 5.0, same_side=True).collect()] == [("v1", "t1")]
     assert tuple(features.side_counts(flat).first()) == (1, 1)
     assert features.boosted(flat, 0.5).where("id = 'v1'").first().confidence == 0.75
     near = spark.createDataFrame([("n1", 3.0, 0.0, 1.5), ("n2", 100.0, 0.0, 1.0)], "id string, x double, y double, radius double")

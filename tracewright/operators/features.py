@@ -1,4 +1,4 @@
-"""Selecting, counting and changing feature records: vias, traces, connectors, components, samples, buses.
+"""Selecting, counting and changing feature records: vias, tracks, connectors, components, samples, buses.
 
 A change is a new table: rows replaced by an anti-join and a union. An update is joined, never collected.
 """
@@ -42,11 +42,11 @@ def via_hit(p: Column) -> Column:
     return F.when(F.size("pad_boundary") > 2, in_polygon(p, F.col("pad_boundary"))).otherwise(distance(p, F.col("center")) <= F.col("radius"))
 
 
-def hits(vias: DataFrame, traces: DataFrame, x: float, y: float, tolerance: float = 0.0) -> DataFrame:
-    """(kind, id, ord) of the features at a point; the first by (kind, ord) is what a click selects: vias before traces."""
+def hits(vias: DataFrame, tracks: DataFrame, x: float, y: float, tolerance: float = 0.0) -> DataFrame:
+    """(kind, id, ord) of the features at a point; the first by (kind, ord) is what a click selects: vias before tracks."""
     p = point(F.lit(x), F.lit(y))
     v = vias.where(via_hit(p)).select(F.lit(0).alias("kind"), "id", "ord")
-    t = traces.where(on_trace(p, F.col("points"), F.col("width"), tolerance)).select(F.lit(1).alias("kind"), "id", "ord")
+    t = tracks.where(on_trace(p, F.col("points"), F.col("width"), tolerance)).select(F.lit(1).alias("kind"), "id", "ord")
     return v.unionByName(t)
 
 
@@ -58,15 +58,15 @@ def connector_hits(connectors: DataFrame, x: float, y: float, side: str) -> Data
     return connectors.where((F.col("side") == side) & inside(point(F.lit(x), F.lit(y)), F.col("bounds"))).orderBy("ord").limit(1)
 
 
-def trace_ends(traces: DataFrame) -> DataFrame:
-    """(id, side, x, y) of the first and last vertex of traces with two points or more."""
+def track_ends(tracks: DataFrame) -> DataFrame:
+    """(id, side, x, y) of the first and last vertex of tracks with two points or more."""
     ends = F.explode(F.array(F.get("points", F.lit(0)), F.element_at("points", -1)))
-    return traces.where(F.size("points") >= 2).select("id", "side", ends.alias("p")).select("id", "side", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    return tracks.where(F.size("points") >= 2).select("id", "side", ends.alias("p")).select("id", "side", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
 
-def traces_at(traces: DataFrame, vias: DataFrame, tolerance: float, same_side: bool = False) -> DataFrame:
-    """(via_id, trace_id) of traces with an end within the tolerance of a via."""
-    ends = trace_ends(traces).withColumn("end", F.concat_ws("@", "id", "x", "y"))
+def tracks_at(tracks: DataFrame, vias: DataFrame, tolerance: float, same_side: bool = False) -> DataFrame:
+    """(via_id, trace_id) of tracks with an end within the tolerance of a via."""
+    ends = track_ends(tracks).withColumn("end", F.concat_ws("@", "id", "x", "y"))
     pairs = near_join(vias.select("id", "x", "y"), ends.select(F.col("end").alias("id"), "x", "y"), tolerance)
     owner = ends.select(F.col("end").alias("right_id"), F.col("id").alias("trace_id"), F.col("side").alias("trace_side"))
     found = pairs.join(owner, "right_id").select(F.col("left_id").alias("via_id"), "trace_id", "trace_side").distinct()

@@ -1,6 +1,6 @@
-"""Nets: which vias, connectors and traces conduct together, what they are called, and what each pin connects to.
+"""Nets: which vias, connectors and tracks conduct together, what they are called, and what each pin connects to.
 
-Tables (see FIXTURES.md): vias(id, x, y), connectors(id, side, bx, by, bw, bh), traces(id, side, points), and
+Tables (see FIXTURES.md): vias(id, x, y), connectors(id, side, bx, by, bw, bh), tracks(id, side, points), and
 net_members(net_id, element_id), nets(net_id, name, manual).
 """
 
@@ -18,10 +18,10 @@ from tracewright.operators.near import near_join
 TOLERANCE = 5.0
 
 
-def conducting_pairs(traces: DataFrame, vias: DataFrame, connectors: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+def conducting_pairs(tracks: DataFrame, vias: DataFrame, connectors: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(a, b): trace ends within the tolerance of a via, trace ends in a connector's closed box on their side, and
     trace ends within the tolerance of any vertex of another trace on any side. Traces of one point are ignored."""
-    real = traces.where(F.size("points") >= 2)
+    real = tracks.where(F.size("points") >= 2)
     vertices = real.select("id", "side", F.posexplode("points").alias("k", "p"), F.size("points").alias("n"))
     vertices = vertices.select("id", "side", F.concat_ws("@", "id", "k").alias("vertex"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), ((F.col("k") == 0) | (F.col("k") == F.col("n") - 1)).alias("end"))
     ends = vertices.where("end")
@@ -40,7 +40,7 @@ def conducting_pairs(traces: DataFrame, vias: DataFrame, connectors: DataFrame,
 
 
 def reconciled(pairs: DataFrame, elements: DataFrame, nets: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New (nets, members) from conducting pairs and the old ones. elements(id, kind): the vias, connectors and traces.
+    """New (nets, members) from conducting pairs and the old ones. elements(id, kind): the vias, connectors and tracks.
 
     A component stays if it holds a trace or an element of an old net. Of its old nets, manual ones beat the rest,
     then the name's priority, its length and the id decide; a component without one gets a number after the highest,
