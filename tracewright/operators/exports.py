@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.operators.nets import pin_order
+from tracewright.operators.order import numbered
 
 TOOL = "tracewright"
 
@@ -22,16 +23,15 @@ def _fixed(df: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
 
 def _numbered(nets: DataFrame) -> DataFrame:
     """nets with code, their number by name from 1: the format needs one count over all nets of a board."""
-    return nets.withColumn("code", F.row_number().over(W.orderBy("name")).cast("long"))
+    return numbered(nets, [F.col("name")], "code").withColumn("code", F.col("code").cast("long"))
 
 
 def kicad_netlist(title: str, components: DataFrame, nets: DataFrame, connections: DataFrame) -> DataFrame:
     """The s-expression netlist of components(id, part_number, package), nets(name) and connections(name, component, pin, ord)."""
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     head = _fixed(nets, [(0, '(export (version "E")'), (0, "  (design"), (0, f'    (source "{title}")'), (0, f'    (tool "{TOOL}")'), (0, "  )"), (0, "  (components"), (2, "  )"), (2, "  (nets"), (4, "  )"), (4, ")")])
-    place = F.row_number().over(W.orderBy("id")).cast("long")
     lines = F.filter(F.array(F.concat(F.lit("    (comp (ref "), quoted(F.col("id")), F.lit(")")), F.when(F.col("part_number") != "", F.concat(F.lit("      (value "), quoted(F.col("part_number")), F.lit(")"))), F.when(F.col("package") != "", F.concat(F.lit("      (footprint "), quoted(F.col("package")), F.lit(")"))), F.lit("    )")), lambda x: x.isNotNull())
-    comps = components.withColumn("place", place).select("place", F.posexplode(lines).alias("k", "line")).select(F.lit(1).alias("part"), F.array("place", F.col("k").cast("long")).alias("seq"), "line")
+    comps = numbered(components, [F.col("id")], "place").withColumn("place", F.col("place").cast("long")).select("place", F.posexplode(lines).alias("k", "line")).select(F.lit(1).alias("part"), F.array("place", F.col("k").cast("long")).alias("seq"), "line")
     coded = _numbered(nets)
     first = coded.select(F.array("code", F.lit(0).cast("long")).alias("seq"), F.concat(F.lit("    (net (code "), quoted(F.col("code").cast("string")), F.lit(") (name "), quoted(F.col("name")), F.lit(")")).alias("line"))
     nodes = connections.join(coded, "name").select(F.array("code", F.col("ord").cast("long") + 1).alias("seq"), F.concat(F.lit("      (node (ref "), quoted(F.col("component")), F.lit(") (pin "), quoted(F.col("pin").cast("string")), F.lit("))")).alias("line"))
@@ -43,7 +43,7 @@ def kicad_netlist(title: str, components: DataFrame, nets: DataFrame, connection
 def spice_netlist(title: str, components: DataFrame, nets: DataFrame, connections: DataFrame) -> DataFrame:
     """The comment-style netlist of the same tables. A net is one line, as the format has it."""
     head = _fixed(nets, [(0, f"* {title}"), (0, f"* Generated by {TOOL}"), (0, ""), (0, "* Components:"), (2, ""), (2, "* Nets:"), (4, ""), (4, ".END")])
-    comps = components.select(F.lit(1).alias("part"), F.array(F.row_number().over(W.orderBy("id")).cast("long")).alias("seq"), F.concat(F.lit("* "), "id", F.lit(": "), "part_number", F.lit(" ("), "package", F.lit(")")).alias("line"))
+    comps = numbered(components, [F.col("id")], "place").select(F.lit(1).alias("part"), F.array(F.col("place").cast("long")).alias("seq"), F.concat(F.lit("* "), "id", F.lit(": "), "part_number", F.lit(" ("), "package", F.lit(")")).alias("line"))
     lists = connections.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("ord", F.concat_ws(".", "component", "pin").alias("t")))).alias("c"))
     rows = _numbered(nets).join(lists, "name", "left").select(F.lit(3).alias("part"), F.array("code").alias("seq"), F.concat(F.lit("* "), "name", F.lit(":"), F.coalesce(F.array_join(F.transform("c", lambda x: F.concat(F.lit(" "), x["t"])), ""), F.lit(""))).alias("line"))
     return head.unionByName(comps).unionByName(rows)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.geometry import distance, in_polygon, inside, on_trace, overlaps, point
 from tracewright.operators.near import near_join
+from tracewright.operators.order import numbered
 
 
 def on_side(df: DataFrame, side: str) -> DataFrame:
@@ -97,10 +98,9 @@ def confirmed_rows(matches: DataFrame, front: DataFrame, back: DataFrame) -> Dat
     """Confirmed vias of matches (left_id, right_id, dist): mean centre and radius, numbered by ascending distance."""
     f = front.select(F.col("id").alias("left_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("radius").alias("r1"), F.col("confidence").alias("c1"))
     b = back.select(F.col("id").alias("right_id"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("radius").alias("r2"), F.col("confidence").alias("c2"))
-    number = F.row_number().over(W.orderBy("dist", "left_id", "right_id"))
     mean = lambda a, c: (F.col(a) + F.col(c)) / 2
-    return matches.join(f, "left_id").join(b, "right_id").select(
-        F.format_string("cvia-%03d", number).alias("id"), F.col("left_id").alias("front_via_id"), F.col("right_id").alias("back_via_id"),
+    return numbered(matches, [F.col(c) for c in ("dist", "left_id", "right_id")]).join(f, "left_id").join(b, "right_id").select(
+        F.format_string("cvia-%03d", "number").alias("id"), F.col("left_id").alias("front_via_id"), F.col("right_id").alias("back_via_id"),
         mean("x1", "x2").alias("x"), mean("y1", "y2").alias("y"), mean("r1", "r2").alias("radius"), F.least(F.lit(1.0), mean("c1", "c2") * 1.2).alias("confidence"),
     )
 

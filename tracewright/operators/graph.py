@@ -6,42 +6,59 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.lookup import Keep, hot_keys, looked_up
 from tracewright.operators.loop import settled
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for edges (a, b): root is the smallest node reachable. Rounds pass on labels and jump."""
-    known = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b").distinct()
-    both = settled(known.unionAll(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settled(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
+def components(edges: DataFrame, keep: Keep = settled) -> DataFrame:
+    """(node, root) for edges (a, b): root is the smallest node reachable. A null end is no edge.
+
+    Each round passes the smallest label on along the edges, pre-aggregated by node, and then has each label replaced by
+    its own label; only labels that change are looked up, and hot nodes meet a broadcast copy. Rounds grow with the
+    logarithm of a component's diameter. keep cuts the lineage of a round.
+    """
+    known = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = keep(known.unionAll(known.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = keep(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
+    hot = hot_keys(both, "a", keep)
     while True:
-        near = both.join(labels, both["a"] == labels["node"]).groupBy("b").agg(F.min("root").alias("near"))
-        lower = labels.join(near, labels["node"] == near["b"]).select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
-        over = lower.select(F.col("node").alias("over"), F.col("root").alias("top"))
-        step = settled(lower.join(over, lower["root"] == over["over"]).select("node", F.least("root", "top").alias("root"), "old"))
-        labels = step.select("node", "root")
-        if step.where("root <> old").isEmpty():
+        near = looked_up(both, "a", labels.withColumnRenamed("node", "a"), hot=hot, keep=keep).groupBy("b").agg(F.min("root").alias("near"))
+        lower = keep(labels.join(near, labels["node"] == near["b"]).select("node", F.least("root", "near").alias("root"), F.col("root").alias("before")))
+        if lower.where("root <> before").isEmpty():
             return labels
+        tops = lower.select(F.col("node").alias("root"), F.col("root").alias("top")).where("root <> top")
+        moves = keep(tops.join(lower.select("root").distinct(), "root", "left_semi"))
+        labels = keep(looked_up(lower.select("node", "root"), "root", moves, "left", keep=keep).select("node", F.coalesce("top", "root").alias("root")))
+
 
+def merged(labels: DataFrame, links: DataFrame, keep: Keep = settled) -> DataFrame:
+    """Components (node, root) after links (a, b) between their roots, or nodes that are alone, have been added."""
+    tops = components(links, keep)
+    alone = tops.join(labels, "node", "left_anti").select("node", F.col("node").alias("root"))
+    tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return keep(looked_up(labels.unionByName(alone), "root", tops, "left", keep=keep).select("node", F.coalesce("top", "root").alias("root")))
 
-def layers(edges: DataFrame, most: int = 1000) -> DataFrame:
+
+def layers(edges: DataFrame) -> DataFrame:
     """(node, layer) for edges (a, b) by longest path: sources 0, else one more than the highest parent.
 
-    Nodes on cycles, which no order reaches, get 1. most bounds the rounds.
+    Nodes on cycles, which no order reaches, get 1. There is a round for each layer; a node counts the parents that it
+    still waits for, so a round reads the edges of the last layer only.
     """
     edges = settled(edges.select("a", "b").distinct())
-    nodes = settled(edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).distinct())
-    done = settled(nodes.join(edges.select(F.col("b").alias("node")), "node", "left_anti").withColumn("layer", F.lit(0)))
-    for _ in range(most):
-        open_ = nodes.join(done, "node", "left_anti")
-        waiting = edges.join(done.select(F.col("node").alias("a")), "a", "left_anti").select(F.col("b").alias("node")).distinct()
-        ready = open_.join(waiting, "node", "left_anti")
-        parents = edges.join(done.select(F.col("node").alias("a"), "layer"), "a").groupBy(F.col("b").alias("node")).agg((F.max("layer") + 1).alias("layer"))
-        new = settled(ready.join(parents, "node"))
-        if new.isEmpty():
-            break
-        done = settled(done.unionByName(new))
-    return done.unionByName(nodes.join(done, "node", "left_anti").withColumn("layer", F.lit(1)))
+    nodes = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).distinct()
+    waits = edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("waits"))
+    state = settled(nodes.join(waits, "node", "left").select("node", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(None).cast("int").alias("layer")))
+    turn = 0
+    while True:
+        ready = (F.col("waits") == 0) & F.col("layer").isNull()
+        state = state.select("node", "waits", F.when(ready, turn).otherwise(F.col("layer")).alias("layer"))
+        last = state.where(F.col("layer") == turn).select(F.col("node").alias("a"))
+        met = edges.join(last, "a", "left_semi").groupBy(F.col("b").alias("node")).agg(F.count("*").alias("met"))
+        state = settled(state.join(met, "node", "left").select("node", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits"), "layer"))
+        turn += 1
+        if state.where(ready).isEmpty():
+            return state.select("node", F.coalesce("layer", F.lit(1)).alias("layer"))
 
 
 def spanning_trees(points: DataFrame, group: str = "net_id") -> DataFrame:

@@ -14,6 +14,7 @@ from tracewright.functions.names import base_name, net_priority, output_name
 from tracewright.operators.graph import components
 from tracewright.operators.loop import settled
 from tracewright.operators.near import near_join
+from tracewright.operators.order import numbered
 
 TOLERANCE = 5.0
 
@@ -61,7 +62,7 @@ def reconciled(pairs: DataFrame, elements: DataFrame, nets: DataFrame, members:
     kept = kept.withColumn("own", F.col("net_id").isNotNull() & (claim == 1))
     number = F.regexp_extract("net_id", r"^net-(\d+)$", 1).try_cast("int")
     last = nets.agg(F.coalesce(F.max(number), F.lit(0)).alias("last"))
-    new = kept.where("not own").select("root", F.row_number().over(W.orderBy("first")).alias("k"))
+    new = numbered(kept.where("not own").select("root", "first"), [F.col("first")], "k").select("root", "k")
     named = kept.join(new, "root", "left").crossJoin(F.broadcast(last))  # one row of last
     fresh_id = F.format_string("net-%03d", F.col("last") + F.col("k"))
     named = named.select("root", F.when(F.col("own"), F.col("net_id")).otherwise(fresh_id).alias("new_id"), "name", F.coalesce("manual", F.lit(False)).alias("manual"))

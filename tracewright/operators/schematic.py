@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.geometry import snapped
 from tracewright.functions.names import is_ground, is_power
+from tracewright.operators.order import numbered
 
 
 def bus_families(nets: DataFrame, least: int = 4) -> DataFrame:
@@ -31,7 +32,7 @@ def junctions(waypoints: DataFrame, least: int = 3) -> DataFrame:
 
 def power_refs(ports: DataFrame) -> DataFrame:
     """ports(id, ord) with ref #PWR001 and so on, by position."""
-    return ports.withColumn("ref", F.format_string("#PWR%03d", F.row_number().over(W.orderBy("ord"))))
+    return numbered(ports, [F.col("ord")]).withColumn("ref", F.format_string("#PWR%03d", "number")).drop("number")
 
 
 def segments(wires: DataFrame) -> DataFrame:

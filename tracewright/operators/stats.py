@@ -34,10 +34,12 @@ def longest_run(df: DataFrame, order: str, hit: Column) -> DataFrame:
     bucket = hits.withColumn("part", F.floor(F.col("place") / 4096))
     own = bucket.withColumn("island", F.col("place") - F.row_number().over(W.partitionBy("part").orderBy("place")))
     runs = own.groupBy("part", "island").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    # runs that go on in the next part are joined; there are at most two open ones a part
+    # only runs that reach an end of their part may go on in another: two a part at most meet in one window
+    opened = (F.pmod("first", F.lit(4096)) == 0) | (F.pmod("last", F.lit(4096)) == 4095)
     w = W.orderBy("first")
-    joined = runs.withColumn("new", F.coalesce((F.col("first") != F.lag("last").over(w) + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
-    whole = joined.groupBy("run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    joined = runs.where(opened).withColumn("new", F.coalesce((F.col("first") != F.lag("last").over(w) + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
+    whole = joined.groupBy("run").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("first", "last")
+    whole = whole.unionByName(runs.where(~opened).select("first", "last"))
     return whole.withColumn("length", F.col("last") - F.col("first") + 1).orderBy(F.desc("length"), "first").limit(1).select("first", "last", "length")
 
 

@@ -23,8 +23,8 @@ def component_sizes(spark, d):
 
 
 def _order_pins(spark, d):
-    """Nets are orders; pins are their lines' parts at suppliers, of lines of 50 pieces."""
-    lines = table(spark, d, "lineitem").where("l_quantity = 50")
+    """Nets are orders; pins are their lines' parts at suppliers."""
+    lines = table(spark, d, "lineitem")
     return lines.select(F.col("l_orderkey").alias("net_id"), F.concat(F.lit("S"), "l_suppkey").alias("component"), F.col("l_partkey").cast("string").alias("pin")).distinct()
 
 
@@ -34,7 +34,7 @@ def pin_links(spark, d):
 
 def netlist_figures(spark, d):
     pins = _order_pins(spark, d)
-    every = table(spark, d, "lineitem").where("l_quantity >= 45").select(F.concat(F.lit("S"), "l_suppkey").alias("component"), F.col("l_partkey").cast("string").alias("pin")).distinct()
+    every = table(spark, d, "part").select(F.concat(F.lit("S"), F.col("p_partkey") % 100 + 1).alias("component"), F.col("p_partkey").cast("string").alias("pin"))
     return net_statistics(pins, every)
 
 
@@ -107,12 +107,12 @@ def _names(spark, d):
 
 def bus_groups(spark, d):
     """Buses among nets that are called after customers, by the number of their nation."""
-    nets = table(spark, d, "customer").select(F.col("c_custkey").alias("net_id"), F.concat(F.lit("A"), F.col("c_nationkey") % 7, F.lit("_"), F.col("c_custkey")).alias("name")).where("net_id % 10 < 3")
+    nets = table(spark, d, "customer").select(F.col("c_custkey").alias("net_id"), F.concat(F.lit("A"), F.col("c_nationkey") % 7, F.lit("_"), F.col("c_custkey")).alias("name"))
     return bus_families(nets).select("net_id", "name", "family", "bit")
 
 
 def off_sheet(spark, d):
-    o = table(spark, d, "orders").where("o_custkey % 20 = 0")
+    o = table(spark, d, "orders")
     pins = o.select(F.col("o_custkey").alias("net_id"), F.when(F.col("o_custkey") % 100 == 0, "GND1").otherwise("sig").alias("name"), (F.col("o_orderkey") % 4).cast("int").alias("sheet"))
     return sheet_connectors(pins)
 
@@ -129,10 +129,11 @@ QUERIES = {f.__name__: f for f in (net_components, component_sizes, pin_links, n
 
 _REACH = f"""WITH RECURSIVE {EDGES},
 both_ AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
-reach AS (SELECT a AS node, a AS other FROM both_ UNION SELECT reach.node, both_.b FROM reach JOIN both_ ON reach.other = both_.a),
-comp AS (SELECT node, min(other) AS root FROM reach GROUP BY node)"""
+comp(node, root) USING KEY (node) AS (
+  SELECT a, min(least(a, b)) FROM both_ GROUP BY a
+  UNION SELECT both_.b, min(c.root) FROM comp c JOIN both_ ON both_.a = c.node JOIN recurring.comp o ON o.node = both_.b WHERE c.root < o.root GROUP BY both_.b)"""
 _PAIRS = f"WITH RECURSIVE {SIDES}, pairs AS (SELECT f.id AS left_id, b.id AS right_id, {DIST} AS dist FROM f JOIN b ON {DIST} <= {{tol}})"
-_PINS = "WITH pins AS (SELECT DISTINCT l_orderkey AS net_id, 'S' || l_suppkey AS component, l_partkey::VARCHAR AS pin FROM lineitem WHERE l_quantity = 50)"
+_PINS = "WITH pins AS (SELECT DISTINCT l_orderkey AS net_id, 'S' || l_suppkey AS component, l_partkey::VARCHAR AS pin FROM lineitem)"
 _MATCH = _PAIRS.format(tol=1.0) + """,
 ranked AS (SELECT *, row_number() OVER (ORDER BY dist, left_id, right_id) AS r FROM pairs),
 pick AS (
@@ -152,7 +153,7 @@ SQL = {
     "net_components": _REACH + " SELECT node, root FROM comp",
     "component_sizes": _REACH + " SELECT root, count(*) AS size FROM comp GROUP BY root",
     "pin_links": _PINS + " SELECT DISTINCT p.component, p.pin, o.component AS other_component, o.pin AS other_pin FROM pins p JOIN pins o ON p.net_id = o.net_id AND (p.component <> o.component OR p.pin <> o.pin)",
-    "netlist_figures": _PINS + ", every_ AS (SELECT DISTINCT 'S' || l_suppkey AS component, l_partkey::VARCHAR AS pin FROM lineitem WHERE l_quantity >= 45) SELECT count(DISTINCT component) AS components, count(DISTINCT net_id) AS nets, count(*) AS connections, (SELECT count(*) FROM every_ e WHERE NOT EXISTS (SELECT 1 FROM pins q WHERE q.component = e.component AND q.pin = e.pin)) AS loose_pins FROM pins",
+    "netlist_figures": _PINS + ", every_ AS (SELECT 'S' || (p_partkey % 100 + 1) AS component, p_partkey::VARCHAR AS pin FROM part) SELECT count(DISTINCT component) AS components, count(DISTINCT net_id) AS nets, count(*) AS connections, (SELECT count(*) FROM every_ e WHERE NOT EXISTS (SELECT 1 FROM pins q WHERE q.component = e.component AND q.pin = e.pin)) AS loose_pins FROM pins",
     "near_pairs": _PAIRS.format(tol=1.0) + " SELECT left_id, right_id, round(dist, 9) AS dist FROM pairs",
     "via_match": _MATCH + " SELECT left_id, right_id, round(dist, 9) AS dist FROM matched",
     "match_error": _MATCH + " SELECT count(*) AS n, round(coalesce(sqrt(avg(dist * dist)), 0.0), 9) AS rms FROM matched",
@@ -171,8 +172,8 @@ SELECT bx, by_ AS by, score FROM s WHERE score >= 3 ORDER BY score DESC, (bx + 0
     "unmatched_front": f"WITH {SIDES} SELECT id FROM f WHERE NOT EXISTS (SELECT 1 FROM b WHERE {DIST} <= 1.0)",
     "net_names": "WITH n AS (SELECT 'net-' || lpad(p_partkey::VARCHAR, greatest(5, length(p_partkey::VARCHAR))::INTEGER, '0') AS net_id, p_name AS base FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY net_id) AS k FROM n) SELECT net_id, CASE WHEN k = 1 THEN base ELSE base || '#' || k END AS name FROM r",
     "name_priority": _NAMES + " SELECT id, pa, pb, CASE WHEN pa > pb THEN a WHEN pb > pa THEN b WHEN strlen(a) <= strlen(b) THEN a ELSE b END AS better, CASE WHEN id % 5 = 0 THEN 'VCC' ELSE p_name || '#2' END AS base, (upper(c) LIKE 'VCC%' OR upper(c) LIKE 'GND%' OR upper(c) LIKE 'VDD%' OR upper(c) LIKE 'VSS%' OR upper(c) IN ('VEE', 'AGND', 'DGND')) AS power FROM p",
-    "bus_groups": "WITH n AS (SELECT c_custkey AS net_id, 'A' || (c_nationkey % 7) || '_' || c_custkey AS name FROM customer WHERE c_custkey % 10 < 3), s AS (SELECT *, regexp_extract(name, '^(.+?)([0-9]+)$', 1) AS family, regexp_extract(name, '^(.+?)([0-9]+)$', 2) AS bit FROM n) SELECT net_id, name, family, bit FROM s WHERE family IN (SELECT family FROM s GROUP BY family HAVING count(*) >= 4)",
-    "off_sheet": "WITH p AS (SELECT DISTINCT o_custkey AS net_id, CASE WHEN o_orderkey % 4 <= 0 THEN 1 ELSE o_orderkey % 4 END::INTEGER AS sheet FROM orders WHERE o_custkey % 20 = 0 AND o_custkey % 100 <> 0) SELECT a.net_id, a.sheet, b.sheet AS other_sheet FROM p a JOIN p b ON a.net_id = b.net_id AND a.sheet <> b.sheet",
+    "bus_groups": "WITH n AS (SELECT c_custkey AS net_id, 'A' || (c_nationkey % 7) || '_' || c_custkey AS name FROM customer), s AS (SELECT *, regexp_extract(name, '^(.+?)([0-9]+)$', 1) AS family, regexp_extract(name, '^(.+?)([0-9]+)$', 2) AS bit FROM n) SELECT net_id, name, family, bit FROM s WHERE family IN (SELECT family FROM s GROUP BY family HAVING count(*) >= 4)",
+    "off_sheet": "WITH p AS (SELECT DISTINCT o_custkey AS net_id, CASE WHEN o_orderkey % 4 <= 0 THEN 1 ELSE o_orderkey % 4 END::INTEGER AS sheet FROM orders WHERE o_custkey % 100 <> 0) SELECT a.net_id, a.sheet, b.sheet AS other_sheet FROM p a JOIN p b ON a.net_id = b.net_id AND a.sheet <> b.sheet",
     "signal_layers": """WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION SELECT 'n' || n_nationkey, 'n' || (n_nationkey + 1) FROM nation WHERE n_nationkey % 4 = 0 AND n_nationkey <> 24 UNION SELECT 'r' || r_regionkey, 'out' FROM region),
 n AS (SELECT a AS node FROM e UNION SELECT b FROM e),
 w AS (SELECT node, 0 AS layer FROM n WHERE node NOT IN (SELECT b FROM e) UNION SELECT e.b, w.layer + 1 FROM w JOIN e ON e.a = w.node)

@@ -29,9 +29,10 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def part_supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a, b): part and supplier of the lines of 50 pieces without discount, as p1 and s1."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount = 0")
-    return lines.select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
+    """(a, b): part and supplier of all lines, apart for each year of shipping: p1.1994 and s1.1994."""
+    lines = table(spark, sf_dir, "lineitem")
+    year = F.year("l_shipdate")
+    return lines.select(F.concat_ws(".", F.concat(F.lit("p"), "l_partkey"), year).alias("a"), F.concat_ws(".", F.concat(F.lit("s"), "l_suppkey"), year).alias("b"))
 
 
-EDGES = "edges AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0)"
+EDGES = "edges AS (SELECT DISTINCT 'p' || l_partkey || '.' || year(l_shipdate) AS a, 's' || l_suppkey || '.' || year(l_shipdate) AS b FROM lineitem)"

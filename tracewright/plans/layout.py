@@ -15,11 +15,11 @@ from tracewright.plans.inputs import table
 
 def _pixels(spark, d):
     """Pixels: an image for each return flag; place and colour from the line's numbers."""
-    lines = table(spark, d, "lineitem").where("l_orderkey % 3 = 0")
+    lines = table(spark, d, "lineitem")
     return lines.select(F.col("l_returnflag").alias("img_id"), (F.col("l_partkey") % 64).cast("int").alias("x"), (F.col("l_suppkey") % 48).cast("int").alias("y"), (F.col("l_partkey") % 180).cast("int").alias("h"), (F.col("l_quantity") * 5).cast("int").alias("s"), (F.col("l_extendedprice") % 256).cast("int").alias("v")).distinct()
 
 
-_PIXELS = "px AS (SELECT DISTINCT l_returnflag AS img_id, (l_partkey % 64)::INTEGER AS x, (l_suppkey % 48)::INTEGER AS y, (l_partkey % 180)::INTEGER AS h, trunc(l_quantity * 5)::INTEGER AS s, trunc(l_extendedprice % 256)::INTEGER AS v FROM lineitem WHERE l_orderkey % 3 = 0)"
+_PIXELS = "px AS (SELECT DISTINCT l_returnflag AS img_id, (l_partkey % 64)::INTEGER AS x, (l_suppkey % 48)::INTEGER AS y, (l_partkey % 180)::INTEGER AS h, trunc(l_quantity * 5)::INTEGER AS s, trunc(l_extendedprice % 256)::INTEGER AS v FROM lineitem)"
 
 
 def cell_figures(spark, d):
@@ -59,11 +59,12 @@ def pixel_scores(spark, d):
 
 
 def _contacts(spark, d):
-    """Contacts of boards: a board for each nation, contacts at the balances of its customers."""
-    return table(spark, d, "customer").select(F.col("c_nationkey").alias("board"), F.col("c_custkey").alias("ord"), F.round(F.col("c_acctbal") / 10, 3).alias("x"))
+    """Contacts of boards: a board for some sixty customers of a nation, contacts at their balances."""
+    board = F.col("c_nationkey") + F.floor(F.col("c_custkey") / 1500) * 100
+    return table(spark, d, "customer").select(board.alias("board"), F.col("c_custkey").alias("ord"), F.round(F.col("c_acctbal") / 10, 3).alias("x"))
 
 
-_CONTACTS = "c AS (SELECT c_nationkey AS board, c_custkey AS ord, round(c_acctbal / 10, 3) AS x FROM customer)"
+_CONTACTS = "c AS (SELECT c_nationkey + c_custkey // 1500 * 100 AS board, c_custkey AS ord, round(c_acctbal / 10, 3) AS x FROM customer)"
 
 
 def board_scale(spark, d):
@@ -78,13 +79,12 @@ def board_pitch(spark, d):
 
 
 def voted_pitch(spark, d):
-    few = _contacts(spark, d).where("ord % 4 = 0")
-    return pitch_votes(few, 20.0).withColumn("pitch", F.round("pitch", 6))
+    return pitch_votes(_contacts(spark, d), 20.0).withColumn("pitch", F.round("pitch", 6))
 
 
 def board_anchor(spark, d):
-    few = _contacts(spark, d).where("ord % 4 = 0")
-    return anchor(few, few.select("board").distinct().withColumn("pitch", F.lit(25.0))).withColumn("error", F.round("error", 6))
+    every = _contacts(spark, d)
+    return anchor(every, every.select("board").distinct().withColumn("pitch", F.lit(25.0))).withColumn("error", F.round("error", 6))
 
 
 def _pairs(spark, d):
@@ -133,7 +133,7 @@ def package_names(spark, d):
 
 
 def package_pins(spark, d):
-    p = table(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), F.concat(F.lit("DIP-"), (F.col("p_size") % 4) * 2 + 14).alias("package"), F.lit(0.0).alias("bx"), F.lit(0.0).alias("by"), F.lit(100.0).alias("bw"), F.lit(300.0).alias("bh"), F.lit(0.0).alias("rotation"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("DIP-"), (F.col("p_size") % 4) * 2 + 14).alias("package"), F.lit(0.0).alias("bx"), F.lit(0.0).alias("by"), F.lit(100.0).alias("bw"), F.lit(300.0).alias("bh"), F.lit(0.0).alias("rotation"))
     return pin_places(p, 254.0).select("id", "pin", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "row")
 
 
@@ -198,12 +198,12 @@ SELECT top.img_id, top.bin * 16 + 8.0 AS background, round(100.0 * top.n / top.t
     "pixel_scores": f"WITH {_PIXELS}, {_CLASS}, sc AS (SELECT px.img_id, {_AWAY.format('o')} AS d_on, {_AWAY.format('f')} AS d_off FROM px, st o, st f WHERE o.class = 'on' AND f.class = 'off') SELECT img_id, round(avg(d_off / (d_on + d_off)), 6) AS score, count(*) FILTER (WHERE d_off / (d_on + d_off) > 0.5) AS n_on FROM sc GROUP BY 1",
     "board_scale": f"WITH {_CONTACTS}, g AS (SELECT board, lead(x) OVER (PARTITION BY board ORDER BY x) - x AS gap FROM c), m AS (SELECT board, list_sort(list(gap))[count(*) // 2 + 1] AS median FROM g WHERE gap IS NOT NULL GROUP BY 1), f AS (SELECT g.board, avg(gap) AS mean FROM g JOIN m ON m.board = g.board WHERE gap > median * 0.7 AND gap < median * 1.3 GROUP BY 1) SELECT n.board, round(CASE WHEN n.n >= 5 AND mean IS NOT NULL THEN mean / 0.125 ELSE 0.0 END, 6) AS dpi FROM (SELECT board, count(*) AS n FROM c GROUP BY 1) n LEFT JOIN f ON f.board = n.board",
     "board_pitch": f"WITH {_CONTACTS}, g AS (SELECT * FROM (SELECT board, round(lead(x) OVER (PARTITION BY board ORDER BY x, ord) - x, 6) AS gap FROM c) WHERE gap IS NOT NULL), l AS (SELECT board, list_sort(list(gap)) AS a, count(*) AS n FROM g GROUP BY 1), q AS (SELECT board, a[(n // 2 + 1) // 2 + 1] AS guess, n FROM l), r AS (SELECT g.board, count(*) AS c, avg(gap) AS mean FROM g JOIN q ON q.board = g.board WHERE abs(gap - guess) < guess * 0.15 GROUP BY 1) SELECT q.board, round(CASE WHEN r.c >= n // 3 THEN mean ELSE guess END, 6) AS pitch FROM q LEFT JOIN r ON r.board = q.board",
-    "voted_pitch": f"WITH {_CONTACTS}, f AS (SELECT * FROM c WHERE ord % 4 = 0), g AS (SELECT a.board, b.x - a.x AS gap FROM f a JOIN f b ON a.board = b.board AND b.x > a.x WHERE b.x - a.x >= 20), v AS (SELECT board, gap / k AS v FROM (SELECT board, gap, unnest(range(1, floor(gap / 20.0)::BIGINT + 1)) AS k FROM g)), h AS (SELECT board, floor(v)::BIGINT AS bin, count(*) AS votes, avg(v) AS pitch FROM v GROUP BY 1, 2) SELECT board, bin, votes, round(pitch, 6) AS pitch FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY votes DESC, bin) AS k FROM h) WHERE k = 1",
-    "board_anchor": f"WITH {_CONTACTS}, f AS (SELECT * FROM c WHERE ord % 4 = 0), e AS (SELECT a.board, a.ord, sum(abs(abs(b.x - a.x) - greatest(round(abs(b.x - a.x) / 25.0), 1.0) * 25.0)) AS error FROM f a JOIN f b ON a.board = b.board AND a.ord <> b.ord GROUP BY 1, 2) SELECT board, ord, round(error, 6) AS error FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY error, ord) AS k FROM e) WHERE k = 1",
+    "voted_pitch": f"WITH {_CONTACTS}, f AS (SELECT * FROM c), g AS (SELECT a.board, b.x - a.x AS gap FROM f a JOIN f b ON a.board = b.board AND b.x > a.x WHERE b.x - a.x >= 20), v AS (SELECT board, gap / k AS v FROM (SELECT board, gap, unnest(range(1, floor(gap / 20.0)::BIGINT + 1)) AS k FROM g)), h AS (SELECT board, floor(v)::BIGINT AS bin, count(*) AS votes, avg(v) AS pitch FROM v GROUP BY 1, 2) SELECT board, bin, votes, round(pitch, 6) AS pitch FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY votes DESC, bin) AS k FROM h) WHERE k = 1",
+    "board_anchor": f"WITH {_CONTACTS}, f AS (SELECT * FROM c), e AS (SELECT a.board, a.ord, sum(abs(abs(b.x - a.x) - greatest(round(abs(b.x - a.x) / 25.0), 1.0) * 25.0)) AS error FROM f a JOIN f b ON a.board = b.board AND a.ord <> b.ord GROUP BY 1, 2) SELECT board, ord, round(error, 6) AS error FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY error, ord) AS k FROM e) WHERE k = 1",
     "board_turn": f"WITH {_PAIRS}, m AS (SELECT board, avg(x1) AS a1, avg(y1) AS b1, avg(x2) AS a2, avg(y2) AS b2 FROM p GROUP BY 1), t AS (SELECT p.board, any_value(a1) AS a1, any_value(b1) AS b1, any_value(a2) AS a2, any_value(b2) AS b2, atan2(sum((x1 - a1) * (y2 - b2) - (y1 - b1) * (x2 - a2)), sum((x1 - a1) * (x2 - a2) + (y1 - b1) * (y2 - b2))) AS angle FROM p JOIN m ON m.board = p.board GROUP BY 1) SELECT board, round(angle, 6) AS angle, round(a2 - cos(angle) * a1 + sin(angle) * b1, 6) AS tx, round(b2 - sin(angle) * a1 - cos(angle) * b1, 6) AS ty FROM t",
-    "name_axes": "SELECT DISTINCT p_partkey % 3 AS board, 'Y' AS letter_axis, 'X' AS number_axis, 'LN' AS format FROM part WHERE p_partkey <= 400",
+    "name_axes": "SELECT DISTINCT p_partkey % 3 AS board, 'Y' AS letter_axis, 'X' AS number_axis, 'LN' AS format FROM part",
     "package_names": "WITH p AS (SELECT p_partkey, p_size * 0.5 AS w, round(p_retailprice / 40 / 2.54) * 2 AS n FROM part), o AS (SELECT p_partkey, c, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(n - c), c) AS k FROM p, (SELECT unnest([8, 14, 16, 18, 20, 24, 28, 40]) AS c) WHERE (w > 11 AND c IN (24, 28, 40)) OR (w <= 11 AND c < 40)) SELECT p_partkey, 'DIP-' || c AS package FROM o WHERE k = 1",
-    "package_pins": "WITH p AS (SELECT p_partkey AS id, (p_size % 4) * 2 + 14 AS n FROM part WHERE p_partkey % 10 = 0), q AS (SELECT id, n, unnest(range(1, n + 1))::INTEGER AS pin FROM p) SELECT id, pin, round(50 + CASE WHEN pin <= n / 2 THEN -38.1 ELSE 38.1 END, 6) AS x, round(150 + (CASE WHEN pin <= n / 2 THEN pin - 1 ELSE n - pin END - (n / 2 - 1) / 2) * 25.4, 6) AS y, CASE WHEN pin <= n / 2 THEN 1 ELSE 2 END AS row FROM q",
+    "package_pins": "WITH p AS (SELECT p_partkey AS id, (p_size % 4) * 2 + 14 AS n FROM part), q AS (SELECT id, n, unnest(range(1, n + 1))::INTEGER AS pin FROM p) SELECT id, pin, round(50 + CASE WHEN pin <= n / 2 THEN -38.1 ELSE 38.1 END, 6) AS x, round(150 + (CASE WHEN pin <= n / 2 THEN pin - 1 ELSE n - pin END - (n / 2 - 1) / 2) * 25.4, 6) AS y, CASE WHEN pin <= n / 2 THEN 1 ELSE 2 END AS row FROM q",
     "via_sides": "SELECT count(*) FILTER (WHERE label % 3 = 0) AS front, count(*) FILTER (WHERE label % 3 <> 0) AS back FROM embeddings",
     "next_net": "SELECT (max(o_orderkey) + 1)::INTEGER AS number FROM orders",
     "merged_parts": "SELECT p_partkey, p_brand, CASE WHEN p_size > 40 THEN 0 ELSE p_size END AS p_size FROM part",

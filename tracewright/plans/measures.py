@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import dates
 from tracewright.functions.names import corrected_part, logic_part, logo_names, natural_key, normal_part, output_name
 from tracewright.functions.text import char_overlap, lcs_length, normal_text, text_lines, text_similarity, trigram_share, without_logos
+from tracewright.operators.order import numbered
 from tracewright.operators.parts import tiered_lookup
 from tracewright.operators.schematic import stable_uuid
 from tracewright.operators.stats import best_by_group, group_variance, line_fit, longest_run, otsu, score_bands, size_templates, spread, upper_median
@@ -135,7 +136,7 @@ def gate_names(spark, d):
 
 def signal_chain(spark, d):
     """Line, order, customer and nation in a chain of outer joins: a signal's component, part and direction."""
-    lines = table(spark, d, "lineitem").where("l_quantity = 50").select("l_orderkey").distinct()
+    lines = table(spark, d, "lineitem").select("l_orderkey").distinct()
     o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
     chain = lines.join(o, lines["l_orderkey"] == o["o_orderkey"], "left").join(c.where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return chain.select("l_orderkey", F.concat_ws("-", "c_name", "n_name").alias("signal"), F.coalesce("c_mktsegment", F.lit("Input")).alias("direction"))
@@ -151,7 +152,7 @@ def idle_parts(spark, d):
 def name_order(spark, d):
     """Places of customers in the natural order of their names."""
     c = table(spark, d, "customer").select(F.concat(F.lit("U"), F.col("c_custkey") % 97, F.lit("b"), F.col("c_nationkey")).alias("name")).distinct()
-    return c.select("name", F.row_number().over(W.orderBy(natural_key(F.col("name")))).alias("place"))
+    return numbered(c, [natural_key(F.col("name"))], "place").select("name", "place")
 
 
 def stable_ids(spark, d):
@@ -203,7 +204,7 @@ SELECT item_id, round(CASE WHEN length(t) >= 3 THEN len(list_filter(range(1, len
   round(CASE WHEN length(t) > 0 THEN list_sum(list_transform(list_distinct(string_split(t, '')), lambda c: least(length(f) - length(replace(f, c, '')), length(t) - length(replace(t, c, ''))))) / length(t) ELSE 0 END, 9) AS overlap FROM p""",
     "page_tags": "WITH t AS (SELECT page_id, upper(unnest(regexp_extract_all(html, '<([A-Za-z0-9]+)>', 1))) AS tag FROM pages) SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM t GROUP BY 1",
     "gate_names": "WITH p AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'NOT' WHEN 1 THEN 'BUFFER' WHEN 2 THEN 'NAND' ELSE 'AND' END AS gate, CASE WHEN p_partkey % 8 < 4 THEN '/' || p_brand ELSE p_brand END AS name FROM part) SELECT id, gate, CASE gate WHEN 'NOT' THEN CASE WHEN name LIKE '/%' THEN substr(name, 2) ELSE '/' || name END WHEN 'BUFFER' THEN 'b' || name WHEN 'NAND' THEN '/' || name ELSE '' END AS output FROM p",
-    "signal_chain": "WITH l AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity = 50) SELECT l_orderkey, concat_ws('-', c_name, n_name) AS signal, coalesce(c_mktsegment, 'Input') AS direction FROM l LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey",
+    "signal_chain": "WITH l AS (SELECT DISTINCT l_orderkey FROM lineitem) SELECT l_orderkey, concat_ws('-', c_name, n_name) AS signal, coalesce(c_mktsegment, 'Input') AS direction FROM l LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey",
     "idle_parts": "SELECT p_brand, count(*) AS n FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity = 50) GROUP BY 1",
     "name_order": "WITH c AS (SELECT DISTINCT c_custkey % 97 AS a, c_nationkey AS b, 'U' || (c_custkey % 97) || 'b' || c_nationkey AS name FROM customer) SELECT name, row_number() OVER (ORDER BY a, b)::INTEGER AS place FROM c",
     "stable_ids": "WITH h AS (SELECT n_nationkey, sha256('symbol:' || n_name) AS h FROM nation) SELECT n_nationkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (strpos('0123456789abcdef', h[17:17]) - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS uuid FROM h",

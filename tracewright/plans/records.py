@@ -50,14 +50,14 @@ def net_elements(spark, d):
 
 def named_contacts(spark, d):
     """Contacts of both sides, numbered along their line and named by a pin map of every third pin."""
-    c = table(spark, d, "supplier").where("s_suppkey <= 100").select(F.when(F.col("s_suppkey") % 2 == 0, "front").otherwise("back").alias("side"), (F.col("s_acctbal") * 1000 + F.col("s_suppkey")).alias("x"), (F.col("s_suppkey") % 4).cast("int").alias("detection_pass"))
+    c = table(spark, d, "supplier").select(F.when(F.col("s_suppkey") % 2 == 0, "front").otherwise("back").alias("side"), (F.col("s_acctbal") * 1000 + F.col("s_suppkey")).alias("x"), (F.col("s_suppkey") % 4).cast("int").alias("detection_pass"))
     names = spark.range(1, 101).where("id % 3 = 0").select(F.col("id").cast("int").alias("pin_number"), F.concat(F.lit("SIG"), "id").alias("signal_name"))
     return board_pins(c, names, 50, 100).select("id", "pin_number", "signal_name", "confidence")
 
 
 def loose_pins(spark, d):
     """Pins of parts in none of their functions."""
-    p = table(spark, d, "part").where("p_partkey <= 100").select(F.col("p_partkey").cast("string").alias("part_number"), F.lit("DIP").alias("package"), "p_size")
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("part_number"), F.lit("DIP").alias("package"), "p_size")
     pins = p.select("part_number", "package", F.explode(F.sequence(F.lit(1), F.lit(14))).alias("pin_number"))
     k = F.col("p_size")
     fn = p.select("part_number", "package", F.array(k % 7, k % 5 + 1).alias("inputs"), F.array(k % 3 + 8).alias("outputs"), F.array(k % 2 + 12).alias("enables"), F.array().cast("array<int>").alias("clocks"))
@@ -65,9 +65,9 @@ def loose_pins(spark, d):
 
 
 def _board(spark, d):
-    """Pins of nets: parts at suppliers on orders of lines of 50 pieces."""
-    lines = table(spark, d, "lineitem").where("l_quantity = 50 and l_suppkey % 2 = 0")
-    return lines.groupBy((F.col("l_orderkey") % 1000).alias("net_id"), F.concat(F.lit("S"), "l_suppkey").alias("component"), F.col("l_partkey").cast("string").alias("pin")).agg(F.when(F.min("l_linenumber") == 1, "CLK").otherwise("").alias("signal"))
+    """Pins of nets: parts at suppliers on orders."""
+    lines = table(spark, d, "lineitem")
+    return lines.groupBy(F.col("l_orderkey").alias("net_id"), F.concat(F.lit("S"), "l_suppkey").alias("component"), F.col("l_partkey").cast("string").alias("pin")).agg(F.when(F.min("l_linenumber") == 1, "CLK").otherwise("").alias("signal"))
 
 
 def netlist_dump(spark, d):
@@ -77,12 +77,12 @@ def netlist_dump(spark, d):
 
 
 def _wires(spark, d):
-    c = table(spark, d, "customer").where("c_custkey <= 300")
-    at = F.array(*(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((F.col("c_custkey") * 37 % 1000, F.col("c_custkey") * 91 % 1000), (F.col("c_custkey") * 37 % 1000, F.col("c_custkey") * 53 % 1000), (F.col("c_custkey") * 71 % 1000, F.col("c_custkey") * 53 % 1000))))
+    c = table(spark, d, "customer").withColumn("far", F.floor(F.col("c_custkey") / 300) * 2000)
+    at = F.array(*(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((F.col("c_custkey") * 37 % 1000 + F.col("far"), F.col("c_custkey") * 91 % 1000), (F.col("c_custkey") * 37 % 1000 + F.col("far"), F.col("c_custkey") * 53 % 1000), (F.col("c_custkey") * 71 % 1000 + F.col("far"), F.col("c_custkey") * 53 % 1000))))
     return c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("net_id"), at.alias("points"))
 
 
-_WIRES = "w AS (SELECT c_custkey AS id, c_nationkey AS net_id, c_custkey * 37 % 1000 AS xa, c_custkey * 91 % 1000 AS ya, c_custkey * 53 % 1000 AS yb, c_custkey * 71 % 1000 AS xb FROM customer WHERE c_custkey <= 300)"
+_WIRES = "w AS (SELECT c_custkey AS id, c_nationkey AS net_id, c_custkey * 37 % 1000 + c_custkey // 300 * 2000 AS xa, c_custkey * 91 % 1000 AS ya, c_custkey * 53 % 1000 AS yb, c_custkey * 71 % 1000 + c_custkey // 300 * 2000 AS xb FROM customer)"
 
 
 def wire_crossings(spark, d):
@@ -148,7 +148,7 @@ def contact_outliers(spark, d):
 
 
 def contact_runs(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey <= 60").select((F.col("s_suppkey") % 2).alias("board"), F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 10.0 + F.col("s_suppkey") % 4 * 0.5).alias("x"))
+    s = table(spark, d, "supplier").select(F.floor(F.col("s_suppkey") / 30).alias("board"), F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 10.0 + F.col("s_suppkey") % 4 * 0.5).alias("x"))
     return grid_run(s, 20.0, 12).groupBy("board").agg(F.count("*").alias("n"), F.min("start").alias("start"))
 
 
@@ -176,9 +176,9 @@ SQL = {
     "supported_vias": f"WITH {_VIAS} SELECT id FROM f WHERE EXISTS (SELECT 1 FROM b WHERE {DIST} < f.radius)",
     "confirmed_vias": _MATCHED + " SELECT 'cvia-' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INTEGER, '0') AS id, left_id AS front_via_id, right_id AS back_via_id, round((f.x + b.x) / 2, 6) AS x, round((f.y + b.y) / 2, 6) AS y, round((f.radius + b.radius) / 2, 6) AS radius, round(least(1.0, (f.confidence + b.confidence) / 2 * 1.2), 6) AS confidence FROM m JOIN f ON f.id = left_id JOIN b ON b.id = right_id",
     "net_elements": "SELECT user_id AS net_id, " + ", ".join(f"coalesce(list(event_id ORDER BY event_id) FILTER (WHERE event_id % 4 = {i}), []) AS {t}_ids" for i, t in enumerate(("connector", "via", "trace", "pad"))) + " FROM events GROUP BY 1",
-    "named_contacts": "WITH c AS (SELECT s_suppkey % 2 = 0 AS front, s_acctbal * 1000 + s_suppkey AS x, s_suppkey % 4 AS p FROM supplier WHERE s_suppkey <= 100), i AS (SELECT *, row_number() OVER (PARTITION BY front ORDER BY x) - 1 AS k FROM c), n AS (SELECT *, CASE WHEN front THEN 50 - k ELSE 100 - k END AS pin FROM i) SELECT 'conn-' || CASE WHEN front THEN 'F' ELSE 'B' END || '-' || lpad(k::VARCHAR, 3, '0') AS id, pin::INTEGER AS pin_number, 'SIG' || pin AS signal_name, CASE p WHEN 1 THEN 1.0 WHEN 2 THEN 0.8 ELSE 0.6 END AS confidence FROM n WHERE pin % 3 = 0 AND pin BETWEEN 1 AND 100",
-    "loose_pins": "WITH p AS (SELECT p_partkey::VARCHAR AS part_number, p_size AS k FROM part WHERE p_partkey <= 100), q AS (SELECT part_number, k, unnest(range(1, 15))::INTEGER AS pin_number FROM p) SELECT part_number, pin_number FROM q WHERE pin_number NOT IN (k % 7, k % 5 + 1, k % 3 + 8, k % 2 + 12)",
-    "netlist_dump": """WITH p AS (SELECT l_orderkey % 1000 AS net_id, 'S' || l_suppkey AS component, l_partkey::VARCHAR AS pin, CASE WHEN min(l_linenumber) = 1 THEN 'CLK' ELSE '' END AS signal FROM lineitem WHERE l_quantity = 50 AND l_suppkey % 2 = 0 GROUP BY 1, 2, 3),
+    "named_contacts": "WITH c AS (SELECT s_suppkey % 2 = 0 AS front, s_acctbal * 1000 + s_suppkey AS x, s_suppkey % 4 AS p FROM supplier), i AS (SELECT *, row_number() OVER (PARTITION BY front ORDER BY x) - 1 AS k FROM c), n AS (SELECT *, CASE WHEN front THEN 50 - k ELSE 100 - k END AS pin FROM i) SELECT 'conn-' || CASE WHEN front THEN 'F' ELSE 'B' END || '-' || lpad(k::VARCHAR, 3, '0') AS id, pin::INTEGER AS pin_number, 'SIG' || pin AS signal_name, CASE p WHEN 1 THEN 1.0 WHEN 2 THEN 0.8 ELSE 0.6 END AS confidence FROM n WHERE pin % 3 = 0 AND pin BETWEEN 1 AND 100",
+    "loose_pins": "WITH p AS (SELECT p_partkey::VARCHAR AS part_number, p_size AS k FROM part), q AS (SELECT part_number, k, unnest(range(1, 15))::INTEGER AS pin_number FROM p) SELECT part_number, pin_number FROM q WHERE pin_number NOT IN (k % 7, k % 5 + 1, k % 3 + 8, k % 2 + 12)",
+    "netlist_dump": """WITH p AS (SELECT l_orderkey AS net_id, 'S' || l_suppkey AS component, l_partkey::VARCHAR AS pin, CASE WHEN min(l_linenumber) = 1 THEN 'CLK' ELSE '' END AS signal FROM lineitem GROUP BY 1, 2, 3),
 f AS (SELECT component, pin, min(net_id) AS net_id, min(signal) AS signal FROM p GROUP BY 1, 2),
 l AS (SELECT *, component || '-' || pin || CASE WHEN signal <> '' THEN '(' || signal || ')' ELSE '' END AS label FROM f),
 c AS (SELECT DISTINCT a.component, a.pin, l.label FROM p a JOIN p b ON a.net_id = b.net_id AND (a.component <> b.component OR a.pin <> b.pin) JOIN l ON l.component = b.component AND l.pin = b.pin),
@@ -193,6 +193,6 @@ SELECT * FROM t UNION ALL SELECT DISTINCT component, 0, component || ':' FROM t"
     "reading_best": "SELECT component, place::INTEGER AS place, score, params FROM (SELECT o_custkey AS component, o_totalprice AS score, o_orderpriority AS params, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 3",
     "year_letters": "WITH o AS (SELECT o_orderkey, year(o_orderdate) % 10 AS y, month(o_orderdate) AS m, (day(o_orderdate) - 1) // 7 + 1 AS w FROM orders) SELECT o_orderkey, y || substr('ABCDEFGHJKLM', m, 1) || w AS code, (1990 + y)::INTEGER AS year, m::INTEGER AS month, w::INTEGER AS week FROM o",
     "loose_words": "SELECT p_partkey, contains(upper(p_brand), 'BRAND') AS same, contains(upper(p_brand), 'BXAND') AS wrong, contains(upper(p_brand), 'BRAND') AS close FROM part",
-    "contact_runs": "WITH c AS (SELECT s_suppkey % 2 AS board, s_suppkey AS id, s_suppkey * 10.0 + s_suppkey % 4 * 0.5 AS x FROM supplier WHERE s_suppkey <= 60), m AS (SELECT a.board, a.id AS start, a.x AS x0, round((b.x - a.x) / 20.0) AS place, abs(b.x - a.x - round((b.x - a.x) / 20.0) * 20.0) AS off FROM c a JOIN c b ON a.board = b.board), g AS (SELECT board, start, x0, count(DISTINCT place) AS n FROM m WHERE place BETWEEN 0 AND 11 AND off <= 4.0 GROUP BY 1, 2, 3) SELECT board, n, start FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY n DESC, x0) AS k FROM g) WHERE k = 1 AND n >= 7",
+    "contact_runs": "WITH c AS (SELECT s_suppkey // 30 AS board, s_suppkey AS id, s_suppkey * 10.0 + s_suppkey % 4 * 0.5 AS x FROM supplier), m AS (SELECT a.board, a.id AS start, a.x AS x0, round((b.x - a.x) / 20.0) AS place, abs(b.x - a.x - round((b.x - a.x) / 20.0) * 20.0) AS off FROM c a JOIN c b ON a.board = b.board), g AS (SELECT board, start, x0, count(DISTINCT place) AS n FROM m WHERE place BETWEEN 0 AND 11 AND off <= 4.0 GROUP BY 1, 2, 3) SELECT board, n, start FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY n DESC, x0) AS k FROM g) WHERE k = 1 AND n >= 7",
     "gate_chain": "WITH RECURSIVE n AS (SELECT n_nationkey AS k, n_name, n_nationkey % 7 = 3 AS manual FROM nation), r AS (SELECT k, CASE WHEN k % 5 = 0 THEN n_name ELSE 'net-' || lpad(k::VARCHAR, 3, '0') END AS name, k % 5 = 0 AS good FROM n WHERE k % 5 = 0 UNION ALL SELECT n.k, CASE WHEN NOT r.good OR n.manual THEN 'net-' || lpad(n.k::VARCHAR, 3, '0') WHEN r.name LIKE '/%' THEN substr(r.name, 2) ELSE '/' || r.name END, r.good AND NOT n.manual FROM r JOIN n ON n.k = r.k + 1 AND n.k % 5 <> 0) SELECT k AS net_id, name FROM r",
 }
