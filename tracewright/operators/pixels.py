@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright.functions.records import bucket
 from tracewright.operators.graph import components
 
 
@@ -99,3 +100,35 @@ def dense_bounds(cells: DataFrame, columns: int, rows: int, least: float = 0.5)
     whole = cells.groupBy("img_id").agg(F.min("cx").alias("a"), F.min("cy").alias("b"), F.max("cx").alias("c"), F.max("cy").alias("d"))
     out = whole.join(xs, "img_id", "left").join(ys, "img_id", "left")
     return out.select("img_id", *(F.coalesce(n, o).alias(n) for n, o in (("x1", "a"), ("y1", "b"), ("x2", "c"), ("y2", "d"))))
+
+
+def color_histogram(pixels: DataFrame, key: str = "img_id") -> DataFrame:
+    """(key, channel, bucket, percent) of pixels (key, h, s, v): sixteen buckets a channel, those with pixels."""
+    channels = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), bucket(F.col(c), w).alias("bucket")) for c, w in (("h", 11), ("s", 16), ("v", 16)))))
+    counted = pixels.select(key, channels.alias("c")).groupBy(key, "c.channel", "c.bucket").agg(F.count("*").alias("n"))
+    total = counted.where("channel = 'v'").groupBy(key).agg(F.sum("n").alias("total"))
+    return counted.join(total, key).select(key, "channel", "bucket", (F.col("n") * 100 / F.col("total")).alias("percent"))
+
+
+def white_share(pixels: DataFrame, least: int = 180, key: str = "img_id") -> DataFrame:
+    """(key, percent) of pixels brighter than least."""
+    return pixels.groupBy(key).agg((F.avg((F.col("v") > least).cast("double")) * 100).alias("percent"))
+
+
+def box_figures(pixels: DataFrame, x1: int, y1: int, x2: int, y2: int, key: str = "img_id") -> DataFrame:
+    """Mean and population deviation of h, s and v over the pixels of a closed box."""
+    inside = pixels.where(F.col("x").between(x1, x2) & F.col("y").between(y1, y2))
+    return inside.groupBy(key).agg(*(f(c).alias(f"{c}_{n}") for c in "hsv" for n, f in (("mean", F.avg), ("std", F.stddev_pop))))
+
+
+def feature_figures(samples: DataFrame, features: list[str], by: str = "is_via") -> DataFrame:
+    """Mean and population deviation of each feature by class, which is what a classifier of samples learns."""
+    return samples.groupBy(by).agg(*(f(c).alias(f"{c}_{n}") for c in features for n, f in (("mean", F.avg), ("std", F.stddev_pop))))
+
+
+def colors_around(pixels: DataFrame, centres: DataFrame, reach: int, key: str = "img_id") -> DataFrame:
+    """(key, h, s, v): the mean colour of the pixels within reach, level and upright, of a centre (key, x, y); a pixel
+    counts for each centre. An equi-join on the pixel."""
+    span = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+    at = centres.select(key, "x", "y", span.alias("i")).select(key, (F.col("x") + F.col("i")).alias("x"), "y", span.alias("j")).select(key, "x", (F.col("y") + F.col("j")).alias("y"))
+    return pixels.join(at, [key, "x", "y"]).groupBy(key).agg(*(F.avg(c).alias(c) for c in "hsv"))

@@ -102,7 +102,7 @@ def board_turn(spark, d):
 
 
 def board_affine(spark, d):
-    """Rows only: the affine transform and its mean residual."""
+    """The affine transform and its mean residual."""
     pairs = _pairs(spark, d)
     fit = affine_fit(pairs, ["board"])
     out = fit.join(alignment_error(pairs, fit, ["board"]), "board")
@@ -201,6 +201,12 @@ SELECT top.img_id, top.bin * 16 + 8.0 AS background, round(100.0 * top.n / top.t
     "voted_pitch": f"WITH {_CONTACTS}, f AS (SELECT * FROM c), g AS (SELECT a.board, b.x - a.x AS gap FROM f a JOIN f b ON a.board = b.board AND b.x > a.x WHERE b.x - a.x >= 20), v AS (SELECT board, gap / k AS v FROM (SELECT board, gap, unnest(range(1, floor(gap / 20.0)::BIGINT + 1)) AS k FROM g)), h AS (SELECT board, floor(v)::BIGINT AS bin, count(*) AS votes, avg(v) AS pitch FROM v GROUP BY 1, 2) SELECT board, bin, votes, round(pitch, 6) AS pitch FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY votes DESC, bin) AS k FROM h) WHERE k = 1",
     "board_anchor": f"WITH {_CONTACTS}, f AS (SELECT * FROM c), e AS (SELECT a.board, a.ord, sum(abs(abs(b.x - a.x) - greatest(round(abs(b.x - a.x) / 25.0), 1.0) * 25.0)) AS error FROM f a JOIN f b ON a.board = b.board AND a.ord <> b.ord GROUP BY 1, 2) SELECT board, ord, round(error, 6) AS error FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY error, ord) AS k FROM e) WHERE k = 1",
     "board_turn": f"WITH {_PAIRS}, m AS (SELECT board, avg(x1) AS a1, avg(y1) AS b1, avg(x2) AS a2, avg(y2) AS b2 FROM p GROUP BY 1), t AS (SELECT p.board, any_value(a1) AS a1, any_value(b1) AS b1, any_value(a2) AS a2, any_value(b2) AS b2, atan2(sum((x1 - a1) * (y2 - b2) - (y1 - b1) * (x2 - a2)), sum((x1 - a1) * (x2 - a2) + (y1 - b1) * (y2 - b2))) AS angle FROM p JOIN m ON m.board = p.board GROUP BY 1) SELECT board, round(angle, 6) AS angle, round(a2 - cos(angle) * a1 + sin(angle) * b1, 6) AS tx, round(b2 - sin(angle) * a1 - cos(angle) * b1, 6) AS ty FROM t",
+    "board_affine": f"""WITH {_PAIRS}, m AS (SELECT board, avg(x1) AS a1, avg(y1) AS b1, avg(x2) AS a2, avg(y2) AS b2 FROM p GROUP BY 1),
+t AS (SELECT p.board, any_value(a1) AS a1, any_value(b1) AS b1, any_value(a2) AS a2, any_value(b2) AS b2, sum((x1 - a1) * (x1 - a1)) AS xx, sum((x1 - a1) * (y1 - b1)) AS xy, sum((y1 - b1) * (y1 - b1)) AS yy, sum((x1 - a1) * (x2 - a2)) AS xu, sum((y1 - b1) * (x2 - a2)) AS yu, sum((x1 - a1) * (y2 - b2)) AS xw, sum((y1 - b1) * (y2 - b2)) AS yw FROM p JOIN m ON m.board = p.board GROUP BY 1),
+f AS (SELECT *, (xu * yy - yu * xy) / (xx * yy - xy * xy) AS a, (yu * xx - xu * xy) / (xx * yy - xy * xy) AS b, (xw * yy - yw * xy) / (xx * yy - xy * xy) AS c, (yw * xx - xw * xy) / (xx * yy - xy * xy) AS d FROM t),
+g AS (SELECT *, a2 - a * a1 - b * b1 AS tx, b2 - c * a1 - d * b1 AS ty FROM f),
+e AS (SELECT p.board, avg(sqrt(pow(a * x1 + b * y1 + tx - x2, 2) + pow(c * x1 + d * y1 + ty - y2, 2))) AS error FROM p JOIN g ON g.board = p.board GROUP BY 1)
+SELECT g.board, round(a, 4) AS a, round(b, 4) AS b, round(tx, 4) AS tx, round(c, 4) AS c, round(d, 4) AS d, round(ty, 4) AS ty, round(error, 4) AS error FROM g JOIN e ON e.board = g.board""",
     "name_axes": "SELECT DISTINCT p_partkey % 3 AS board, 'Y' AS letter_axis, 'X' AS number_axis, 'LN' AS format FROM part",
     "package_names": "WITH p AS (SELECT p_partkey, p_size * 0.5 AS w, round(p_retailprice / 40 / 2.54) * 2 AS n FROM part), o AS (SELECT p_partkey, c, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(n - c), c) AS k FROM p, (SELECT unnest([8, 14, 16, 18, 20, 24, 28, 40]) AS c) WHERE (w > 11 AND c IN (24, 28, 40)) OR (w <= 11 AND c < 40)) SELECT p_partkey, 'DIP-' || c AS package FROM o WHERE k = 1",
     "package_pins": "WITH p AS (SELECT p_partkey AS id, (p_size % 4) * 2 + 14 AS n FROM part), q AS (SELECT id, n, unnest(range(1, n + 1))::INTEGER AS pin FROM p) SELECT id, pin, round(50 + CASE WHEN pin <= n / 2 THEN -38.1 ELSE 38.1 END, 6) AS x, round(150 + (CASE WHEN pin <= n / 2 THEN pin - 1 ELSE n - pin END - (n / 2 - 1) / 2) * 25.4, 6) AS y, CASE WHEN pin <= n / 2 THEN 1 ELSE 2 END AS row FROM q",

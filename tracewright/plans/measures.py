@@ -92,7 +92,7 @@ def part_forms(spark, d):
 
 
 def part_repairs(spark, d):
-    """Rows only: misread part numbers set right."""
+    """Misread part numbers set right."""
     key = F.col("p_partkey")
     name = F.concat(F.element_at(F.array(*map(F.lit, ["74L5", "SN7ALS", "74H0", "54L"])), (key % 4 + 1).cast("int")), key % 500, F.lit("N"))
     return table(spark, d, "part").select(key.alias("id"), name.alias("name")).select("id", "name", corrected_part(F.col("name")).alias("fixed"))
@@ -197,6 +197,8 @@ SQL = {
     "user_paths": "WITH s AS (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS step FROM events) SELECT user_id, round(coalesce(sum(step), 0), 6) AS length, count(*) FILTER (WHERE step > 50) AS turns FROM s GROUP BY 1",
     "part_lookup": _PART_SQL,
     "part_forms": f"WITH n AS (SELECT p_partkey AS id, {_FORM} AS name FROM part) SELECT id, name, {_LOGIC.format('name')} AS logic, {_norm('name')} AS normal FROM n",
+    "part_repairs": """WITH p AS (SELECT p_partkey AS id, p_partkey % 4 AS w, (p_partkey % 500)::VARCHAR AS n FROM part), m AS (SELECT id, w, n, ['74L5', 'SN7ALS', '74H0', '54L'][w + 1] || n || 'N' AS name FROM p)
+SELECT id, name, CASE w WHEN 0 THEN '74LS' || n || 'N' WHEN 1 THEN 'SN74LS' || n || 'N' WHEN 2 THEN name ELSE CASE WHEN n LIKE '5_%' THEN '54LS' || substr(n, 2) || 'N' WHEN n = '5' THEN name ELSE '541' || n || 'N' END END AS fixed FROM m""",
     "order_codes": f"WITH c AS (SELECT o_orderkey, {_CODE} AS code, {_WEEK} AS week, year(o_orderdate) % 100 AS yy FROM orders) SELECT o_orderkey, code, (CASE WHEN 1900 + yy > 2010 THEN 1800 + yy ELSE 1900 + yy END)::INTEGER AS year, least(12, (week - 1) // 4 + 1)::INTEGER AS month, week::INTEGER AS week, 'YYWW' AS format FROM c",
     "label_text": r"SELECT item_id, regexp_replace(replace(upper(replace(text, 'ß', chr(57344))), chr(57344), 'ß'), '[^\p{L}\p{Nd}\n]', '', 'g') AS normal, len(list_filter(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(x) <> ''))::INTEGER AS n_lines, text AS bare FROM benchmark",
     "label_trigrams": r"""WITH b AS (SELECT item_id, regexp_replace(replace(upper(replace(text, 'ß', chr(57344))), chr(57344), 'ß'), '[^\p{L}\p{Nd}\n]', '', 'g') AS t FROM benchmark), p AS (SELECT b.item_id, b.t, o.t AS f FROM b JOIN b o ON o.item_id + 1 = b.item_id)

@@ -142,7 +142,7 @@ def loose_words(spark, d):
 
 
 def contact_outliers(spark, d):
-    """Rows only: suppliers that stay on their nation's line."""
+    """Suppliers that stay on their nation's line."""
     s = table(spark, d, "supplier").select((F.col("s_nationkey") % 5).alias("board"), F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 10.0).alias("x"), F.when(F.col("s_suppkey") % 19 == 0, 400.0).otherwise(F.col("s_suppkey") % 3 + 100.0).alias("y"), F.when(F.col("s_suppkey") % 23 == 0, 40).otherwise(8).alias("width"), F.lit(20).alias("height"))
     return without_outliers(s, 0.3).select("board", "id")
 
@@ -193,6 +193,13 @@ SELECT * FROM t UNION ALL SELECT DISTINCT component, 0, component || ':' FROM t"
     "reading_best": "SELECT component, place::INTEGER AS place, score, params FROM (SELECT o_custkey AS component, o_totalprice AS score, o_orderpriority AS params, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 3",
     "year_letters": "WITH o AS (SELECT o_orderkey, year(o_orderdate) % 10 AS y, month(o_orderdate) AS m, (day(o_orderdate) - 1) // 7 + 1 AS w FROM orders) SELECT o_orderkey, y || substr('ABCDEFGHJKLM', m, 1) || w AS code, (1990 + y)::INTEGER AS year, m::INTEGER AS month, w::INTEGER AS week FROM o",
     "loose_words": "SELECT p_partkey, contains(upper(p_brand), 'BRAND') AS same, contains(upper(p_brand), 'BXAND') AS wrong, contains(upper(p_brand), 'BRAND') AS close FROM part",
+    "contact_outliers": """WITH c AS (SELECT s_nationkey % 5 AS board, s_suppkey AS id, s_suppkey * 10.0::DOUBLE AS x, CASE WHEN s_suppkey % 19 = 0 THEN 400.0 ELSE s_suppkey % 3 + 100.0 END::DOUBLE AS y, CASE WHEN s_suppkey % 23 = 0 THEN 40 ELSE 8 END AS width FROM supplier),
+f AS (SELECT board, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS level, list_sort(list(y))[count(*) // 2 + 1] AS my, list_sort(list(width))[count(*) // 2 + 1] AS mw FROM c GROUP BY 1),
+o AS (SELECT c.*, f.n, f.mw, abs(y - coalesce(slope * x + level, my)) AS off FROM c JOIN f ON f.board = c.board),
+q AS (SELECT board, (list_sort(list(off))[floor(count(*) * 3 / 4)::BIGINT + 1] - list_sort(list(off))[floor(count(*) / 4)::BIGINT + 1]) AS iqr FROM o GROUP BY 1),
+s AS (SELECT o.board, id, n, (greatest(width / mw, mw / width) - 1) * 3 + off / greatest(iqr * 3, 5.0) AS score FROM o JOIN q ON q.board = o.board),
+r AS (SELECT *, row_number() OVER (PARTITION BY board ORDER BY score, id) AS rank FROM s)
+SELECT board, id FROM r WHERE n <= 2 OR rank <= greatest(floor(n * 0.7), 2) OR score < 1""",
     "contact_runs": "WITH c AS (SELECT s_suppkey // 30 AS board, s_suppkey AS id, s_suppkey * 10.0 + s_suppkey % 4 * 0.5 AS x FROM supplier), m AS (SELECT a.board, a.id AS start, a.x AS x0, round((b.x - a.x) / 20.0) AS place, abs(b.x - a.x - round((b.x - a.x) / 20.0) * 20.0) AS off FROM c a JOIN c b ON a.board = b.board), g AS (SELECT board, start, x0, count(DISTINCT place) AS n FROM m WHERE place BETWEEN 0 AND 11 AND off <= 4.0 GROUP BY 1, 2, 3) SELECT board, n, start FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY n DESC, x0) AS k FROM g) WHERE k = 1 AND n >= 7",
     "gate_chain": "WITH RECURSIVE n AS (SELECT n_nationkey AS k, n_name, n_nationkey % 7 = 3 AS manual FROM nation), r AS (SELECT k, CASE WHEN k % 5 = 0 THEN n_name ELSE 'net-' || lpad(k::VARCHAR, 3, '0') END AS name, k % 5 = 0 AS good FROM n WHERE k % 5 = 0 UNION ALL SELECT n.k, CASE WHEN NOT r.good OR n.manual THEN 'net-' || lpad(n.k::VARCHAR, 3, '0') WHEN r.name LIKE '/%' THEN substr(r.name, 2) ELSE '/' || r.name END, r.good AND NOT n.manual FROM r JOIN n ON n.k = r.k + 1 AND n.k % 5 <> 0) SELECT k AS net_id, name FROM r",
 }
