@@ -83,8 +83,22 @@ def brute_lines(texts, least, chars=1):
     return [("\n".join(x for x in t.split("\n") if stay(x)), len(t.split("\n")), sum(not stay(x) for x in t.split("\n"))) for t in texts]
 
 
+def test_bloom_pair():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 2**64, 50_000, dtype=np.uint64)
+    pair = line_dedup.BloomPair(len(hashes) + 500)
+    none = np.zeros(25_000, bool)
+    pair.add(hashes[:25_000], none)
+    pair.add(hashes[25_000:], none)
+    pair.add(hashes[:500], none[:500])
+    assert pair.suspected(hashes[:500]).all() and pair.suspected(hashes[500:]).mean() < 0.01
+
+
 @pytest.mark.parametrize("broadcast", [1000, 0])
-def test_line_dedup(docs, rows, broadcast):
+def test_line_dedup(docs, rows, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(line_dedup, "BROADCAST_HASHES", 0)
+        monkeypatch.setattr(line_dedup, "HELD_HASHES", 3)
     got = by_id(line_dedup.drop_frequent_lines(docs, min_docs=4, broadcast_keys=broadcast), "kept_text", "n_lines", "n_dropped")
     assert got == {(i if i != 3 else None): w for (i, _), w in zip(rows, brute_lines([t or "" for _, t in rows], 4), strict=True)}
 

@@ -1,22 +1,19 @@
 """Line dedup with two Bloom filters, for key hashes seen once and seen twice.
 
-1. Each task sets the bits of its lines' keys in a once-filter, and those that were there already in a
-   twice-filter; the filters meet slab by slab in a shuffle of bitmaps, never of lines. A bit pattern that two
-   tasks have in their once-filters counts as seen twice.
-2. Only keys that the twice-filter suspects are counted exactly, by a 128-bit digest, once per document and
-   pre-aggregated in each task, so that a line in a third of all documents costs one row a task.
+1. Tasks send the 64-bit hashes of their lines' keys, each once a batch, to buckets of hashes. A bucket has a pair of
+   filters of its own, sized to its keys, so their fill does not grow with the input: a hash that the once-filter has
+   goes to the twice-filter. What the twice-filter has is suspected. Lines and texts are not shuffled here.
+2. Only suspected keys are counted exactly, by a 128-bit digest, once per document and pre-aggregated in each task, so
+   that a line in a third of all documents costs one row a task. Up to BROADCAST_HASHES suspected hashes go to the tasks
+   as they are; beyond that the tasks' digests are joined with them by a shuffle.
 3. Keys in min_docs documents or more are dropped, all their lines or all but the first. Up to broadcast_keys such
    keys go to the tasks as they are; beyond that, and where the first line stays, the documents are joined with them by
    a shuffle.
-
-The filters have a size between MIN_BITS and MAX_BITS, by the size of the input. A full filter only suspects more;
-the result is the same.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +25,14 @@ from pyspark.sql import types as T
 
 from tracewright.llm.common import fresh, schema_with, slices, stored, texts, with_columns
 
-MIN_BITS, MAX_BITS = 20, 29
-#: Bits set for each key, bytes of a slab (the unit in which filters are merged), keys counted in a task at a time.
-PROBES, SLAB, HELD_KEYS = 4, 1 << 15, 1 << 18
-_DIGEST = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType())])
-_SLABS = T.StructType([T.StructField("slab", T.LongType()), T.StructField("once", T.BinaryType()), T.StructField("twice", T.BinaryType())])
+#: Bits of a filter for each of its keys, at least, and bits set for a key.
+BITS_PER_KEY, PROBES = 16, 4
+#: Hashes that a task gathers before it sends them; hashes of a bucket, about; digests counted in a task at a time.
+HELD_HASHES, BUCKET_KEYS, HELD_KEYS = 1 << 20, 1 << 20, 1 << 18
+#: Suspected hashes, 8 bytes each, that are broadcast.
+BROADCAST_HASHES = 4_000_000
+_DIGEST = T.StructType([T.StructField("hash", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType())])
+_SENT = "bucket long, hashes binary, again binary"
 
 
 def line_keys(text: bytes, min_chars: int) -> tuple[list[bytes], list[bytes]]:
@@ -48,102 +48,126 @@ def _digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES bit positions for each hash: (probes, n)."""
-    step = (hashes >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(hashes + np.uint64(i) * step) & np.uint64((1 << bits) - 1) for i in range(PROBES)])
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+
 
+class BloomPair:
+    """Filters for hashes seen once and seen twice, sized to a number of keys."""
 
-def _has(filled: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return ((filled[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+    def __init__(self, keys: int):
+        self.bits = max(10, int(BITS_PER_KEY * keys - 1).bit_length())
+        self.once, self.twice = np.zeros(1 << self.bits, bool), np.zeros(1 << self.bits, bool)
 
+    def _at(self, hashes: np.ndarray) -> np.ndarray:
+        step = (hashes >> np.uint64(32)) | np.uint64(1)
+        return np.stack([(hashes + np.uint64(i) * step) & np.uint64((1 << self.bits) - 1) for i in range(PROBES)])
 
-def _put(filled: np.ndarray, at: np.ndarray) -> None:
-    at = at.ravel()
-    np.bitwise_or.at(filled, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    def add(self, hashes: np.ndarray, again: np.ndarray) -> None:
+        """Distinct hashes, and which of them are known to occur again."""
+        at = self._at(hashes)
+        self.twice[at[:, again | self.once[at].all(axis=0)]] = True
+        self.once[at] = True
 
+    def suspected(self, hashes: np.ndarray) -> np.ndarray:
+        return self.twice[self._at(hashes)].all(axis=0)
 
-def _hashes(keys: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
+def _keys_of(batch: pa.RecordBatch, text_col: str, min_chars: int) -> list[bytes]:
+    """The keys of the batch's lines, each once a document."""
+    return [k for t in texts(batch, text_col) for k in {*line_keys(t, min_chars)[1]} if k]
 
-def filter_bits(docs: DataFrame) -> int:
-    """log2 of the filter's bits: about two bits for each byte of the stored input, within the bounds."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(np.clip(int(2 * size).bit_length(), MIN_BITS, MAX_BITS))
 
+def suspected_hashes(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
+    """(hashes): the key hashes that two documents or more seem to hold, in binary pieces."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # decides on the number of buckets only
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = int(np.clip(max((parts - 1).bit_length(), int(size / 32 / BUCKET_KEYS).bit_length()), 0, 30))
 
-def suspected(docs: DataFrame, text_col: str, min_chars: int, bits: int) -> np.ndarray:
-    """The twice-filter over all documents: 2**bits bits as bytes."""
-    size = max(SLAB, (1 << bits) // 8)
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            top = (found >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(found), np.int64)
+            buckets, starts = np.unique(top, return_index=True)
+            split = lambda x: pa.array([y.tobytes() for y in np.split(x, starts[1:])], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(buckets), split(found), split((n > 1).astype(np.uint8))], names=["bucket", "hashes", "again"])
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
         for batch in slices(batches, text_col):
-            keys = [k for t in texts(batch, text_col) for k in {*line_keys(t, min_chars)[1]} if k]
-            found, n = np.unique(_hashes(keys), return_counts=True)
-            at = _positions(found, bits)
-            _put(twice, at[:, (n > 1) | _has(once, at)])
-            _put(once, at)
-        used = [i for i in range(size // SLAB) if once[i * SLAB : (i + 1) * SLAB].any()]
-        for i in used:
-            part = slice(i * SLAB, (i + 1) * SLAB)
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([zlib.compress(once[part], 1)], pa.binary()), pa.array([zlib.compress(twice[part], 1)], pa.binary())], names=_SLABS.names)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, once, twice = None, None, None
+            held.append(_hashes(_keys_of(batch, text_col, min_chars)))
+            if sum(map(len, held)) > HELD_HASHES:
+                yield flush()
+        if held:
+            yield flush()
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([None], pa.binary()), pa.array([zlib.compress(twice, 1)], pa.binary())], names=_SLABS.names)
+            parts = [(np.frombuffer(h, np.uint64), np.frombuffer(a, np.uint8).astype(bool)) for h, a in rows]
+            pair = BloomPair(sum(len(h) for h, _ in parts))
+            for hashes, again in parts:
+                pair.add(hashes, again)
+            found = np.unique(np.concatenate([h[pair.suspected(h)] for h, _ in parts]))
+            return pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["hashes"])
 
         for batch in batches:
-            for i, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-                if i != now:
-                    if now is not None and twice.any():
-                        yield done()
-                    now, once, twice = i, a.copy(), b.copy()
-                else:
-                    twice |= b | (once & a)
-                    once |= a
-        if now is not None and twice.any():
+            for bucket, hashes, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now and rows:
+                    yield done()
+                    rows = []
+                now = bucket
+                rows.append((hashes, again))
+        if rows:
             yield done()
 
-    parts = docs.select(text_col).mapInArrow(fill, _SLABS)
-    merged = parts.repartition(F.col("slab")).sortWithinPartitions("slab").mapInArrow(merge, _SLABS)
-    whole = np.zeros(size, np.uint8)
-    for row in merged.select("slab", "twice").toLocalIterator():  # at most 2**MAX_BITS bits in all
-        whole[row.slab * SLAB : (row.slab + 1) * SLAB] = np.frombuffer(zlib.decompress(row.twice), np.uint8)
-    return whole
+    sent = docs.select(text_col).mapInArrow(send, _SENT)
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(sift, "hashes binary")
 
 
-def frequent_keys(docs: DataFrame, text_col: str, min_docs: int, min_chars: int) -> DataFrame:
+def frequent_keys(docs: DataFrame, text_col: str, min_docs: int, min_chars: int, broadcast_hashes: int | None = None) -> DataFrame:
     """The digests of the keys that min_docs rows or more hold: (digest)."""
-    bits = filter_bits(docs)
-    twice = docs.sparkSession.sparkContext.broadcast(suspected(docs, text_col, min_chars, bits))
+    pieces = stored(suspected_hashes(docs, text_col, min_chars))
+    n = pieces.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
+    few = n // 8 <= (BROADCAST_HASHES if broadcast_hashes is None else broadcast_hashes)
+    known = None
+    if few:  # at most BROADCAST_HASHES of 8 bytes
+        got = [np.frombuffer(bytes(r.hashes), np.uint64) for r in pieces.toLocalIterator()]
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(np.concatenate(got)) if got else np.zeros(0, np.uint64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}
+        held: dict[tuple[int, bytes], int] = {}
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([_digest(k) for k in held], pa.binary()), pa.array(held.values(), pa.int64())], names=_DIGEST.names)
+            out = pa.RecordBatch.from_arrays([pa.array([h for h, _ in held], pa.int64()), pa.array([d for _, d in held], pa.binary()), pa.array(held.values(), pa.int64())], names=_DIGEST.names)
             held.clear()
             return out
 
         for batch in slices(batches, text_col):
-            keys = [k for t in texts(batch, text_col) for k in {*line_keys(t, min_chars)[1]} if k]
-            if keys:
-                for i in np.flatnonzero(_has(twice.value, _positions(_hashes(keys), bits))):
-                    held[keys[i]] = held.get(keys[i], 0) + 1
+            keys = _keys_of(batch, text_col, min_chars)
+            hashes = _hashes(keys)
+            which = range(len(keys))
+            if known is not None:
+                at = np.searchsorted(known.value, hashes)
+                which = np.flatnonzero(known.value[np.minimum(at, len(known.value) - 1)] == hashes) if len(known.value) else ()
+            for i, h in zip(which, hashes[which].view(np.int64).tolist() if known is not None and len(which) else hashes.view(np.int64).tolist()):
+                own = (h, _digest(keys[i]))
+                held[own] = held.get(own, 0) + 1
             if len(held) > HELD_KEYS:
                 yield flush()
         yield flush()
 
     counted = docs.select(text_col).mapInArrow(count, _DIGEST)
+    if not few:
+        counted = counted.groupBy("hash", "digest").agg(F.sum("n").alias("n"))  # so no hash of a line is hot in the join
+        apart = pieces.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.int64))], names=["hash"]) for b in batches for h in b.column(0).to_pylist()), "hash long")
+        counted = counted.join(apart, "hash", "left_semi")
     return counted.groupBy("digest").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("digest")
 
 
-def drop_frequent_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, broadcast_keys: int = 1_000_000, keep_first: bool = False) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, broadcast_keys: int = 1_000_000, keep_first: bool = False, broadcast_hashes: int | None = None) -> DataFrame:
     """docs with the lines dropped whose key min_docs rows or more hold; adds kept_text, n_lines and n_dropped.
 
     With keep_first the first line of each such key stays: of the rows in their order as read, the first that holds it.
@@ -152,7 +176,7 @@ def drop_frequent_lines(docs: DataFrame, text_col: str = "text", min_docs: int =
     rows of their own. A key of fewer than min_chars code points never goes. Input columns named like an added one
     give way to it. No rows: no rows.
     """
-    keys = stored(frequent_keys(docs, text_col, min_docs, min_chars))
+    keys = stored(frequent_keys(docs, text_col, min_docs, min_chars, broadcast_hashes))
     added = [("kept_text", T.StringType()), ("n_lines", T.LongType()), ("n_dropped", T.LongType())]
 
     def result(batch: pa.RecordBatch, gone: list, firsts: list) -> pa.RecordBatch:
