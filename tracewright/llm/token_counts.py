@@ -1,6 +1,7 @@
 """Token counts by overlap resynchronisation.
 
-A text of up to chunk_chars characters is encoded whole. A longer one is encoded in chunks that overlap, with
+A text of up to chunk_chars characters is encoded whole, where the tokenizer drops white space by looking up its words,
+of which a task encodes each once. A longer one is encoded in chunks that overlap, with
 offsets. Two neighbours are spliced at a stable common boundary in their overlap: an ASCII white-space character that
 no token of either covers, after which both have the same tokens up to the end of the overlap's next stable boundary.
 The tokenizer is checked to drop white space and to encode what lies on its two sides apart, which proves that the
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.llm.common import schema_with, slices, strings, with_columns
-from tracewright.llm.words import drops_white_space, library_tokenizer
+from tracewright.llm.words import WordEncoder, drops_white_space, library_tokenizer
 
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 15, 256
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -78,15 +79,17 @@ def with_token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "tex
     in_chunks = drops_white_space(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = library_tokenizer(tokenizer_path)
-        for batch in slices(batches, text_col, 1 << 20):
+        words = WordEncoder(tokenizer_path) if in_chunks else None
+        tokenizer = words.tokenizer if in_chunks else library_tokenizer(tokenizer_path)
+        for batch in slices(batches, text_col, 4 << 20 if in_chunks else 1 << 20):
             found = strings(batch, text_col)
-            short = [i for i, t in enumerate(found) if len(t) <= chunk_chars or not in_chunks]
-            counts = [0] * len(found)
-            for i, e in zip(short, tokenizer.encode_batch_fast([found[i] for i in short], add_special_tokens=False), strict=True):
-                counts[i] = len(e)
-            for i in {*range(len(found))}.difference(short):
-                counts[i] = count_tokens(tokenizer, found[i], chunk_chars, overlap_chars)
+            if in_chunks:
+                long = [i for i, t in enumerate(found) if len(t) > chunk_chars]
+                counts = words.encode(pa.array(["" if len(t) > chunk_chars else t for t in found], pa.string()))[1].tolist()
+                for i in long:
+                    counts[i] = count_tokens(tokenizer, found[i], chunk_chars, overlap_chars)
+            else:
+                counts = [len(e) for e in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
             yield with_columns(batch, {"n_tokens": pa.array(counts, pa.int64())})
 
     return docs.mapInArrow(run, schema_with(docs.schema, [("n_tokens", T.LongType())]))

@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 
 from tracewright.llm.common import binaries, ragged
 
-#: Distinct words that a task holds; beyond it, it starts anew.
-HELD_WORDS = 300_000
+#: Distinct words that a task holds, and their bytes; beyond either, it starts anew.
+HELD_WORDS, HELD_BYTES = 300_000, 32 << 20
 #: Fixed value: ASCII punctuation but the apostrophe, which may begin a piece with the letters after it.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Fixed value: what a stem may end in, letters that lower-case to one letter, and digits.
@@ -61,6 +61,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.at: dict[bytes, int] = {}
+        self.held_bytes = 0
         self.ids, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _parts(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -98,9 +99,11 @@ class WordEncoder:
         parts = [p.dictionary_encode() for p in self._parts(words.dictionary)]
         needed = {p for both in parts for p in both.dictionary.to_pylist()}
         new = needed.difference(self.at)
-        if len(self.at) + len(new) > HELD_WORDS and self.at:
+        more = sum(map(len, new))
+        if self.at and (len(self.at) + len(new) > HELD_WORDS or self.held_bytes + more > HELD_BYTES):
             self._forget()
-            new = needed
+            new, more = needed, sum(map(len, needed))
+        self.held_bytes += more
         if new:
             self._add(list(new))
         known = [np.fromiter(map(self.at.__getitem__, p.dictionary.to_pylist()), np.int64, len(p.dictionary)) for p in parts]
