@@ -23,7 +23,7 @@ from tracewright.llm.common import binaries, ragged, schema_with, slices, string
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
-HELD_PIECES = 250_000
+HELD_PIECES, HELD_BYTES = 250_000, 32 << 20
 #: Cells of one matrix, about.
 CELLS = 1 << 21
 
@@ -186,6 +186,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
+        self.held_bytes = 0
         self.ids, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def encode(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,9 +194,12 @@ class Encoder:
         pieces = [self.pattern.findall(d) for d in docs]
         flat = [p for d in pieces for p in d]
         new = list({*flat}.difference(self.at))
-        if len(self.at) + len(new) > HELD_PIECES and self.at:
+        more = sum(map(len, new))
+        if self.at and (len(self.at) + len(new) > HELD_PIECES or self.held_bytes + more > HELD_BYTES):
             self._forget()
             new = list({*flat})
+            more = sum(map(len, new))
+        self.held_bytes += more
         if new:
             ids, counts = self.bpe.encode_pieces([p.encode() for p in new])
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
