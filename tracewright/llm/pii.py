@@ -9,6 +9,9 @@ its neighbours are; so the best path is found exactly by decoding only the runs
 
 from __future__ import annotations
 
+import bisect
+import functools
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -286,6 +289,12 @@ def train(table: list[tuple[list[str], list[str]]], rounds: int = 120, rate: flo
     return crf.compile()
 
 
+@functools.cache
+def default_crf() -> Crf:
+    """The CRF of training_table(), trained once in a process."""
+    return train(training_table())
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _INNER = np.zeros(256, bool)  # bytes that a span may begin and end with
@@ -309,6 +318,7 @@ def crf_spans(crf: Crf, docs: list[str]) -> list[list[tuple[str, int, int]]]:
     new = np.concatenate(([True], (np.diff(marked) > 1) | (np.diff(label[marked]) != 0) | (np.diff(line[marked]) > 0))) if len(marked) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     bounds = np.cumsum([len(r) + 1 for r in raw]) - 1
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before each byte
     for i, j in zip(marked[first], marked[np.append(first[1:], len(marked)) - 1] if len(first) else [], strict=True):
         a, b = int(starts[i]), int(ends[j])
         inner = np.flatnonzero(_INNER[data[a:b]])
@@ -319,8 +329,7 @@ def crf_spans(crf: Crf, docs: list[str]) -> list[list[tuple[str, int, int]]]:
             a -= 1
         doc = int(np.searchsorted(bounds, a))
         offset = int(bounds[doc]) - len(raw[doc])
-        head = len(raw[doc][: a - offset].decode())
-        out[doc].append((LABELS[label[i]], head, head + len(raw[doc][a - offset : b - offset].decode())))
+        out[doc].append((LABELS[label[i]], int(points[a] - points[offset]), int(points[b] - points[offset])))
     return out
 
 
@@ -328,8 +337,10 @@ def all_spans(crf: Crf, docs: list[str]) -> list[tuple[list, list]]:
     """For each text its base spans, and these with those of the CRF's that overlap none of them."""
     out = []
     for text, more in zip(docs, crf_spans(crf, docs), strict=True):
-        base = base_spans(text)
-        new = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in base)]
+        base = base_spans(text)  # by start
+        starts, furthest = [a for _, a, _ in base], list(itertools.accumulate((b for _, _, b in base), max))
+        free = lambda s: not (k := bisect.bisect_left(starts, s[2])) or furthest[k - 1] <= s[1]
+        new = [s for s in more if free(s)]
         out.append((base, sorted(base + new, key=lambda x: (x[1], LABELS.index(x[0])))))
     return out
 
@@ -355,7 +366,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", labelled: list[tuple[list[
     points, comma-joined by start, then kind. A null text counts as empty and has no spans. Rows stand alone, so
     repeated rows, ties and an empty table need no rule. Input columns named like an added one give way to it.
     """
-    crf = train(labelled or training_table())
+    crf = train(labelled) if labelled else default_crf()
     added = [*((f"n_{k}", T.LongType()) for k in KINDS), ("base_spans", T.StringType()), ("spans", T.StringType()), ("masked_text", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
