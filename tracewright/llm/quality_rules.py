@@ -38,10 +38,17 @@ def _as_words(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _sorted_windows(words: Column, hashes: Column) -> Column:
-    """(words, position) of the text's windows in order; null if no two windows have the same hash."""
-    windows = F.transform(F.sequence(F.lit(1), F.size(hashes)), lambda i: F.struct(F.array_join(F.slice(words, i, WINDOW), " ").alias("w"), i.alias("i")))
-    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.array_sort(windows))
+def _tied(hashes: Column) -> Column:
+    """The positions of the windows whose hash occurs again, in no order; null if there are none."""
+    placed = F.array_sort(F.transform(hashes, lambda h, k: F.struct(h.alias("h"), (k + 1).alias("i"))))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), placed)
+
+
+def _sorted_windows(words: Column, tied: Column) -> Column:
+    """(words, position) in order of the windows that have a neighbour of the same hash."""
+    same = lambda x, k: F.coalesce(F.get(tied, k)["h"] == x["h"], F.lit(False))
+    at = F.filter(tied, lambda x, k: same(x, k - 1) | same(x, k + 1))
+    return F.array_sort(F.transform(at, lambda x: F.struct(F.array_join(F.slice(words, x["i"], WINDOW), " ").alias("w"), x["i"].alias("i"))))
 
 
 def _repeated(windows: Column) -> Column:
@@ -70,6 +77,7 @@ def quality_figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     step = step.withColumn(h, F.transform(F.col(w), lambda x: F.xxhash64(x)))
     step = step.withColumn(h, F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.xxhash64(*(F.get(F.col(h), i + (k - 1)) for k in range(WINDOW))))))
     step = step.withColumn(lines, F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
+    step = step.withColumn(h, _tied(F.col(h)))
     step = step.withColumn(h, _sorted_windows(F.col(w), F.col(h)))
     step = step.withColumn(h, _repeated(F.col(h)))
     step = step.select(
