@@ -298,7 +298,42 @@ def test_quality_model(spark):
     alone = quality_model.train(docs, marks.where("quality = 1"), F.lit(True))
     assert quality_model.score_quality(docs, alone).where("predicted = 0").count() == 0
     none = quality_model.train(docs, marks.limit(0), F.lit(True))
-    assert quality_model.score_quality(docs, none).count() == 403
+    assert quality_model.score_quality(docs, none).where("predicted = 1").count() == 403
+
+
+def test_quality_model_on_held_out_labels(spark):
+    """The registered query, by the labels that it did not learn from."""
+    sf = "/root/testdata/sf0.01"
+    got = quality_model.op3_quality_model(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    assert len(got) > 30 and sum(r.predicted == r.quality for r in got) >= 0.95 * len(got)
+
+
+def test_quality_figures_against_plain_python(spark, rows):
+    texts = [t for _, t in rows]
+    figures = quality_model.features(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), "text")
+    for row, t in zip(figures, texts, strict=True):
+        b, w = (t or "").encode(), re.findall(r"[^ \t\n\r\x0b\x0c]+", t or "")
+        space = sum(c in b" \t\r\x0b\x0c\n" for c in b)
+        lines = [x for x in b.split(b"\n") if x.strip()]
+        want = [np.log1p(len(w)), min((max(len(b), 1) - space) / max(len(w), 1), 40)]
+        of = lambda members: sum(c in members for c in b) / max(len(b), 1)
+        shares = [of(m) for m in (b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:", b"!?", b"\n", b" \t\r\x0b\x0c")]
+        shares += [1 - len({*w}) / max(len(w), 1), sum(x == y for x, y in zip(w, w[1:])) / max(len(w), 1), 1 - len({*lines}) / len(lines) if lines else 0.0]
+        assert np.allclose(row[:12], [*want, *np.sqrt(shares)])
+
+
+def test_ranking_separates_as_plain_gradient_ascent_does():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 3))
+    good = x @ [2.0, -1.0, 0.0] + rng.normal(size=300) * 0.3 > 0
+    model = quality_model.fit(x, good)
+    w = np.zeros(3)
+    win, lose = (rng.choice(np.flatnonzero(g), 4000) for g in (good, ~good))
+    for _ in range(800):
+        d = ((x - x.mean(axis=0)) / x.std(axis=0))[win] - ((x - x.mean(axis=0)) / x.std(axis=0))[lose]
+        w += 0.5 * (d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - 1e-3 * w)
+    cosine = w @ model.weights / np.linalg.norm(w) / np.linalg.norm(model.weights)
+    assert cosine > 0.98 and ((model.score(x) >= quality_model.CUT) == good).mean() > 0.9
 
 
 def test_top_k(spark):
@@ -312,13 +347,26 @@ def test_top_k(spark):
         if i % 50 == 0:
             hits = sorted((-int(v @ w), j) for b, (j, w) in enumerate(sane) if a != b)[:5]
             want.update((i, r, j, -s) for r, (s, j) in enumerate(hits, 1))
-    for cells, shard in ((16_384, 2048), (40, 7)):
-        max_score.CELL_VECTORS, max_score.SHARD, old = cells, shard, (max_score.CELL_VECTORS, max_score.SHARD)
+    old = max_score.CELL_SHARDS, max_score.CELL_QUERIES, max_score.SHARD
+    for sizes in (old, (2, 2, 7)):
+        max_score.CELL_SHARDS, max_score.CELL_QUERIES, max_score.SHARD = sizes
         got = collections.Counter(tuple(r) for r in max_score.top_k(df, 5, 50).collect())
-        max_score.CELL_VECTORS, max_score.SHARD = old
+        max_score.CELL_SHARDS, max_score.CELL_QUERIES, max_score.SHARD = old
         assert got == want
 
 
+def test_max_score_reads_what_can_reach_the_threshold():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        vectors = rng.integers(-50, 50, (60, 5)) * rng.choice([0, 1, 9], 5)
+        shard = max_score.Shard(rng.permutation(60), np.arange(60), vectors)
+        query = rng.integers(-9, 9, 5)
+        scores = shard.vectors @ query
+        for threshold in (*rng.choice(scores, 3), scores.max(), scores.max() + 1, scores.min()):
+            at, got = shard.reaching(query, int(threshold))
+            assert sorted(at) == np.flatnonzero(scores >= threshold).tolist() and (scores[at] == got).all()
+
+
 def test_quality_rules(docs, rows):
     got = by_id(quality_rules.apply_rules(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     for i, t in rows:
@@ -355,6 +403,8 @@ def test_empty_tables(spark):
     assert packing.pack_documents(empty, WORDS).count() == 0
     assert pii.find_pii(empty).count() == 0
     assert quality_rules.apply_rules(empty).count() == 0
+    nobody = quality_model.train(empty, spark.createDataFrame([], "doc_id long, quality int"), F.lit(True))
+    assert quality_model.score_quality(empty, nobody).count() == 0
     assert max_score.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), 5, 50).count() == 0
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from test_llm_operators import brute_components
 from tracewright.llm import graph, max_score, near_dedup, pii, quality_model
+from tracewright.operators import lookup
 
 
 def test_line_dedup_keeps_one_of_many_copies(spark):
@@ -109,8 +110,8 @@ def test_wide_regions_are_compared_to_the_end(spark, monkeypatch):
 
 
 def test_hot_keys_meet_a_broadcast_copy(spark, monkeypatch):
-    monkeypatch.setattr(graph, "SMALL", 0)
-    monkeypatch.setattr(graph, "HOT", 5)
+    monkeypatch.setattr(lookup, "SMALL", 0)
+    monkeypatch.setattr(lookup, "HOT", 5)
     star = [(i, 0) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 130)] + [(200, 201)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(star, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(60), 0), **dict.fromkeys(range(100, 131), 100), 200: 200, 201: 200}
@@ -122,7 +123,7 @@ def test_hot_keys_meet_a_broadcast_copy(spark, monkeypatch):
 
 
 def test_near_dedup_with_hot_keys_and_empty_texts(spark, monkeypatch):
-    monkeypatch.setattr(graph, "SMALL", 0)
+    monkeypatch.setattr(lookup, "SMALL", 0)
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     texts = ["the same text in a third of all rows"] * 30 + [None, "", " "] * 5 + [f"text number {i} stands alone with {i * 7}" for i in range(20)]
     texts += [" ".join([*(f"v{k}" for k in range(30)), f"end{i}"]) for i in range(20)]

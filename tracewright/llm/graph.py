@@ -1,55 +1,12 @@
-"""Joins on keys of which some may be hot, and connected components of an edge table."""
+"""The library's graph operators and lookups, with lineage cut by tables in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from functools import partial
 
 from tracewright.llm.common import stored
+from tracewright.operators import graph, lookup
 
-#: A table of up to SMALL rows is broadcast whole. Of a larger one, the rows of hot keys are; a key is hot if it holds more
-#: than one in HOT of the rows that look it up, so there are fewer than HOT hot keys.
-SMALL, HOT = 200_000, 2_000
-
-
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """The keys that hold more than one in HOT of the rows: (key)."""
-    total = rows.count()
-    return stored(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > total / HOT).select(key))
-
-
-def looked_up(rows: DataFrame, key: str, table: DataFrame, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
-    """rows joined (inner or left) with table, which has one row a key and is cheap to read, without a task for a hot key."""
-    if table.limit(SMALL + 1).count() <= SMALL:
-        return rows.join(F.broadcast(table), key, how)
-    hot = hot_keys(rows, key) if hot is None else hot
-    warm = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(table.join(F.broadcast(hot), key, "left_semi")), key, how)
-    return warm.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, how))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of the edges (a, b): root is the smallest node of its component.
-
-    Each round passes the smallest label on along the edges, pre-aggregated by node, and then has each label replaced by
-    its own label; only labels that change are looked up. Rounds grow with the logarithm of a component's diameter.
-    """
-    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = stored(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
-    hot = hot_keys(both, "a")
-    while True:
-        near = looked_up(both, "a", labels.withColumnRenamed("node", "a"), hot=hot).groupBy("b").agg(F.min("root").alias("near"))
-        lower = stored(labels.join(near, labels["node"] == near["b"]).select("node", F.least("root", "near").alias("root"), F.col("root").alias("before")))
-        if lower.where("root <> before").isEmpty():
-            return labels
-        tops = lower.select(F.col("node").alias("root"), F.col("root").alias("top")).where("root <> top")
-        moves = stored(tops.join(lower.select("root").distinct(), "root", "left_semi"))
-        labels = stored(looked_up(lower.select("node", "root"), "root", moves, "left").select("node", F.coalesce("top", "root").alias("root")))
-
-
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, root) after links (a, b) between their roots, or nodes that are alone, have been added."""
-    tops = components(links)
-    alone = tops.join(labels, "node", "left_anti").select("node", F.col("node").alias("root"))
-    tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return stored(looked_up(labels.unionByName(alone), "root", tops, "left").select("node", F.coalesce("top", "root").alias("root")))
+components = partial(graph.components, keep=stored)
+merged = partial(graph.merged, keep=stored)
+looked_up = partial(lookup.looked_up, keep=stored)

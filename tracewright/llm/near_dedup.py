@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.llm.common import fresh, ragged, slices, stored, with_columns
-from tracewright.llm.graph import HOT, components, looked_up, merged
+from tracewright.llm.graph import components, looked_up, merged
+from tracewright.operators.lookup import HOT
 
 HASHES, MIN_DEPTH = 128, 4
 #: Classes of a region that are compared at a time; classes that neighbouring parts of a larger region share.

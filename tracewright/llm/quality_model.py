@@ -93,7 +93,8 @@ def fit(figures: np.ndarray, good: np.ndarray, rounds: int = 400, rate: float =
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> Ranker:
     """Fits a ranker on the labelled ids for which learn holds: at most max_rows of them, by a hash of the id.
 
-    Of the rows of an id, the one whose text has the smallest hash counts.
+    Of the rows of an id, the one whose text has the smallest hash counts. Without a row of each label the ranker gives
+    every document one score: near 1 without labels or with good ones only, near 0 with bad ones only.
     """
     key, label = fresh([text_col], "label_id"), fresh([text_col], "label_good")
     chosen = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias(key)).agg(F.max(label_col).alias(label))
