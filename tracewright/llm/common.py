@@ -48,13 +48,20 @@ def scratch_table(spark: SparkSession, kind: str) -> str:
     return name
 
 
-def forget_scratch() -> None:
-    """Deletes all folders and tables that this process has made in the shared folder and the warehouse.
+def scratch_made() -> int:
+    """How many folders and tables this process has made so far."""
+    return len(_MADE)
 
-    Results not written yet still read them, so call it when these have been written.
+
+def forget_scratch(since: int = 0, keep: int = 0) -> None:
+    """Deletes the folders and tables that this process has made in the shared folder and the warehouse.
+
+    Those made before since, a figure of scratch_made(), and the last keep ones stay. Results not written yet still read
+    them, so call it when these have been written.
     """
-    while _MADE:
-        spark, name = _MADE.pop()
+    gone = _MADE[since : len(_MADE) - keep]
+    _MADE[since : len(_MADE) - keep] = []
+    for spark, name in gone:
         if "/" in name:
             jvm = spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(name)

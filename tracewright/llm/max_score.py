@@ -32,6 +32,10 @@ from tracewright.llm.graph import looked_up
 SCALE = 256
 #: Vectors of a shard, and queries searched in it at a time, about; pivots, at most, a sample by a hash of the row's number.
 SHARD, CELL_QUERIES, PIVOTS = 2_048, 2_048, 256
+#: The share of its bound down to which a posting list is read; a vector that must be read further down is simply scored.
+DEEP = 0.6
+#: Non-essential terms that are probed at a time.
+PROBED = 8
 #: Vectors, and shards, that a block of queries meets at a time.
 CELL_VECTORS, CELL_SHARDS = 16_384, 4_096
 #: Vectors with a quantised component from this on up are scored apart, so that the sums of the others stay exact in 64 bits.
@@ -92,16 +96,32 @@ class Shard:
         self.postings = np.argsort(self.vectors, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.vectors, self.postings, axis=0)
 
+        self.floats, self.largest = self.vectors.astype(float), int(np.abs(self.vectors).max(initial=0))
+
+    def scores(self, query: np.ndarray) -> np.ndarray:
+        """All inner products; by floats where they hold every sum exactly."""
+        if self.largest * int(np.abs(query).sum()) < 2**53:
+            return (self.floats @ query.astype(float)).astype(np.int64)
+        return self.vectors @ query
+
+    def _part(self, query: np.ndarray, terms: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """What the terms add to the scores of some places."""
+        if 8 * len(places) < len(self.ids):
+            return self.vectors[np.ix_(places, terms)] @ query[terms]
+        masked = np.zeros_like(query)
+        masked[terms] = query[terms]
+        return self.scores(masked)[places]
+
     def reaching(self, query: np.ndarray, threshold: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The places of the vectors that score threshold or more, all for None, and their scores."""
         every = np.arange(len(self.ids))
         if threshold is None:
-            return every, self.vectors @ query
+            return every, self.scores(query)
         ends = np.stack((query * self.low, query * self.high))
         least, span = ends.min(axis=0), ends.max(axis=0) - ends.min(axis=0)
         need = threshold - int(least.sum())
         if need <= 0:
-            scores = self.vectors @ query
+            scores = self.scores(query)
             return every[scores >= threshold], scores[scores >= threshold]
         terms = np.argsort(span, kind="stable")
         upto = np.cumsum(span[terms])
@@ -111,9 +131,9 @@ class Shard:
         other, essential = terms[:rest], terms[rest:]
         missing = need - (int(upto[rest - 1]) if rest else 0)
         share = missing / float(span[essential].sum()) * (1 - 1e-9)
-        seen = np.zeros(len(every), bool)
+        seen = np.full(len(every), share < DEEP)  # so deep, the lists hold nearly all
         for t in essential[::-1]:
-            if not query[t]:
+            if share < DEEP or not query[t]:
                 continue
             # impact >= share * span, as a limit on the component; one more than needed for rounding
             depth = share * float(span[t]) / abs(int(query[t]))
@@ -122,15 +142,16 @@ class Shard:
             else:
                 seen[self.postings[: np.searchsorted(self.sorted[:, t], self.high[t] - math.floor(depth) + 1, side="right"), t]] = True
         alive = np.flatnonzero(seen)
-        score = self.vectors[np.ix_(alive, essential)] @ query[essential]
+        score = self._part(query, essential, alive)
         bound = int(least[other].sum()) + int(span[other].sum())  # still to be had from the terms not probed
-        for t in other[::-1]:
+        for at in range(len(other), 0, -PROBED):  # the largest bounds first
             stay = score + bound >= threshold
             alive, score = alive[stay], score[stay]
             if not len(alive):
                 break
-            score = score + self.vectors[alive, t] * query[t]
-            bound -= int(least[t]) + int(span[t])
+            probed = other[max(0, at - PROBED) : at]
+            score = score + self._part(query, probed, alive)
+            bound -= int(least[probed].sum()) + int(span[probed].sum())
         stay = score >= threshold
         return alive[stay], score[stay]
 
