@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import crc_bucket, stored, table
+from tracewright.llm.common import crc_bucket, forget_scratch, scratch_made, stored, table
 from tracewright.llm.line_dedup import drop_frequent_lines
 from tracewright.llm.near_dedup import near_duplicates
 from tracewright.llm.packing import pack_documents
@@ -77,7 +77,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), scratch_made()
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        forget_scratch(since, keep=1)  # what the stage made, and its input; its output stays
     return STAGES[-1][1](spark, docs, sf_dir)
