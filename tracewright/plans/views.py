@@ -112,7 +112,7 @@ def net_labels(spark, d):
 
 def new_readings(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"), (F.col("o_orderkey") * 37 % 500).alias("x"), (F.col("o_orderkey") * 53 % 500).alias("y"))
-    return selecting.new_readings(o.where("id % 2 = 0"), o.where("id % 40 = 1"), 20).select("id")
+    return selecting.new_readings(o.where("id % 2 = 0"), o.where("id % 2 = 1"), 9).select("id")
 
 
 def pin_maps(spark, d):
@@ -156,7 +156,7 @@ def kept_symbols(spark, d):
 def power_ports(spark, d):
     """Power ports of symbols, with their refs in order and their places."""
     s = _symbols(spark, d)
-    ports = schematic.power_refs(s.where("ord % 3 = 0").select("id", F.col("id").alias("symbol_id"), F.lit(7).alias("pin_number"), F.when(F.col("ord") % 2 == 0, "GND").otherwise("VCC").alias("name"), "ord"))
+    ports = schematic.power_refs(s.select("id", F.col("id").alias("symbol_id"), F.lit(7).alias("pin_number"), F.when(F.col("ord") % 2 == 0, "GND").otherwise("VCC").alias("name"), "ord"))
     pins = s.select(F.col("id").alias("symbol_id"), F.lit(7).alias("number"), "ord", "x", "y")
     return ports.select("id", "ref").join(schematic.power_places(ports, pins), "id")
 
@@ -236,9 +236,9 @@ def renumbered_vias(spark, d):
 def guessed_pins(spark, d):
     """The pins of packages nearest to vias that lie a little off them."""
     k = F.col("p_partkey")
-    comps = table(spark, d, "part").where("p_partkey % 5 = 0").select(k.alias("id"), F.lit("DIP-14").alias("package"), F.lit(0.0).alias("bx"), F.lit(0.0).alias("by"), F.lit(100.0).alias("bw"), F.lit(300.0).alias("bh"), F.lit(0.0).alias("rotation"))
+    comps = table(spark, d, "part").select(k.alias("id"), F.lit("DIP-14").alias("package"), F.lit(0.0).alias("bx"), F.lit(0.0).alias("by"), F.lit(100.0).alias("bw"), F.lit(300.0).alias("bh"), F.lit(0.0).alias("rotation"))
     places = packages.pin_places(comps, 254.0).select(F.col("id").alias("component"), "pin", "x", "y")
-    vias = places.where((F.col("component") + F.col("pin")) % 3 == 0).select("component", F.concat_ws(".", "component", "pin").alias("id"), (F.col("x") + 4).alias("x"), (F.col("y") - 5).alias("y"))
+    vias = places.select("component", F.concat_ws(".", "component", "pin").alias("id"), (F.col("x") + 4).alias("x"), (F.col("y") - 5).alias("y"))
     return packages.guessed_pin(vias, places)
 
 
@@ -264,14 +264,14 @@ UNION ALL SELECT 'removed', count(*) FROM f WHERE id % 10 <> 0 UNION ALL SELECT
     "output_vias": f"WITH {_VIAS} SELECT id FROM v WHERE pin_number <> '' AND {_OUT} = 1",
     "via_signals": f"WITH {_VIAS} SELECT id, component_id || '-' || CASE WHEN pin_number = '' THEN '' ELSE 'A' || pin_number END AS signal, CASE WHEN pin_number = '' THEN 'Input' ELSE ['Input', 'Output', 'Power'][({_OUT} + 1)::INTEGER] END AS direction FROM v".replace("{_OUT} + 1", f"{_OUT} + 1"),
     "net_labels": f"WITH {_VIAS}, a AS (SELECT net_id, arg_min(signal_name, (ord, id)) FILTER (WHERE signal_name <> '' AND pin_number <> '' AND {_OUT.replace('pin_number::BIGINT', 'coalesce(try_cast(pin_number AS BIGINT), 0)')} = 1) AS b, arg_min(component_id || '.' || pin_number, (ord, id)) FILTER (WHERE pin_number <> '') AS c FROM v GROUP BY 1) SELECT o_orderkey AS net_id, CASE WHEN o_orderkey % 9 = 0 THEN 'n#' || o_orderkey WHEN o_custkey % 10 = 0 THEN 'BUS' || o_custkey ELSE coalesce(b, c, 'n') END AS name FROM orders LEFT JOIN a ON a.net_id = o_orderkey",
-    "new_readings": "WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS text, o_orderkey * 37 % 500 AS x, o_orderkey * 53 % 500 AS y FROM orders) SELECT id FROM o a WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM o b WHERE b.id % 40 = 1 AND b.text = a.text AND abs(a.x - b.x) < 20 AND abs(a.y - b.y) < 20)",
+    "new_readings": "WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS text, o_orderkey * 37 % 500 AS x, o_orderkey * 53 % 500 AS y FROM orders) SELECT id FROM o a WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM o b WHERE b.id % 2 = 1 AND b.text = a.text AND abs(a.x - b.x) < 9 AND abs(a.y - b.y) < 9)",
     "pin_maps": "SELECT (p_partkey % 100)::VARCHAR AS key, max(p_partkey) AS ord FROM part GROUP BY 1 UNION ALL SELECT p_brand, max(p_partkey) FROM part GROUP BY 1",
     "footprints": f"WITH {_SYMBOLS}, m AS (SELECT component_id, arg_min(id, ord) AS id, arg_min(sheet, ord) AS sheet FROM s WHERE NOT edge GROUP BY 1) SELECT component_id, CASE WHEN sheet > 1 THEN '/' || {_UUID.format(chr(39) + 'sheet:sheet-' + chr(39) + ' || sheet')} ELSE '' END || '/' || {_UUID.format(chr(39) + 'symbol:' + chr(39) + ' || id')} AS path FROM m",
     "symbol_units": f"WITH {_SYMBOLS}, m AS (SELECT component_id, function_name, min(ord) AS o FROM s GROUP BY 1, 2) SELECT component_id, function_name, row_number() OVER (PARTITION BY component_id ORDER BY o)::INTEGER AS unit FROM m",
     "sheet_frames": f"WITH {_SYMBOLS} SELECT sheet, min(x) - 50 AS x1, min(y) - 50 AS y1, max(x) + 50 AS x2, max(y) + 50 AS y2 FROM s GROUP BY 1",
     "placed_symbols": f"WITH {_SYMBOLS} SELECT id, round((x + CASE WHEN ord % 7 = 0 THEN 3 ELSE 0 END) / 5) * 5 AS x, round((y - CASE WHEN ord % 7 = 0 THEN 4 ELSE 0 END) / 5) * 5 AS y, CASE WHEN ord % 7 = 0 THEN 180 ELSE rotation END AS rotation, ord % 7 = 0 AS restored FROM s",
     "kept_symbols": f"WITH {_SYMBOLS} SELECT id FROM s WHERE NOT edge OR ord % 10 <> 0",
-    "power_ports": f"WITH {_SYMBOLS} SELECT id, '#PWR' || lpad(row_number() OVER (ORDER BY ord)::VARCHAR, greatest(3, length(row_number() OVER (ORDER BY ord)::VARCHAR))::INTEGER, '0') AS ref, x, y + CASE WHEN ord % 2 = 0 THEN 40 ELSE -40 END AS y FROM s WHERE ord % 3 = 0",
+    "power_ports": f"WITH {_SYMBOLS} SELECT id, '#PWR' || lpad(row_number() OVER (ORDER BY ord)::VARCHAR, greatest(3, length(row_number() OVER (ORDER BY ord)::VARCHAR))::INTEGER, '0') AS ref, x, y + CASE WHEN ord % 2 = 0 THEN 40 ELSE -40 END AS y FROM s",
     "even_contacts": """WITH c AS (SELECT c_nationkey AS board, c_custkey AS id, c_custkey * 40 AS x, CASE WHEN c_custkey % 11 = 0 THEN 30 WHEN c_custkey % 7 = 0 THEN 24 WHEN c_custkey % 13 = 0 THEN 12 ELSE 20 END AS width, c_custkey * 40 + 10 + c_custkey % 3 * 2.0::DOUBLE AS center FROM customer),
 m AS (SELECT board, list_sort(list(width))[count(*) // 2 + 1] AS m FROM c GROUP BY 1),
 e AS (SELECT c.*, m, x - (trunc(center)::BIGINT - m // 2) AS l, x + width - (trunc(center)::BIGINT + m // 2) AS r, width > trunc(m * 1.15) AS wide FROM c JOIN m ON m.board = c.board WHERE width <= trunc(m * 1.30) AND width >= trunc(m * 0.75)),
@@ -299,5 +299,5 @@ w AS (SELECT img_id, min(cx) AS a, min(cy) AS b, max(cx) AS d, max(cy) AS e FROM
     "first_boxes": "SELECT min(c_custkey) AS id FROM customer GROUP BY c_nationkey, c_custkey % 10, c_custkey % 4, c_custkey % 3",
     "record_kinds": "SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN 'Input' WHEN 1 THEN 'Output' WHEN 2 THEN 'Bidirectional' WHEN 3 THEN 'Power' WHEN 4 THEN 'Ground' WHEN 5 THEN 'Output' ELSE 'Bidirectional' END AS direction, p_partkey % 3 < 2 AS weak, p_partkey % 3 = 2 AS ground FROM part",
     "renumbered_vias": "SELECT 'U' || s_suppkey AS component, id::INTEGER AS id, CASE WHEN id < 7 THEN id + 1 ELSE 21 - id END::INTEGER AS pin FROM supplier, range(14) r(id)",
-    "guessed_pins": "SELECT p_partkey || '.' || n AS id, n::INTEGER AS pin FROM part, range(1, 15) r(n) WHERE p_partkey % 5 = 0 AND (p_partkey + n) % 3 = 0",
+    "guessed_pins": "SELECT p_partkey || '.' || n AS id, n::INTEGER AS pin FROM part, range(1, 15) r(n)",
 }
