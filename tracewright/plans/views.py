@@ -111,7 +111,7 @@ def net_labels(spark, d):
 
 
 def new_readings(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"), (F.col("o_orderkey") * 37 % 500).alias("x"), (F.col("o_orderkey") * 53 % 500).alias("y"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"), (F.col("o_orderkey") * 37 % 499).alias("x"), (F.col("o_orderkey") * 53 % 491).alias("y"))
     return selecting.new_readings(o.where("id % 2 = 0"), o.where("id % 2 = 1"), 9).select("id")
 
 
@@ -264,7 +264,7 @@ UNION ALL SELECT 'removed', count(*) FROM f WHERE id % 10 <> 0 UNION ALL SELECT
     "output_vias": f"WITH {_VIAS} SELECT id FROM v WHERE pin_number <> '' AND {_OUT} = 1",
     "via_signals": f"WITH {_VIAS} SELECT id, component_id || '-' || CASE WHEN pin_number = '' THEN '' ELSE 'A' || pin_number END AS signal, CASE WHEN pin_number = '' THEN 'Input' ELSE ['Input', 'Output', 'Power'][({_OUT} + 1)::INTEGER] END AS direction FROM v".replace("{_OUT} + 1", f"{_OUT} + 1"),
     "net_labels": f"WITH {_VIAS}, a AS (SELECT net_id, arg_min(signal_name, (ord, id)) FILTER (WHERE signal_name <> '' AND pin_number <> '' AND {_OUT.replace('pin_number::BIGINT', 'coalesce(try_cast(pin_number AS BIGINT), 0)')} = 1) AS b, arg_min(component_id || '.' || pin_number, (ord, id)) FILTER (WHERE pin_number <> '') AS c FROM v GROUP BY 1) SELECT o_orderkey AS net_id, CASE WHEN o_orderkey % 9 = 0 THEN 'n#' || o_orderkey WHEN o_custkey % 10 = 0 THEN 'BUS' || o_custkey ELSE coalesce(b, c, 'n') END AS name FROM orders LEFT JOIN a ON a.net_id = o_orderkey",
-    "new_readings": "WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS text, o_orderkey * 37 % 500 AS x, o_orderkey * 53 % 500 AS y FROM orders) SELECT id FROM o a WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM o b WHERE b.id % 2 = 1 AND b.text = a.text AND abs(a.x - b.x) < 9 AND abs(a.y - b.y) < 9)",
+    "new_readings": "WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS text, o_orderkey * 37 % 499 AS x, o_orderkey * 53 % 491 AS y FROM orders) SELECT id FROM o a WHERE id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM o b WHERE b.id % 2 = 1 AND b.text = a.text AND abs(a.x - b.x) < 9 AND abs(a.y - b.y) < 9)",
     "pin_maps": "SELECT (p_partkey % 100)::VARCHAR AS key, max(p_partkey) AS ord FROM part GROUP BY 1 UNION ALL SELECT p_brand, max(p_partkey) FROM part GROUP BY 1",
     "footprints": f"WITH {_SYMBOLS}, m AS (SELECT component_id, arg_min(id, ord) AS id, arg_min(sheet, ord) AS sheet FROM s WHERE NOT edge GROUP BY 1) SELECT component_id, CASE WHEN sheet > 1 THEN '/' || {_UUID.format(chr(39) + 'sheet:sheet-' + chr(39) + ' || sheet')} ELSE '' END || '/' || {_UUID.format(chr(39) + 'symbol:' + chr(39) + ' || id')} AS path FROM m",
     "symbol_units": f"WITH {_SYMBOLS}, m AS (SELECT component_id, function_name, min(ord) AS o FROM s GROUP BY 1, 2) SELECT component_id, function_name, row_number() OVER (PARTITION BY component_id ORDER BY o)::INTEGER AS unit FROM m",
