@@ -88,3 +88,30 @@ def guessed_pin(vias: DataFrame, places: DataFrame) -> DataFrame:
     p = places.select("component", "pin", F.col("x").alias("px"), F.col("y").alias("py"))
     off = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
     return vias.join(p, "component").groupBy("id").agg(F.min(F.struct(off.alias("off"), "pin"))["pin"].alias("pin"))
+
+
+def pin_by_neighbours(vias: DataFrame, dpi: float) -> DataFrame:
+    """(component, id, pin) for vias (component, id, pin, x, y) without a pin, guessed from the two nearest pins of their
+    component that have a number; smaller ids on ties.
+
+    Steps are tenths of an inch, at least one, else there is no guess. Numbers go on from the nearest pin, up or down as
+    they do towards the second one; up, where the second gives no direction or a number under 1. The pairs are those of a
+    component's pins, and only two a via are shuffled.
+    """
+    pitch = 0.1 * dpi
+    away = lambda v: F.floor(v) + (v - F.floor(v) >= 0.5).cast("int")
+    number = F.when(F.col("pin").rlike(r"^\+?[0-9]{1,9}$"), F.col("pin").cast("int"))
+    known = vias.select("component", F.col("id").alias("other"), number.alias("n"), F.col("x").alias("px"), F.col("y").alias("py")).where("n > 0")
+    square = lambda x, y: x * x + y * y
+    pairs = vias.where("pin = ''").join(known, "component").withColumn("far", square(F.col("x") - F.col("px"), F.col("y") - F.col("py")))
+    pairs = pairs.withColumn("k", F.row_number().over(W.partitionBy("component", "id").orderBy("far", "other"))).where("k <= 2")
+    of = lambda k: F.max(F.when(F.col("k") == k, F.struct("n", "px", "py", "far")))
+    near = pairs.groupBy("component", "id").agg(F.first("x").alias("x"), F.first("y").alias("y"), of(1).alias("a"), of(2).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    steps = away(F.sqrt(a["far"]) / pitch)
+    rx, ry = b["px"] - a["px"], b["py"] - a["py"]
+    way = F.when(away(F.sqrt(square(rx, ry)) / pitch) > 0, F.signum((b["n"] - a["n"]).cast("double")))
+    back = (F.col("x") - a["px"]) * rx + (F.col("y") - a["py"]) * ry < 0
+    turned = a["n"] + steps * F.when(back, -way).otherwise(way)
+    pin = F.when((way != 0) & (turned >= 1), turned).otherwise(a["n"] + steps)
+    return near.where(steps >= 1).select("component", "id", pin.cast("int").alias("pin"))

@@ -94,6 +94,11 @@ def invalid_specs(specs: DataFrame) -> DataFrame:
     return specs.select("name", problem.alias("problem")).where("problem is not null")
 
 
+def spec_names(specs: DataFrame) -> DataFrame:
+    """The names of all board specs, in order."""
+    return specs.select("name").where("name is not null").distinct().orderBy("name")
+
+
 def taken_pins(vias: DataFrame) -> DataFrame:
     """(id, taken) of vias (id, component_id, pin_number): whether another one is on the same pin."""
     named = (F.col("component_id") != "") & (F.col("pin_number") != "")
