@@ -9,6 +9,7 @@ from tracewright.llm.line_dedup import SQL_OP9, op9_line_dedup
 from tracewright.llm.max_score import SQL_OP5, op5_max_score
 from tracewright.llm.near_dedup import SQL_OP8, op8_near_dedup
 from tracewright.llm.packing import op10_packing
+from tracewright.llm.piece_bpe import op13_piece_bpe
 from tracewright.llm.pii import op2_pii
 from tracewright.llm.quality_model import op3_quality_model
 from tracewright.llm.quality_rules import SQL_OP6, op6_quality_rules
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_near_dedup": op8_near_dedup,
         "op9_line_dedup": op9_line_dedup,
         "op10_packing": op10_packing,
+        "op13_piece_bpe": op13_piece_bpe,
         "pipeline": corpus_pipeline.run,
     }
 
