@@ -14,7 +14,9 @@ from tracewright.llm.pii import op2_pii
 from tracewright.llm.quality_model import op3_quality_model
 from tracewright.llm.quality_rules import SQL_OP6, op6_quality_rules
 from tracewright.llm.suffix_dedup import SQL_OP1, op1_suffix_dedup
+from tracewright.llm.token_alignment import op11_token_alignment
 from tracewright.llm.token_counts import op7_token_counts
+from tracewright.llm.whitening import op12_whitening
 
 
 def queries() -> dict:
@@ -29,6 +31,8 @@ def queries() -> dict:
         "op8_near_dedup": op8_near_dedup,
         "op9_line_dedup": op9_line_dedup,
         "op10_packing": op10_packing,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_whitening": op12_whitening,
         "op13_piece_bpe": op13_piece_bpe,
         "pipeline": corpus_pipeline.run,
     }
