@@ -94,24 +94,17 @@ def _summed(rows: DataFrame, width: int, part: Callable[[np.ndarray], np.ndarray
     return found
 
 
-def _orthonormal(block: np.ndarray, carried: np.ndarray | None, against: np.ndarray, carried_against: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-    """block made orthonormal to the columns of against and in itself, without directions that vanish; carried, a
-    product with the block, goes along."""
+def _orthonormal(block: np.ndarray, against: np.ndarray) -> np.ndarray:
+    """block made orthonormal to the columns of against and in itself, without directions that vanish."""
     scale = np.linalg.norm(block, axis=0)
     block = block[:, scale > 0] / scale[scale > 0]
-    carried = None if carried is None else carried[:, scale > 0] / scale[scale > 0]
     for _ in range(3):
-        if not block.shape[1]:
-            break
-        c = against.T @ block
-        block = block - against @ c
-        carried = None if carried is None else carried - carried_against @ c
-        size, turn = np.linalg.eigh(block.T @ block)
-        keep = size > max(size[-1], 1e-300) * 1e-10
-        turn = turn[:, keep] / np.sqrt(size[keep])
-        block = block @ turn
-        carried = None if carried is None else carried @ turn
-    return block, carried
+        if block.shape[1]:
+            block = block - against @ (against.T @ block)
+            size, turn = np.linalg.eigh(block.T @ block)
+            keep = size > 1e-8  # the rest would be rounding, enlarged
+            block = block @ (turn[:, keep] / np.sqrt(size[keep]))
+    return block
 
 
 def lobpcg(product: Callable[[np.ndarray], np.ndarray], width: int, wanted: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
@@ -122,7 +115,7 @@ def lobpcg(product: Callable[[np.ndarray], np.ndarray], width: int, wanted: int,
     size = min(width, wanted + GUARD)
     x = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, size)))[0]
     ax, fresh = product(x), True
-    p = ap = np.zeros((width, 0))
+    p = np.zeros((width, 0))
     least, waited = np.inf, 0
     for _ in range(ROUNDS):
         g = x.T @ ax
@@ -142,21 +135,19 @@ def lobpcg(product: Callable[[np.ndarray], np.ndarray], width: int, wanted: int,
                 return values[:wanted], x[:, :wanted], float(worst)
             x = np.linalg.qr(x)[0]
             ax, fresh = product(x), True
-            p = ap = np.zeros((width, 0))
+            p = np.zeros((width, 0))
             continue
-        w, _ = _orthonormal(residual[:, norms > AIM / 10], None, x, ax)
-        aw = product(w) if w.shape[1] else np.zeros((width, 0))
-        basis, a_basis = np.hstack((x, w)), np.hstack((ax, aw))
-        if p.shape[1]:
-            p, ap = _orthonormal(p, ap, basis, a_basis)
-            basis, a_basis = np.hstack((basis, p)), np.hstack((a_basis, ap))
+        w = _orthonormal(residual[:, norms > AIM / 10], x)
+        new = np.hstack((w, _orthonormal(p, np.hstack((x, w)))))
+        basis, a_basis = np.hstack((x, new)), np.hstack((ax, product(new) if new.shape[1] else new))
         g = basis.T @ a_basis
         _, turn = np.linalg.eigh((g + g.T) / 2)
         turn = turn[:, ::-1][:, :size]
         step = turn.copy()
         step[:size] = 0
-        x, ax, p, ap = basis @ turn, a_basis @ turn, basis @ step, a_basis @ step
-        fresh = False
+        x, ax, p = basis @ turn, a_basis @ turn, basis @ step
+        upright = np.linalg.inv(np.linalg.cholesky(x.T @ x)).T  # rounding would add up over the rounds
+        x, ax, fresh = x @ upright, ax @ upright, False
     raise ArithmeticError("the residuals did not fall to what can be certified")
 
 
