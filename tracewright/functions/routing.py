@@ -72,3 +72,33 @@ def pin_tip(at: Column, tip: Column, flip_h: Column, flip_v: Column, degrees: Co
     tx = F.when(turn == 90, -y).when(turn == 180, -x).when(turn == 270, y).otherwise(x)
     ty = F.when(turn == 90, x).when(turn == 180, -y).when(turn == 270, -x).otherwise(y)
     return point(at["x"] + tx, at["y"] + ty)
+
+
+#: How far channels reach between two pins, their step, and how far beyond; narrow and wide. Then the
+#: offsets at which a wire may leave a crowded pin.
+NARROW, WIDE, TRUNKS = (120.0, 10.0, 60.0), (600.0, 5.0, 300.0), (600.0, 10.0, 300.0)
+ESCAPES = (10, 15, 20, 25, 30, 40)
+
+
+def tidy(path: Column) -> Column:
+    """The path without points at the same place as the one before."""
+    step = lambda out, p: F.when((F.abs(F.element_at(out, -1)["x"] - p["x"]) < EPSILON) & (F.abs(F.element_at(out, -1)["y"] - p["y"]) < EPSILON), out).otherwise(F.concat(out, F.array(p)))
+    return F.aggregate(F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))), F.slice(path, 1, 1), step)
+
+
+def direct_paths(a: Column, b: Column, reach: tuple[float, float, float]) -> Column:
+    """Candidate paths from a to b in the order in which equal prices are settled: straight, with one bend, and with two
+    bends at each channel."""
+    aligned = (F.abs(a["x"] - b["x"]) < EPSILON) | (F.abs(a["y"] - b["y"]) < EPSILON)
+    straight = F.when(aligned, F.array(F.array(a, b))).otherwise(F.slice(F.array(F.array(a, b)), 1, 0))
+    bent = F.array(F.array(a, point(b["x"], a["y"]), b), F.array(a, point(a["x"], b["y"]), b))
+    across = F.transform(channels(a["x"], b["x"], *reach), lambda m: F.array(a, point(m, a["y"]), point(m, b["y"]), b))
+    along = F.transform(channels(a["y"], b["y"], *reach), lambda m: F.array(a, point(a["x"], m), point(b["x"], m), b))
+    return F.filter(F.transform(F.concat(straight, bent, across, along), tidy), lambda p: F.size(p) > 1)
+
+
+def escapes(direction: Column) -> Column:
+    """Offsets for leaving a pin, the natural way of its direction first: outputs to the right, others to the left."""
+    right = F.array(*(F.lit(float(d)) for d in ESCAPES))
+    left = F.transform(right, lambda d: -d)
+    return F.when(direction == "output", F.concat(right, left)).otherwise(F.concat(left, right))
