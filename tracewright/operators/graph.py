@@ -39,16 +39,18 @@ def merged(labels: DataFrame, links: DataFrame, keep: Keep = settled) -> DataFra
     return keep(looked_up(labels.unionByName(alone), "root", tops, "left", keep=keep).select("node", F.coalesce("top", "root").alias("root")))
 
 
-def layers(edges: DataFrame) -> DataFrame:
-    """(node, layer) for edges (a, b) by longest path: sources 0, else one more than the highest parent.
+def visits(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, layer) for edges (a, b) by longest path: sources 0, else one more than the highest parent; null for nodes
+    on or behind cycles, which no order reaches. nodes (node) may hold some without edges.
 
-    Nodes on cycles, which no order reaches, get 1. There is a round for each layer; a node counts the parents that it
-    still waits for, so a round reads the edges of the last layer only.
+    There is a round for each layer; a node counts the parents that it still waits for, so a round reads the edges of
+    the last layer only.
     """
     edges = settled(edges.select("a", "b").distinct())
-    nodes = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).distinct()
+    named = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node")))
+    named = (named if nodes is None else named.unionAll(nodes.select("node"))).distinct()
     waits = edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("waits"))
-    state = settled(nodes.join(waits, "node", "left").select("node", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(None).cast("int").alias("layer")))
+    state = settled(named.join(waits, "node", "left").select("node", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(None).cast("int").alias("layer")))
     turn = 0
     while True:
         ready = (F.col("waits") == 0) & F.col("layer").isNull()
@@ -58,7 +60,12 @@ def layers(edges: DataFrame) -> DataFrame:
         state = settled(state.join(met, "node", "left").select("node", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits"), "layer"))
         turn += 1
         if state.where(ready).isEmpty():
-            return state.select("node", F.coalesce("layer", F.lit(1)).alias("layer"))
+            return state.select("node", "layer")
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """(node, layer), see visits(); nodes on or behind cycles get 1."""
+    return visits(edges).select("node", F.coalesce("layer", F.lit(1)).alias("layer"))
 
 
 def spanning_trees(points: DataFrame, group: str = "net_id") -> DataFrame:
