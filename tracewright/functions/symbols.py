@@ -28,25 +28,24 @@ def body(gate: Column, inputs: Column, outputs: Column, enables: Column, clocks:
     )
 
 
-def stub(gate: Column, inputs: Column, outputs: Column, enables: Column, clocks: Column, direction: Column, place: Column) -> Column:
-    """struct<body point, tip point, bubble> of the pin at a place (from 0) among those of its direction, from the middle
-    of the symbol; null where the outline has no such place, as for supply pins."""
-    size = body(gate, inputs, outputs, enables, clocks)
-    w, h = size["width"], size["height"]
+def stub_side(gate: Column, inputs: Column, outputs: Column, enables: Column, clocks: Column, width: Column, height: Column, direction: Column, place: Column) -> Column:
+    """struct<side, along> of the pin at a place (from 0) among those of its direction: the side of the body, and where
+    along it from the middle; side is null where the outline has no such place, as for supply pins."""
     triangle, shield, flipflop = gate.isin(TRIANGLES), gate.isin(SHIELDS), gate == "FLIPFLOP"
-    n_in = F.when(triangle, 1).when(shield, F.greatest(inputs, F.lit(2))).otherwise(inputs)
-    n_out = F.when(triangle | shield, 1).otherwise(outputs)
-    spread = lambda n: F.when(n == 1, 0.0).otherwise(snapped(-h / 2 + h / (n + 1) * (place + 1)))
-    made = lambda bx, by, tx, ty, bubble=False: F.struct(point(bx, by).alias("body"), point(tx, ty).alias("tip"), F.lit(bubble).alias("bubble"))
-    left = lambda y: made(-w / 2, y, -w / 2 - STUB, y)
-    above = lambda x: made(x, -h / 2, x, -h / 2 - STUB)
-    total = inputs + clocks + enables
-    stacked = lambda k: left(F.when(total == 1, 0.0).otherwise(-h / 2 + k * PITCH + 25))
-    shaped = triangle | shield | flipflop
-    of_input = F.when(place < n_in, F.when(shaped, left(spread(n_in))).otherwise(stacked(place)))
-    edge = snapped(w / 2 + BUBBLE)
-    y = spread(n_out)
-    of_output = F.when(place < n_out, F.when(gate.isin(INVERTED), made(edge, y, edge + STUB, y, True)).otherwise(made(w / 2, y, w / 2 + STUB, y)))
-    of_enable = F.when((gate == "TRISTATE") & (place < 1), above(F.lit(0.0))).when(flipflop, above(-w / 4 + place * PITCH)).when(~shaped, stacked(inputs + clocks + place))
-    of_clock = F.when(flipflop, left(h / 2 - place * PITCH - 25)).when(~shaped, stacked(inputs + place))
-    return F.when(direction == "input", of_input).when(direction == "output", of_output).when(direction == "enable", of_enable).when(direction == "clock", of_clock)
+    block = ~(triangle | shield | flipflop)
+    slots = F.when(direction == "input", F.when(triangle, 1).when(shield, F.greatest(inputs, F.lit(2))).otherwise(inputs)).when(direction == "output", F.when(triangle | shield, 1).otherwise(outputs))
+    slots = slots.when(direction == "enable", F.when(gate == "TRISTATE", 1).when(triangle | shield, 0).otherwise(enables)).when(direction == "clock", F.when(triangle | shield, 0).otherwise(clocks)).otherwise(0)
+    side = F.when(direction == "output", "right").when((direction == "enable") & ~block, "top").otherwise("left")
+    even = F.when(slots == 1, 0.0).otherwise(snapped(-height / 2 + height / (slots + 1) * (place + 1)))
+    before = F.when(direction == "input", 0).when(direction == "clock", inputs).otherwise(inputs + clocks)
+    stacked = F.when(inputs + clocks + enables == 1, 0.0).otherwise(-height / 2 + (before + place) * PITCH + 25)
+    along = F.when(direction == "output", even).when(block, stacked).when(direction == "input", even).when(direction == "clock", height / 2 - place * PITCH - 25).when(gate == "TRISTATE", 0.0).otherwise(-width / 4 + place * PITCH)
+    return F.struct(F.when(place < slots, side).alias("side"), along.alias("along"))
+
+
+def stub(gate: Column, width: Column, height: Column, side: Column, along: Column) -> Column:
+    """struct<body point, tip point, bubble> of a stub on a side, from the middle of the symbol; null for a null side."""
+    inverted = (side == "right") & gate.isin(INVERTED)
+    edge = F.when(inverted, snapped(width / 2 + BUBBLE)).otherwise(width / 2)
+    at = lambda out: point(F.when(side == "left", -width / 2 - out).when(side == "right", edge + out).otherwise(along), F.when(side == "top", -height / 2 - out).otherwise(along))
+    return F.when(side.isNotNull(), F.struct(at(0.0).alias("body"), at(STUB).alias("tip"), inverted.alias("bubble")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.geometry import snapped
 from tracewright.functions.routing import pin_tip
-from tracewright.functions.symbols import STUB, body, stub
+from tracewright.functions.symbols import STUB, body, stub, stub_side
 from tracewright.operators.graph import visits
 from tracewright.operators.loop import settled
 
@@ -169,9 +169,10 @@ def coordinates(ordered: DataFrame, sized: DataFrame, joined: DataFrame) -> Data
 def _stubs(sized: DataFrame, pins: DataFrame) -> DataFrame:
     """pins with stub: by the place among the symbol's pins of the same direction."""
     place = F.row_number().over(W.partitionBy("doc", "symbol_id", "direction").orderBy("ord")) - 1
-    p = pins.withColumn("place", place).join(sized.select("doc", F.col("id").alias("symbol_id"), "gate_type", "inputs", "outputs", "enables", "clocks"), ["doc", "symbol_id"])
-    found = stub(*(F.col(c) for c in ("gate_type", "inputs", "outputs", "enables", "clocks", "direction", "place")))
-    return p.withColumn("stub", found).select(*pins.columns, "gate_type", "stub")
+    p = pins.withColumn("place", place).join(sized.select("doc", F.col("id").alias("symbol_id"), "gate_type", "inputs", "outputs", "enables", "clocks", "width", "height"), ["doc", "symbol_id"])
+    where = stub_side(*(F.col(c) for c in ("gate_type", "inputs", "outputs", "enables", "clocks", "width", "height", "direction", "place")))
+    p = p.withColumn("where", where)
+    return p.select(*pins.columns, "gate_type", stub(F.col("gate_type"), F.col("width"), F.col("height"), F.col("where.side"), F.col("where.along")).alias("stub"))
 
 
 def flips(placed: DataFrame, sized: DataFrame, pins: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
     """The spanning tree of the least edges by (Manhattan length, first id, second id)."""
     if len(pdf) > SHEET_PINS:
         raise ValueError(f"a net has {len(pdf)} pins on one sheet, more than {SHEET_PINS}")
-    pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values("place", kind="stable").reset_index(drop=True)
     x, y, n = pdf["x"].to_numpy(), pdf["y"].to_numpy(), len(pdf)
     outside = np.ones(n, bool)
     length, near = np.full(n, np.inf), np.zeros(n, np.int64)
@@ -80,7 +80,8 @@ def edges(joined: DataFrame) -> DataFrame:
     kinds = dict(joined.dtypes)
     at = "struct<x:double,y:double>"
     schema = f"sheet {kinds['sheet']}, net_id {kinds['net_id']}, pins int, k int, from_id {kinds['id']}, to_id {kinds['id']}, a {at}, b {at}, from_direction string, to_direction string"
-    trees = joined.groupBy("sheet", "net_id").applyInPandas(_tree, schema)
+    place = F.row_number().over(W.partitionBy("sheet", "net_id").orderBy("id", "x", "y"))
+    trees = joined.withColumn("place", place).groupBy("sheet", "net_id").applyInPandas(_tree, schema)
     order = W.partitionBy("sheet").orderBy(F.desc("pins"), "net_id", "k")
     return trees.withColumn("ord", F.row_number().over(order)).drop("pins", "k")
 
