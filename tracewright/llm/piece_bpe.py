@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import codecs
 import heapq
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.byte_bpe import Encoder
 from tracewright.llm.common import binaries, ragged, schema_with, slices, strings, with_columns
 
 #: What stands for a space in pieces, and what the library decodes an unknown piece to.
 SPACE, UNKNOWN = "▁", " ⁇ "
 #: Pairs of pieces whose compatibility a task holds; beyond, it starts anew.
 HELD_PAIRS = 2_000_000
+#: Distinct cuts that a task holds, and their characters; beyond either, it starts anew.
+HELD_CUTS, HELD_LETTERS = 600_000, 16 << 20
 
 
 def _bad_bytes(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -82,7 +84,7 @@ class PieceBpe:
             merged = self._last_merge(self.piece[i])
             if merged:
                 self.parts[i] = merged
-        self.shorter: dict[int, int] = {}
+        self.shorter = [-1] * len(self.piece)
         self.search = ahocorasick.Automaton()
         for p, i in self.id_of.items():
             if len(p) == 1 or i in self.parts:
@@ -91,7 +93,7 @@ class PieceBpe:
                 if prefix is not None:
                     self.shorter[i] = prefix
         self.search.make_automaton()
-        self.length = {i: len(p) for p, i in self.id_of.items()}
+        self.length = list(map(len, self.piece))
         self.known: dict[int, bool] = {}
         #: Cuts: a character that no piece holds; else from a run of SPACE to the next, if no piece has one behind another character.
         inside = "".join(sorted(letters - {SPACE}))
@@ -184,30 +186,38 @@ class PieceBpe:
         i = self.id_of.get(text)
         if i in self.parts:
             return [i]
-        if len(text) == 1:
+        n = len(text)
+        if n == 1:
             return [i] if i is not None else [self.byte_id[b] for b in text.encode()]
-        longest: list[int] = [0] * len(text)
-        for end, (i, n) in self.search.iter(text):  # ends rise, so the longest piece of each start comes last
-            longest[end - n + 1] = i
-        length, shorter, compatible = self.length, self.shorter, self.compatible
-        failed = bytearray((len(text) >> 3) + 1)
+        longest = [0] * n
+        for end, (i, size) in self.search.iter(text):  # ends rise, so the longest piece of each start comes last
+            longest[end - size + 1] = i
+        length, shorter, known, compatible = self.length, self.shorter, self.known.get, self.compatible
+        failed, any_failed = bytearray((n >> 3) + 1), False
         ids: list[int] = []
-        at, token = 0, longest[0]
-        while at < len(text):
-            while token is not None:
+        at, last, token = 0, -1, longest[0]
+        while at < n:
+            while token >= 0:
                 end = at + length[token]
-                if not failed[end >> 3] >> (end & 7) & 1 and (not ids or compatible(ids[-1], token)):
-                    break
-                token = shorter.get(token)
-            if token is not None:
+                if not (any_failed and failed[end >> 3] >> (end & 7) & 1):
+                    if last < 0:
+                        break
+                    fits = known(last << 32 | token)
+                    if fits or (fits is None and compatible(last, token)):
+                        break
+                token = shorter[token]
+            if token >= 0:
                 ids.append(token)
-                at = end
-                token = longest[at] if at < len(text) else None
+                at, last = end, token
+                if at < n:
+                    token = longest[at]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
+                any_failed = True
                 token = ids.pop()
                 at -= length[token]
-                token = shorter.get(token)
+                token = shorter[token]
+                last = ids[-1] if ids else -1
         return self._finish(ids) if self.meets_late and self.meets_late.search(text) else ids
 
     def _finish(self, ids: list[int]) -> list[int]:
@@ -224,11 +234,6 @@ class PieceBpe:
                 out.append(i)
         return out
 
-    def encode_pieces(self, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all cuts in a row, and how many each has."""
-        found = [self.encode_cut(c.decode()) for c in cuts]
-        return np.fromiter((i for f in found for i in f), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
-
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The decoded text of each of the runs of counts ids."""
         ids = ids.astype(np.int64)
@@ -250,15 +255,38 @@ class PieceBpe:
         return out
 
 
-class PieceEncoder(Encoder):
+class PieceEncoder:
     """Texts to ids without begin and end, holding the ids of the cuts seen so far."""
 
     def __init__(self, bpe: PieceBpe):
-        super().__init__(bpe, bpe.pattern)
-        self.pattern = re.compile(bpe.pattern)
+        self.bpe, self.pattern = bpe, re.compile(bpe.pattern)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.held_letters = 0
+        self.ids, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def encode(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return super().encode([SPACE + d.replace(" ", SPACE) if d else "" for d in docs])
+        """The ids of all docs in a row, and how many each has."""
+        cuts = [self.pattern.findall(SPACE + d.replace(" ", SPACE)) if d else [] for d in docs]
+        flat = list(itertools.chain.from_iterable(cuts))
+        needed = {*flat}
+        new = needed.difference(self.at)
+        if self.at and (len(self.at) + len(new) > HELD_CUTS or self.held_letters + sum(map(len, new)) > HELD_LETTERS):
+            self._forget()
+            new = needed
+        self.held_letters += sum(map(len, new))
+        if new:
+            found = [self.bpe.encode_cut(c) for c in new]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            self.ids = np.concatenate((self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum()))))
+            self.lengths = np.concatenate((self.lengths, lengths))
+        which = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+        own = self.lengths[which]
+        ends = np.concatenate(([0], np.cumsum([len(c) for c in cuts], dtype=np.int64)))
+        return ragged(self.ids, (np.cumsum(self.lengths) - self.lengths)[which], own), np.diff(np.concatenate(([0], np.cumsum(own)))[ends])
 
 
 def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", ends: bool = True) -> DataFrame:
