@@ -341,12 +341,13 @@ def test_top_k(spark):
     vectors = [(i, rng.normal(0, 0.2, 6).astype("float32").tolist()) for i in range(120)]
     vectors += [(200, vectors[0][1]), (201, vectors[0][1]), (50, None), (203, [1.0, None]), (204, [float("nan")] * 6), (205, [float("inf")] * 6), (None, [1.0] * 6), (0, vectors[0][1])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
-    sane = [(i, np.floor(256 * np.array(v, "float32").astype(float)).astype(int)) for i, v in vectors if i is not None and v and None not in v and np.isfinite(v).all()]
+    sane = [(i, np.floor(256 * np.array(v, "float32").astype(float)).astype(int)) for i, v in vectors if v and None not in v and np.isfinite(v).all()]
     want = collections.Counter()
     for a, (i, v) in enumerate(sane):
-        if i % 50 == 0:
-            hits = sorted((-int(v @ w), j) for b, (j, w) in enumerate(sane) if a != b)[:5]
-            want.update((i, r, j, -s) for r, (s, j) in enumerate(hits, 1))
+        if i is not None and i % 50 == 0:
+            hits = sorted((-int(v @ w), j is None, j or 0) for b, (j, w) in enumerate(sane) if a != b)[:5]
+            want.update((i, r, None if none else j, -s) for r, (s, none, j) in enumerate(hits, 1))
+    assert any(j is None for _, _, j, _ in want)
     old = max_score.CELL_SHARDS, max_score.CELL_QUERIES, max_score.SHARD
     for sizes in (old, (2, 2, 7)):
         max_score.CELL_SHARDS, max_score.CELL_QUERIES, max_score.SHARD = sizes

@@ -79,7 +79,7 @@ def test_run_is_the_stages(spark):
 
 def test_all_queries_are_registered():
     names = queries.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n != "pipeline"} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n != "pipeline"} == {f"op{i}" for i in range(1, 14)}
     assert {*queries.oracle_sql()} <= {*names}
     assert corpus_pipeline.ORACLE_SQL is None
 

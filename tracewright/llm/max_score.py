@@ -40,10 +40,13 @@ PROBED = 8
 CELL_VECTORS, CELL_SHARDS = 16_384, 4_096
 #: Vectors with a quantised component from this on up are scored apart, so that the sums of the others stay exact in 64 bits.
 LIMIT = 2**25
+#: What a null id is called on the way; it is behind all ids.
+NO_ID = 2**63 - 1
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, row, q, large) of the vectors that take part: the row's number and floor(256 * x) of each component.
+    """(vec_id, row, q, large) of the vectors that take part: the row's number and floor(256 * x) of each component; a
+    null id is NO_ID.
 
     Where one of them reaches LIMIT, q is null and large holds the components as they are; else large is null.
     """
@@ -51,8 +54,9 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     x = F.transform(each, lambda v: F.floor(F.lit(SCALE) * v.cast("double")))
     sane = F.forall(each, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
     small = F.forall(each, lambda v: F.abs(F.lit(SCALE) * v.cast("double")) < LIMIT)
-    numbered = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"), each)
-    taking_part = numbered.where(F.col("vec_id").isNotNull() & each.isNotNull() & sane)
+    known = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
+    numbered = vectors.select(known.alias("vec_id"), F.monotonically_increasing_id().alias("row"), each)
+    taking_part = numbered.where(each.isNotNull() & sane)
     return taking_part.select("vec_id", "row", F.when(small, x).alias("q"), F.when(~small, each.cast("array<double>")).alias("large"))
 
 
@@ -172,18 +176,18 @@ def _sides(t: pa.Table, width: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndar
 def top_k(vectors: DataFrame, k: int, queries_every: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by queries_every, the k best other rows.
 
-    Ties go to the smaller id. Rows with a null id, and vectors that are null or hold a null or non-finite component
-    take no part; missing dimensions count as 0. Repeated rows are candidates of their own, and each repeated query row
+    Ties go to the smaller id, null last; a row with a null id is a candidate but asks nothing. Vectors that are null or
+    hold a null or non-finite component take no part; missing dimensions count as 0. Repeated rows are candidates of their own, and each repeated query row
     has results of its own. A score that 64 bits cannot hold is an error, as in SQL. No rows: no results.
     """
     table = stored(quantised(vectors, id_col, vector_col))
-    is_query = F.col("vec_id") % queries_every == 0
+    is_query = (F.col("vec_id") % queries_every == 0) & (F.col("vec_id") != NO_ID)
     n, n_large, width = table.agg(F.count("*"), F.count("large"), F.coalesce(F.max(F.size(F.coalesce("q", "large"))), F.lit(0))).first()
     found = _searched(table.where("q is not null").select("vec_id", "row", "q", is_query.alias("asks")), k, n - n_large, width)
     if n_large:
         found = found.unionByName(_searched_apart(table, is_query, k, n))
     rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.nullif(F.col("vec_id"), F.lit(NO_ID)).alias("vec_id"), "score")
 
 
 _FOUND = "query_id long, query_row long, vec_id long, score long"
