@@ -2,7 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared folder and reads
 it back as the next stage's docs. All stages but the last return the columns of documents; those that change a text
-set n_chars to its new length.
+set n_chars to its new length. A null text is an empty one, repeated rows and null ids are documents of their own, and
+other columns come through as they are, whatever their names and types. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -29,12 +30,26 @@ def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
     return docs.select(*(new.get(c, F.col(f"`{c}`")) for c in columns))
 
 
+def _apart(stage):
+    """The stage on documents whose other columns have names that no operator gives to its own; they get theirs back."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in ("doc_id", "text", "n_chars") else f"documents_column_{i}" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), sf_dir)
+        return out.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
+@_apart
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality model predicts to be bad; it learns from four fifths of the labelled ids."""
     model = train(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 5) != 0)
     return score_quality(docs, model).where("predicted = 1").select(docs.columns)
 
 
+@_apart
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the lines that MIN_LINE_DOCS documents or more hold.
 
@@ -44,7 +59,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = drop_frequent_lines(docs, min_docs=MIN_LINE_DOCS)
     emptied = (F.col("n_dropped") > 0) & ~F.col("kept_text").rlike(_WORD)
     rest = [c for c in docs.columns if c != "text"]
-    firsts = out.where(emptied).groupBy("text").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in rest))).alias("first"))
+    firsts = out.where(emptied).groupBy("text").agg(F.min_by(F.struct(*rest), F.struct("doc_id", F.to_json(F.struct(*rest)))).alias("first"))
     firsts = stored(firsts.select("text", "first.*").select(docs.columns))
     kept = _with_text(out.where(~emptied), docs.columns, "kept_text")
     if firsts.isEmpty():
@@ -53,11 +68,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.unionByName(_with_text(back.where(F.col("kept_text").rlike(_WORD)), docs.columns, "kept_text"))
 
 
+@_apart
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the first row with the smallest id."""
     return near_duplicates(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT).where("is_first").select(docs.columns)
 
 
+@_apart
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by the name of its kind."""
     return _with_text(find_pii(docs), docs.columns, "masked_text")
