@@ -1,5 +1,7 @@
 """Board operators on hand-made boards and tables."""
 
+import datetime
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -215,6 +217,48 @@ def test_documents_survive_a_round(spark, tmp_path, kind):
     assert text("one") == text("two")
 
 
+def _filled(kind, depth=0):
+    """A value of a type with something in every field."""
+    name = kind.typeName()
+    if name == "struct":
+        return {f.name: _filled(f.dataType, depth + 1) for f in kind.fields}
+    if name == "array":
+        return [_filled(kind.elementType, depth + 1)] * 2
+    if name == "map":
+        return {"7": _filled(kind.valueType, depth + 1)}
+    made = {"string": f"s{depth}", "double": 1.5 + depth, "integer": 3 + depth, "long": 2**40, "boolean": True, "binary": b"\x01\xff", "timestamp": datetime.datetime(2024, 5, 6, 7, 8, 9)}
+    return made[name]
+
+
+@pytest.mark.parametrize("kind", list(documents.DOCUMENTS))
+def test_every_field_survives(spark, tmp_path, kind):
+    """A value in each field of each record of two documents, and an array without rows in one of them."""
+    settings, arrays = documents.DOCUMENTS[kind]
+    types = lambda ddl: spark.createDataFrame([], ddl).schema
+    full = types("document string" + (f", {settings}" if settings else ""))
+    rows = [_filled(full) | {"document": d} for d in ("a b+c%", "b")]
+    tables = {"settings": spark.createDataFrame(rows, full)}
+    for key, record in arrays.items():
+        schema = types(f"document string, ord int, {documents.SCHEMAS[record]}")
+        tables[key] = spark.createDataFrame([_filled(schema) | {"document": "b", "ord": k} for k in (0, 1)], schema)
+    documents.save_documents(tables, str(tmp_path / "saved"), kind)
+    read = documents.load_documents(spark, str(tmp_path / "saved"), kind)
+    for key, df in tables.items():
+        assert sorted(map(repr, read[key].select(df.columns).collect())) == sorted(map(repr, df.collect())), key
+    texts = {r.document: r.value for r in documents.document_texts(tables, kind, pretty=False).collect()}
+    assert all(f'"{key}":[]' in texts["a b+c%"] for key in arrays)
+
+
+def test_documents_in_lines(spark, tmp_path):
+    (tmp_path / "two.jsonl").write_text('{"parts": [{"part_number": "A"}]}\n\n{"parts": [{"part_number": "B"}, {"part_number": "C"}]}\n')
+    read = documents.load_documents(spark, str(tmp_path / "two.jsonl"), "library", lines=True)
+    assert sorted(r.part_number for r in read["parts"].collect()) == ["A", "B", "C"]
+    names = {r.document for r in read["settings"].collect()}
+    assert len(names) == 2 and all(n.startswith("two#") for n in names)
+    with pytest.raises(Exception, match="text after its end"):
+        documents.load_documents(spark, str(tmp_path / "two.jsonl"), "library")["parts"].collect()
+
+
 def test_documents_as_people_write_them(spark, tmp_path):
     (tmp_path / "library.json").write_text('{\n "parts": [\n {"part_number": "74LS00", "package": "DIP-14", "pins": [{"number": 1, "name": "A", "direction": "Input"}], "aliases": ["7400"], "functions": [{"name": "a", "type": "NAND", "inputs": [1, 2], "outputs": [3]}]},\n {"part_number": "B"}]}')
     parts = documents.load_parts(spark, str(tmp_path / "library.json"))

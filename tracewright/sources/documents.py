@@ -7,7 +7,7 @@ broken document is an error, not a row of nulls.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINT = "struct<x:double,y:double>"
@@ -54,6 +54,7 @@ SCHEMAS = {
 _COLOR_FIGURES = "struct<h_mean:double,h_std:double,s_mean:double,s_std:double,v_mean:double,v_std:double>"
 _PLACE = "struct<x:double,y:double,flip_h:boolean,flip_v:boolean,rotation:int,sheet:int>"
 _SIDED = "offset struct<x:int,y:int>, rotation double, shear_top_x double, shear_bottom_x double, shear_left_y double, shear_right_y double, auto_rotation double, auto_scale_x double, auto_scale_y double, rotation_center struct<x:double,y:double>, crop struct<x:int,y:int,width:int,height:int>, import_rotation double, image string, normalized string"
+_PARAMETER_FIGURES = "struct<otsu_rate:double,fixed_rate:double,adaptive_rate:double,histogram_rate:double,best_fixed_thresholds:array<int>,best_clahe_clip:double,best_clahe_tile:int,best_min_scale:int,psm_stats:map<string,double>,invert_true_rate:double,invert_false_rate:double>"
 _PROJECT_SETTINGS = (
     "version int, name string, board_type string, aligned boolean, alignment_error double, dpi double, components_path string, traces_path string, netlist_path string, "
     + ", ".join(f"{side}_{field.strip()}" for side in ("front", "back") for field in _split_fields(_SIDED))
@@ -64,7 +65,7 @@ DOCUMENTS = {
     "project": (_PROJECT_SETTINGS, {"vias": "vias", "confirmed_vias": "confirmed_vias", "traces": "tracks", "connectors": "connectors", "components": "components", "nets": "nets", "component_training": "component_samples", "front_contacts": "contacts", "back_contacts": "contacts"}),
     "project_header": ("version int, name string, created timestamp, modified timestamp, board_type string, description string, front_image string, back_image string, aligned boolean, alignment_error double, dpi double, components string, traces string, netlist string, settings struct<default_ocr_engine:string,electronics_ocr_mode:boolean,trace_color_tolerance:int>", {}),
     "component_training": ("", {"samples": "component_samples"}),
-    "reading_training": ("version int, orientation_stats map<string,struct<count:int,avg_score:double,best:double>>", {"samples": "ocr_samples"}),
+    "reading_training": ("version int, orientation_stats map<string,struct<count:int,avg_score:double,best:double>>, param_stats " + _PARAMETER_FIGURES, {"samples": "ocr_samples"}),
     "via_training": ("", {"samples": "via_samples"}),
     "library": ("", {"parts": "parts"}),
     "logos": ("", {"logos": "logos"}),
@@ -84,19 +85,44 @@ def document_schema(kind: str) -> str:
     return ", ".join(fields + [f"{key} array<struct<{_nested(SCHEMAS[record])}>>" for key, record in arrays.items()])
 
 
-def load_documents(spark: SparkSession, path: str, kind: str) -> dict[str, DataFrame]:
+def _document() -> Column:
+    """A document's name: what it was saved under, else its file's name without folders and ending."""
+    path = F.input_file_name()
+    saved = F.regexp_extract(path, r"/document=([^/]*)/[^/]*$", 1)
+    stem = F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
+    decoded = lambda c: F.url_decode(F.regexp_replace(c, r"\+", "%2B"))
+    return F.when(saved != "", decoded(decoded(saved))).otherwise(decoded(stem))  # a folder's name is escaped, and so is the address
+
+
+def _read(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """(document, the schema's columns) of the JSON documents below path."""
+    name = F.concat_ws("#", _document(), F.monotonically_increasing_id().cast("string")) if lines else _document()
+    texts = spark.read.text(path, wholetext=not lines).select(name.alias("document"), F.col("value"))
+    blank = F.trim("value") == "" if lines else F.lit(False)
+    texts = texts.where(~blank)
+    # in an array of its own, a text of more or less than one document is no array of one
+    single = F.coalesce(F.json_array_length(F.concat(F.lit("["), "value", F.lit("]"))), F.lit(0)) == 1
+    error = F.raise_error(F.concat(F.lit("malformed document, or text after its end: "), "document"))
+    whole = F.when(single, F.col("value")).when(~blank, error)  # filters may run after this
+    return texts.select("document", F.from_json(whole, schema, {"mode": "FAILFAST"}).alias("r")).select("document", "r.*")
+
+
+def load_documents(spark: SparkSession, path: str, kind: str, lines: bool = False) -> dict[str, DataFrame]:
     """The documents below path as tables: settings, and one for each array. A missing array gives no rows.
 
-    Documents may be indented or one a line of a file of lines; a broken one fails the query that reads it.
+    A file holds one document, however it is indented, or with lines one in each of its lines; empty lines are none. A
+    broken document, and text after a document's end, fail the query that reads them. A document is called what it was
+    saved under, else by its file; of a file of lines also by a number.
     """
-    docs = spark.read.schema(document_schema(kind)).json(path, multiLine=True, mode="FAILFAST").withColumn("document", F.input_file_name())
+    docs = _read(spark, path, document_schema(kind), lines)
     settings, arrays = DOCUMENTS[kind]
     tables = {key: docs.select("document", F.posexplode(key).alias("ord", "r")).select("document", "ord", "r.*") for key in arrays}
     return tables | {"settings": docs.drop(*arrays)}
 
 
 def document_texts(tables: dict[str, DataFrame], kind: str, pretty: bool = True) -> DataFrame:
-    """(document, value): each document's JSON from its tables; arrays in the order of ord. Null fields are left out."""
+    """(document, value): each document's JSON from its tables; arrays in the order of ord, [] without rows. Null fields,
+    and arrays without a table, are left out."""
     _, arrays = DOCUMENTS[kind]
     doc = tables["settings"]
     for key in arrays:
@@ -104,7 +130,7 @@ def document_texts(tables: dict[str, DataFrame], kind: str, pretty: bool = True)
             rows = tables[key]
             fields = F.struct(*(F.col(f"`{c}`") for c in rows.columns if c not in ("document", "ord")))
             in_order = F.transform(F.array_sort(F.collect_list(F.struct("ord", fields.alias("r")))), lambda x: x["r"])
-            doc = doc.join(rows.groupBy("document").agg(in_order.alias(key)), "document", "left")
+            doc = doc.join(rows.groupBy("document").agg(in_order.alias(key)), "document", "left").withColumn(key, F.coalesce(key, F.array()))
     return doc.select("document", F.to_json(F.struct(*(c for c in doc.columns if c != "document")), {"pretty": str(pretty).lower()}).alias("value"))
 
 
@@ -140,7 +166,7 @@ def save_project(tables: dict[str, DataFrame], path: str, version: int = 3) -> N
 def load_reader_samples(spark: SparkSession, path: str) -> DataFrame:
     """What reading trials need of a project, its components' places and texts only: the columns are pruned by schema."""
     fields = f"components array<struct<id:string,bounds:{BOX},ocr_orientation:string,corrected_text:string,ocr_text:string>>"
-    docs = spark.read.schema(fields).json(path, multiLine=True, mode="FAILFAST").withColumn("document", F.input_file_name())
+    docs = _read(spark, path, fields, lines=False)
     return docs.select("document", F.posexplode("components").alias("ord", "r")).select("document", "ord", "r.*")
 
 
