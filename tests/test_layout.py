@@ -45,6 +45,17 @@ def test_rigid_fit(spark):
     assert (math.degrees(r.angle), r.tx, r.ty) == pytest.approx((30, 4, -1))
 
 
+def test_sampled_rigid_leaves_out_strays_and_degenerate_draws(spark):
+    t = math.radians(-40)
+    turn = lambda x, y: (x * math.cos(t) - y * math.sin(t) + 9, x * math.sin(t) + y * math.cos(t) + 2)
+    rows = [(1, i, float(i * 7 % 31), float(i * i % 17), *turn(i * 7 % 31, i * i % 17)) for i in range(24)]
+    rows = [(*r[:4], r[4] + (60 + r[1] if r[1] % 3 == 0 else 0), r[5]) for r in rows]
+    rows += [(2, 0, 1.0, 1.0, 5.0, 5.0), (2, 1, 1.0, 1.0, 9.0, 9.0), (3, 0, 1.0, 1.0, 5.0, 5.0)]  # no direction; too few
+    got = [alignment.sampled_rigid(frame(spark, rows).repartition(n), "board", 60, 0.5).collect() for n in (1, 5)]
+    assert [[(r.board, r.inliers) for r in g] for g in got] == [[(1, 16)]] * 2
+    assert all((math.degrees(g[0].angle), g[0].tx, g[0].ty) == pytest.approx((-40, 9, 2)) for g in got)
+
+
 def test_contact_scale_needs_ten(spark):
     rows = [(1, i * 75.0 + (300 if i > 6 else 0)) for i in range(12)] + [(2, i * 75.0) for i in range(9)]
     got = {r.board: r.dpi for r in alignment.contact_scale(spark.createDataFrame(rows, "board int, x double"), 0.125).collect()}

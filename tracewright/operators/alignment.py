@@ -105,6 +105,31 @@ def sampled_affine(pairs: DataFrame, key: str, rounds: int, threshold: float, se
     return affine_fit(inside, [key, "inliers"])
 
 
+def sampled_rigid(pairs: DataFrame, key: str, rounds: int, threshold: float, seed: int = 1, least: float = 0.001) -> DataFrame:
+    """(key, angle, a..ty, inliers): the best of so many turns with a shift through two seeded pairs (key, ord, x1..y2), by
+    pairs strictly within the threshold, the first of equal ones, refitted on them by least squares.
+
+    Draws whose points lie within least of each other on either side say nothing of the angle, and are left out before
+    any is tried. A key needs two pairs within the threshold; ord counts its pairs from 0 without gaps. A draw is
+    arithmetic on the round, so nothing depends on the partitioning.
+    """
+    n = pairs.groupBy(key).agg(F.count("*").alias("n")).where("n >= 2")
+    draw = n.select(key, "n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(rounds).cast("long"))).alias("round"))
+    first = (F.col("round") * 2654435761 + seed * 97) % F.col("n")  # numbers that mix well
+    draw = draw.withColumn("p", first).withColumn("q", (F.col("p") + 1 + (F.col("round") * 40503 + seed) % (F.col("n") - 1)) % F.col("n"))
+    end = lambda place: pairs.select(key, F.col("ord").cast("long").alias(place), *(F.col(c).alias(f"{place}_{c}") for c in ("x1", "y1", "x2", "y2")))
+    two = draw.join(end("p"), [key, "p"]).join(end("q"), [key, "q"])
+    away = lambda side: (F.col(f"q_x{side}") - F.col(f"p_x{side}"), F.col(f"q_y{side}") - F.col(f"p_y{side}"))
+    (sx, sy), (dx, dy) = away(1), away(2)
+    two = two.where((F.hypot(sx, sy) >= least) & (F.hypot(dx, dy) >= least)).withColumn("angle", F.atan2(dy, dx) - F.atan2(sy, sx))
+    cos, sin = F.cos("angle"), F.sin("angle")
+    models = two.select(key, "round", cos.alias("a"), (-sin).alias("b"), (F.col("p_x2") - cos * F.col("p_x1") + sin * F.col("p_y1")).alias("tx"), sin.alias("c"), cos.alias("d"), (F.col("p_y2") - sin * F.col("p_x1") - cos * F.col("p_y1")).alias("ty"))
+    hits = models.join(pairs, key).where(residual() < threshold).groupBy(key, "round").agg(F.count("*").alias("inliers")).where("inliers >= 2")
+    best = hits.groupBy(key).agg(F.max(F.struct("inliers", -F.col("round"), "round")).alias("b")).select(key, F.col("b.round").alias("round"), F.col("b.inliers").alias("inliers"))
+    inside = models.join(best, [key, "round"]).join(pairs, key).where(residual() < threshold).select(key, "inliers", "x1", "y1", "x2", "y2")
+    return rigid_fit(inside, [key, "inliers"])
+
+
 def contact_angle(contacts: DataFrame, key: str = "board") -> DataFrame:
     """(key, angle) of the least-squares line through contacts, in degrees; 0 where it is undefined."""
     return contacts.groupBy(key).agg(F.coalesce(F.degrees(F.atan(F.regr_slope("y", "x"))), F.lit(0.0)).alias("angle"))

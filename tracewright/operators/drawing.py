@@ -134,7 +134,8 @@ def off_sheet(symbols: DataFrame, pins: DataFrame, power_nets: DataFrame, left:
     on = on.join(symbols.select("doc", F.col("id").alias("symbol_id"), F.col("ord").alias("symbol_ord"), sheet), ["doc", "symbol_id"])
     order = F.struct("symbol_ord", "ord")
     names = on.groupBy("doc", "net_id").agg(F.max_by(F.when(F.col("net_name") != "", F.col("net_name")), F.when(F.col("net_name") != "", order)).alias("name"))
-    first = on.groupBy("doc", "net_id", "sheet").agg(F.min_by(F.struct("x", "y", "direction"), order).alias("pin"))
+    place = F.struct("symbol_ord", "ord", "x", "y", "direction")
+    first = on.groupBy("doc", "net_id", "sheet").agg(F.min(place).alias("pin"))
     other = first.select("doc", "net_id", F.col("sheet").alias("target_sheet"))
     takes = F.col("pin.direction").isin("input", "clock", "enable")
     x = F.when(takes, F.greatest(F.col("pin.x") - 140, F.lit(left))).otherwise(F.col("pin.x") + 60)

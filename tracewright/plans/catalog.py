@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that offer QUERIES (name -> function of spark, sf_dir) and SQL (name -> DuckDB text).
-MODULES = ("connectivity", "measures", "layout", "records", "forms", "views", "outlines")
+MODULES = ("connectivity", "measures", "layout", "records", "forms", "views", "outlines", "drawings")
 FLAGSHIP = "net_components"
 
 
