@@ -165,9 +165,13 @@ def _cheapest(paths: DataFrame, lines: DataFrame) -> DataFrame:
     return paths.join(doubled, ["sheet", "ord", "k"], "left").groupBy("sheet", "ord").agg(F.min(F.struct(price.alias("price"), "k", "path")).alias("best")).select("sheet", "ord", F.col("best.path").alias("path"))
 
 
-def _direct(todo: DataFrame, reach: tuple[float, float, float], points: DataFrame, lines: DataFrame) -> DataFrame:
-    tried = todo.select("sheet", "ord", "net_id", "a", "b", F.posexplode(direct_paths(F.col("a"), F.col("b"), reach)).alias("k", "path"))
-    return _cheapest(_unblocked(tried, points, lines), lines)
+def _tried(todo: DataFrame, reach: tuple[float, float, float]) -> DataFrame:
+    """The candidates (k, path) of edges, kept, as several joins read them."""
+    return settled(todo.select("sheet", "ord", "net_id", "a", "b", F.posexplode(direct_paths(F.col("a"), F.col("b"), reach)).alias("k", "path")))
+
+
+def _direct(tried: DataFrame, points: DataFrame, lines: DataFrame) -> DataFrame:
+    return _cheapest(settled(_unblocked(tried, points, lines)), lines)
 
 
 def _escaping(todo: DataFrame, points: DataFrame, lines: DataFrame) -> DataFrame:
@@ -182,12 +186,12 @@ def _escaping(todo: DataFrame, points: DataFrame, lines: DataFrame) -> DataFrame
         x = snapped(F.col(f"{pin}.x") + F.col("off"))
         path = tidy(F.array(F.col(pin), point(x, F.col(f"{pin}.y")), point(x, F.col("level"))))
         tried = side.withColumn("path", path).withColumn("k", F.col("m") * 100 + F.col("e")).where(F.size("path") > 1)
-        return _unblocked(tried, points, lines)
+        return _unblocked(settled(tried.select("sheet", "ord", "net_id", "a", "b", "m", "e", "k", "path")), points, lines)
 
     left = half("a", "from_direction").select("sheet", "ord", "net_id", "a", "b", "m", F.col("e").alias("ea"), F.col("path").alias("pa"))
     right = half("b", "to_direction").select("sheet", "ord", "m", F.col("e").alias("eb"), F.reverse("path").alias("pb"))
     both = left.join(right, ["sheet", "ord", "m"]).withColumn("path", tidy(F.concat("pa", "pb"))).withColumn("k", (F.col("m") * 100 + F.col("ea")) * 100 + F.col("eb"))
-    return _unblocked(both, points, lines).groupBy("sheet", "ord").agg(F.min(F.struct("k", "path")).alias("best")).select("sheet", "ord", F.col("best.path").alias("path"))
+    return _unblocked(settled(both), points, lines).groupBy("sheet", "ord").agg(F.min(F.struct("k", "path")).alias("best")).select("sheet", "ord", F.col("best.path").alias("path"))
 
 
 def routed(todo: DataFrame, points: DataFrame, lines: DataFrame) -> DataFrame:
@@ -199,6 +203,7 @@ def routed(todo: DataFrame, points: DataFrame, lines: DataFrame) -> DataFrame:
     before = F.lit(0).cast("int")
     todo = settled(todo)
     points, lines = (settled(df.withColumn("ord", before)) for df in (points, lines))
+    narrow = _tried(todo, NARROW)
     laid: DataFrame | None = None
     turn = todo
     while True:
@@ -209,7 +214,7 @@ def routed(todo: DataFrame, points: DataFrame, lines: DataFrame) -> DataFrame:
             p = points.unionByName(known.select("sheet", "net_id", F.explode("path").alias("p"), "ord"))
             s = lines.unionByName(_segments(known, "sheet", "net_id", "ord").drop("k"))
         found, rest = None, turn
-        for attempt in (lambda left: _direct(left, NARROW, p, s), lambda left: _direct(left, WIDE, p, s), lambda left: _escaping(left, p, s)):
+        for attempt in (lambda left: _direct(narrow.join(left.select(Edge), Edge, "left_semi"), p, s), lambda left: _direct(_tried(left, WIDE), p, s), lambda left: _escaping(left, p, s)):
             got = settled(attempt(rest))
             found = got if found is None else found.unionByName(got)
             rest = settled(rest.join(got, Edge, "left_anti"))

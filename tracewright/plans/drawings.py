@@ -13,10 +13,10 @@ SIDE = 25
 
 
 def _sheet_pins(spark, d):
-    """Customers as pins, 40 on a sheet in four columns; nations make the nets of a sheet."""
-    k = F.col("c_custkey") % 40
+    """Customers as pins, 20 on a sheet in two columns; nations make the nets of a sheet."""
+    k = F.col("c_custkey") % 20
     column, row = F.floor(k / 10), k % 10
-    return table(spark, d, "customer").select(F.floor(F.col("c_custkey") / 40).alias("sheet"), F.concat(F.lit("n"), F.col("c_nationkey") % 9).alias("net_id"), F.col("c_custkey").alias("id"), (column * 250 + 100).cast("double").alias("x"), (row * 40 + 100).cast("double").alias("y"), F.when(column % 2 == 0, "output").otherwise("input").alias("direction"))
+    return table(spark, d, "customer").select(F.floor(F.col("c_custkey") / 20).alias("sheet"), F.concat(F.lit("n"), F.col("c_nationkey") % 7).alias("net_id"), F.col("c_custkey").alias("id"), (column * 250 + 100).cast("double").alias("x"), (row * 40 + 100).cast("double").alias("y"), F.when(column % 2 == 0, "output").otherwise("input").alias("direction"))
 
 
 def sheet_edges(spark, d):
@@ -142,7 +142,7 @@ def sampled_turns(spark, d):
 
 QUERIES = {f.__name__: f for f in (sheet_edges, sheet_wires, drawing_columns, drawing_places, drawn_pins, sheet_links, lattice_reach, lattice_ways, copper_reach, sampled_turns)}
 
-_PINS = "p AS (SELECT c_custkey // 40 AS sheet, 'n' || c_nationkey % 9 AS net_id, c_custkey AS id, c_custkey % 40 // 10 * 250 + 100 AS x, c_custkey % 10 * 40 + 100 AS y FROM customer)"
+_PINS = "p AS (SELECT c_custkey // 20 AS sheet, 'n' || c_nationkey % 7 AS net_id, c_custkey AS id, c_custkey % 20 // 10 * 250 + 100 AS x, c_custkey % 10 * 40 + 100 AS y FROM customer)"
 _LIT = "lit AS (SELECT DISTINCT l_suppkey AS img, l_partkey % 25 AS x, l_orderkey % 25 AS y FROM lineitem)"
 _NEXT = "(VALUES (-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)) s(dx, dy)"
 
