@@ -291,5 +291,5 @@ def test_queries_have_sql():
     from tracewright.plans import catalog
 
     known, sql = catalog.queries(), catalog.oracle_sql()
-    assert set(sql) <= set(known) and set(known) - set(sql) <= {"part_repairs", "label_similarity", "board_affine", "grid_names", "net_trees", "contact_outliers"}
+    assert set(sql) <= set(known) and set(known) - set(sql) <= {"part_repairs", "label_similarity", "board_affine", "grid_names", "net_trees", "contact_outliers", "drawing_places", "lattice_ways"}
     assert set(known) <= set(entry.queries())
