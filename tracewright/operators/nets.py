@@ -21,7 +21,7 @@ TOLERANCE = 5.0
 
 def conducting_pairs(tracks: DataFrame, vias: DataFrame, connectors: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(a, b): trace ends within the tolerance of a via, trace ends in a connector's closed box on their side, and
-    trace ends within the tolerance of any vertex of another trace on any side. Traces of one point are ignored."""
+    trace ends within the tolerance of any vertex of another trace on any side. Tracks of one point are ignored."""
     real = tracks.where(F.size("points") >= 2)
     vertices = real.select("id", "side", F.posexplode("points").alias("k", "p"), F.size("points").alias("n"))
     vertices = vertices.select("id", "side", F.concat_ws("@", "id", "k").alias("vertex"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), ((F.col("k") == 0) | (F.col("k") == F.col("n") - 1)).alias("end"))
