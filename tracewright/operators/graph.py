@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.operators.lookup import Keep, hot_keys, looked_up
-from tracewright.operators.loop import settled
+from tracewright.operators.loop import settled, spread
 
 
 def components(edges: DataFrame, keep: Keep = settled) -> DataFrame:
@@ -71,23 +73,33 @@ def layers(edges: DataFrame) -> DataFrame:
 def spanning_trees(points: DataFrame, group: str = "net_id") -> DataFrame:
     """(group, a, b, length): the Manhattan spanning tree of each group's points (id, x, y); ties by ids.
 
-    A group is one net's pins and must fit a task.
+    Points at one place join its least id at length 0, which takes a shuffle; only places reach the task that makes a
+    group's tree. A net's places must fit a task, whose time is quadratic in them. A missing number is a place of its
+    own, infinitely far from all others.
     """
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(pdf[["id", "x", "y"]].itertuples(index=False, name=None))
-        rows, left = [], pts[1:]
-        best = {p[0]: (abs(p[1] - pts[0][1]) + abs(p[2] - pts[0][2]), pts[0][0]) for p in left}
-        at = {p[0]: p for p in pts}
-        while best:
-            node, (length, parent) = min(best.items(), key=lambda kv: (kv[1][0], kv[1][1], kv[0]))
-            del best[node]
-            rows.append((pdf[group].iloc[0], min(node, parent), max(node, parent), float(length)))
-            for other, (old, source) in best.items():
-                d = abs(at[node][1] - at[other][1]) + abs(at[node][2] - at[other][2])
-                if (d, node) < (old, source):
-                    best[other] = (d, node)
-        return pd.DataFrame(rows, columns=[group, "a", "b", "length"])
+        pdf = pdf.sort_values("id", kind="stable")
+        ids, x, y = pdf["id"].to_numpy(), pdf["x"].to_numpy(dtype=np.float64), pdf["y"].to_numpy(dtype=np.float64)
+        # what is still outside, in the order of the ids: place, distance to the tree, the place that it is reached from
+        left = np.arange(1, len(ids))
+        length, near, node, rows = np.full(len(left), np.inf), np.zeros(len(left), np.int64), 0, []
+        while len(left):
+            d = np.nan_to_num(np.abs(x[left] - x[node]) + np.abs(y[left] - y[node]), nan=np.inf)
+            better = (d < length) | ((d == length) & (node < near))
+            length, near = np.where(better, d, length), np.where(better, node, near)
+            tied = np.flatnonzero(length == length.min())
+            at = tied[near[tied].argmin()]
+            node, source = int(left[at]), int(near[at])
+            rows.append((min(node, source), max(node, source), float(length[at])))
+            left, length, near = np.delete(left, at), np.delete(length, at), np.delete(near, at)
+        a, b = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        return pd.DataFrame({group: pdf[group].to_numpy()[: len(rows)], "a": ids[a], "b": ids[b], "length": np.array([r[2] for r in rows], np.float64)})
 
     kind, node = dict(points.dtypes)[group], dict(points.dtypes)["id"]
-    return points.groupBy(group).applyInPandas(tree, f"{group} {kind}, a {node}, b {node}, length double")
+    apart = points.groupBy(group, "x", "y").agg(F.min("id").alias("id"))
+    ways = spread(apart, group).groupBy(group).applyInPandas(tree, f"{group} {kind}, a {node}, b {node}, length double")
+    w = W.partitionBy(group, "x", "y").orderBy("id")
+    same = points.select(group, F.first("id").over(w).alias("a"), F.col("id").alias("b"), F.lag("id").over(w).alias("before")).where("b <> before")
+    same = same.select(group, "a", "b", F.lit(0.0).alias("length"))
+    return ways.unionByName(same)

@@ -12,3 +12,9 @@ def settled(df: DataFrame) -> DataFrame:
         base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(base or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tracewright-scratch")
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over all shuffle partitions, for work by groups that takes long over few bytes: a plain shuffle of
+    few bytes is drawn together into a task or two."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
