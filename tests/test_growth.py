@@ -3,7 +3,7 @@
 import random
 import time
 
-from tracewright.operators import graph
+from tracewright.operators import graph, packages
 
 
 def _plain_tree(points):
@@ -37,3 +37,12 @@ def test_tree_of_a_large_net(spark):
     began = time.perf_counter()
     assert graph.spanning_trees(pins).count() == 39_999
     assert time.perf_counter() - began < 60  # every pair of pins in plain Python takes minutes
+
+
+def test_pins_by_a_shuffle_join(spark):
+    """What pins are derived from looks small; a broadcast of them took the driver's memory."""
+    places = spark.range(50).selectExpr("id AS component", "explode(sequence(1, 14)) AS pin").selectExpr("component", "pin", "pin * 10.0D AS x", "0.0D AS y")
+    vias = places.selectExpr("component", "concat_ws('.', component, pin) AS id", "x + 5 AS x", "y")
+    got = packages.guessed_pin(vias, places)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.pin) for r in got.collect()} == {(f"{c}.{n}", n) for c in range(50) for n in range(1, 15)}

@@ -84,10 +84,15 @@ def template_matches(parts: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def guessed_pin(vias: DataFrame, places: DataFrame) -> DataFrame:
-    """(id, pin) of vias (component, id, x, y): the nearest pin place (component, pin, x, y), the lower pin on ties."""
-    p = places.select("component", "pin", F.col("x").alias("px"), F.col("y").alias("py"))
-    off = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
-    return vias.join(p, "component").groupBy("id").agg(F.min(F.struct(off.alias("off"), "pin"))["pin"].alias("pin"))
+    """(id, pin) of vias (component, id, x, y): the nearest pin place (component, pin, x, y), the lower pin on ties.
+
+    A component's places, as many as its package has pins, are one row of a shuffle join; what they are derived from may
+    look small enough to broadcast when they are not.
+    """
+    p = places.groupBy("component").agg(F.collect_list(F.struct("pin", F.col("x").alias("px"), F.col("y").alias("py"))).alias("places"))
+    off = lambda p: F.struct(F.hypot(F.col("x") - p["px"], F.col("y") - p["py"]).alias("off"), p["pin"].alias("pin"))
+    best = vias.join(p.hint("merge"), "component").select("id", F.array_min(F.transform("places", off)).alias("best"))
+    return best.groupBy("id").agg(F.min("best")["pin"].alias("pin"))
 
 
 def pin_by_neighbours(vias: DataFrame, dpi: float) -> DataFrame:
