@@ -3,7 +3,7 @@
 import random
 import time
 
-from tracewright.operators import graph, packages
+from tracewright.operators import graph, packages, selecting
 
 
 def _plain_tree(points):
@@ -46,3 +46,12 @@ def test_pins_by_a_shuffle_join(spark):
     got = packages.guessed_pin(vias, places)
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert {(r.id, r.pin) for r in got.collect()} == {(f"{c}.{n}", n) for c in range(50) for n in range(1, 15)}
+
+
+def test_moved_grid_without_joins(spark):
+    rows = [(k, n, n * 10.0, 0.0, n * 10.0 + k + (50 if n == 3 else 0), 2.0, k < 2) for k in range(3) for n in range(1, 15)]
+    rows += [(None, 1, 10.0, 0.0, 12.0, 1.0, True)]
+    df = spark.createDataFrame(rows, "id long, pin int, x double, y double, dx double, dy double, found boolean")
+    got = selecting.shifted_grid(df, 30.0)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.pin): (round(r.x, 9), r.y) for r in got.collect()} == {(k, n): (x + (k if f and k else 0), 2.0 if f and k is not None else 0.0) for k, n, x, _, _, _, f in rows}

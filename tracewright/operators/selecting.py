@@ -173,9 +173,11 @@ def even_widths(contacts: DataFrame, key: str = "board") -> DataFrame:
 def shifted_grid(places: DataFrame, pitch: float, key: str = "id") -> DataFrame:
     """(key, pin, x, y): expected places (key, pin, x, y, dx, dy, found) moved by the mean way from expected to detected
     place (dx, dy) of those found, without those that then lie more than 0.3 pitches off; as they are where none is found."""
-    mean = lambda rows, x, y: rows.groupBy(key).agg(F.avg(F.col("dx") - F.col("x")).alias(x), F.avg(F.col("dy") - F.col("y")).alias(y))
-    first = places.join(mean(places.where("found"), "ax", "ay"), key, "left")
+    # null keys are no one's: rows of such stay as they are
+    w = W.partitionBy(key)
+    mean = lambda which, c: F.avg(F.when(which & F.col(key).isNotNull(), F.col(f"d{c}") - F.col(c))).over(w)
+    first = places.withColumn("ax", mean(F.col("found"), "x")).withColumn("ay", mean(F.col("found"), "y"))
     off = F.hypot(F.col("dx") - F.col("x") - F.col("ax"), F.col("dy") - F.col("y") - F.col("ay"))
-    again = mean(first.where(F.col("found") & (off <= 0.3 * pitch)), "bx", "by")
-    some = first.join(again, key, "left")
+    kept = F.col("found") & (off <= 0.3 * pitch)
+    some = first.select(key, "pin", "x", "y", mean(kept, "x").alias("bx"), mean(kept, "y").alias("by"))
     return some.select(key, "pin", (F.col("x") + F.coalesce("bx", F.lit(0.0))).alias("x"), (F.col("y") + F.coalesce("by", F.lit(0.0))).alias("y"))
