@@ -3,7 +3,7 @@
 import random
 import time
 
-from tracewright.operators import alignment, graph, packages, selecting
+from tracewright.operators import alignment, graph, packages, schematic, selecting
 
 
 def _plain_tree(points):
@@ -76,3 +76,9 @@ def test_anchor_by_a_fixed_order(spark):
         draw.shuffle(rows)
         df = spark.createDataFrame(rows, "board int, ord int, x double").repartition(parts)
         assert {r.board: (r.error, r.ord) for r in alignment.anchor(df, pitches).collect()} == want
+
+
+def test_equal_markers_are_runs_apart(spark):
+    rows = [("i", v, 10.0, 5.0) for v in (1, 2, 3, 3, 5)]
+    got = schematic.axis_runs(spark.createDataFrame(rows, "img_id string, value int, x double, y double"))
+    assert [tuple(r) for r in got.collect()] == [("i", 0, 1, 3, 3)]

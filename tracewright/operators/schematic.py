@@ -105,10 +105,10 @@ def unit_numbers(symbols: DataFrame) -> DataFrame:
 
 def axis_runs(markers: DataFrame, size: int = 50, least: int = 3, vertical: bool = True) -> DataFrame:
     """(img_id, bucket, first, last, n): of markers (img_id, value, x, y) in strips, the longest run whose values rise
-    by one or two; the lowest strip and value on ties. Runs shorter than least do not count."""
+    by one or two; the lowest strip and value on ties. Equal markers are runs apart. Runs shorter than least do not count."""
     strip = F.floor((F.col("x") if vertical else F.col("y")) / size)
     w = W.partitionBy("img_id", "bucket").orderBy("value", "x", "y")
     at = markers.withColumn("bucket", strip).withColumn("up", F.col("value") - F.lag("value").over(w))
-    runs = at.withColumn("run", F.sum(F.when(F.col("up").between(1, 2), 0).otherwise(1)).over(w)).groupBy("img_id", "bucket", "run").agg(F.min("value").alias("first"), F.max("value").alias("last"), F.count("*").alias("n")).where(F.col("n") >= least)
+    runs = at.withColumn("run", F.sum(F.when(F.col("up").between(1, 2), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))).groupBy("img_id", "bucket", "run").agg(F.min("value").alias("first"), F.max("value").alias("last"), F.count("*").alias("n")).where(F.col("n") >= least)
     best = runs.groupBy("img_id").agg(F.min(F.struct((-F.col("n")).alias("k"), "bucket", "first", "last", "n")).alias("b"))
     return best.select("img_id", F.col("b.bucket").alias("bucket"), F.col("b.first").alias("first"), F.col("b.last").alias("last"), F.col("b.n").alias("n"))
