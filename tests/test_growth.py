@@ -4,6 +4,7 @@ import random
 import time
 
 from tracewright.operators import alignment, graph, packages, schematic, selecting
+from tracewright.plans import outlines
 
 
 def _plain_tree(points):
@@ -82,3 +83,15 @@ def test_equal_markers_are_runs_apart(spark):
     rows = [("i", v, 10.0, 5.0) for v in (1, 2, 3, 3, 5)]
     got = schematic.axis_runs(spark.createDataFrame(rows, "img_id string, value int, x double, y double"))
     assert [tuple(r) for r in got.collect()] == [("i", 0, 1, 3, 3)]
+
+
+def test_first_line_of_a_number_counts(spark, tmp_path):
+    rows = [(o, n, 10 + 7 * n, 3 * n + 1, k) for o in range(300) for k, n in enumerate((1, 2, 3))]
+    rows += [(o, n, 5, 3, 9) for o in range(300) for n in (1, 2, 3)]  # of the same numbers, unnamed and later in the file
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, k int").coalesce(1).sortWithinPartitions("k", "l_orderkey")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert outlines.neighbour_pins(spark, str(tmp_path)).count() == 0  # all first lines have pins
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

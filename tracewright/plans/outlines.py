@@ -40,12 +40,14 @@ def merged_outlines(spark, d):
 
 
 def neighbour_pins(spark, d):
-    """Pins of every third line, guessed from the other lines of the order."""
+    """Pins of every third line, guessed from the other lines of the order; of lines of one number the first in the file."""
     lines = table(spark, d, "lineitem")
+    row = F.struct("_metadata.file_path", "_metadata.row_index")
     k = F.col("l_linenumber")
     pin = F.when(F.col("l_suppkey") % 3 > 0, k.cast("string")).otherwise("")
-    vias = lines.select(F.col("l_orderkey").alias("component"), k.alias("id"), pin.alias("pin"), (k * 20.0 + F.col("l_partkey") % 7).alias("x"), (F.col("l_partkey") % 3 * 20.0).alias("y"))
-    return packages.pin_by_neighbours(vias.dropDuplicates(["component", "id"]), 200.0)
+    via = F.struct(pin.alias("pin"), (k * 20.0 + F.col("l_partkey") % 7).alias("x"), (F.col("l_partkey") % 3 * 20.0).alias("y"))
+    vias = lines.groupBy(F.col("l_orderkey").alias("component"), k.alias("id")).agg(F.min_by(via, row).alias("via"))
+    return packages.pin_by_neighbours(vias.select("component", "id", "via.*"), 200.0)
 
 
 def spec_list(spark, d):
