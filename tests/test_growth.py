@@ -95,3 +95,20 @@ def test_first_line_of_a_number_counts(spark, tmp_path):
         assert outlines.neighbour_pins(spark, str(tmp_path)).count() == 0  # all first lines have pins
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_new_readings_by_places(spark):
+    draw = random.Random(7)
+    place = lambda n: [(i, draw.choice("ab"), draw.randrange(-40, 400), draw.randrange(-40, 60)) for i in range(n)]
+    found, known = place(400), place(120)
+    schema = "id long, text string, x long, y long"
+    got = selecting.new_readings(spark.createDataFrame([*found, (900, "a", None, 1), (901, None, 1, 1)], schema), spark.createDataFrame(known, schema), 9)
+    near = lambda r: any(r[1] == k[1] and abs(r[2] - k[2]) < 9 and abs(r[3] - k[3]) < 9 for k in known)
+    assert sorted(r.id for r in got.collect()) == [r[0] for r in found if not near(r)] + [900, 901]
+
+
+def test_new_readings_of_crowded_places(spark):
+    one = spark.range(60_000).selectExpr("id", "'t' AS text", "id % 3 AS x", "id % 2 AS y")
+    began = time.perf_counter()
+    assert selecting.new_readings(one, one, 9).count() == 0
+    assert time.perf_counter() - began < 60  # all pairs of readings are 3.6e9

@@ -127,14 +127,22 @@ def derived_names(nets: DataFrame, members: DataFrame, connectors: DataFrame, vi
 
 
 def new_readings(found: DataFrame, known: DataFrame, threshold: int) -> DataFrame:
-    """Readings (id, text, x, y) that no known one of the same text lies closer to than the threshold, both ways. An
-    equi-join on text and cell."""
+    """Readings (id, text, x, y) that no known one of the same text lies closer to than the threshold, both ways.
+
+    Places are compared, not readings, by equi-joins on text and cell. A place that is near all corners of its cell's
+    known ones is near one of them; only the others meet the known places of the nine cells around.
+    """
     cell = lambda c: F.floor(F.col(c) / threshold)
-    around = lambda c: F.explode(F.array(*(cell(c) + i for i in (-1, 0, 1))))
-    old = known.select("text", F.col("x").alias("kx"), F.col("y").alias("ky"), around("x").alias("cx")).select("*", F.explode(F.array(*(F.floor(F.col("ky") / threshold) + i for i in (-1, 0, 1)))).alias("cy"))
-    near = found.withColumn("cx", cell("x")).withColumn("cy", cell("y")).join(old, ["text", "cx", "cy"])
-    near = near.where((F.abs(F.col("x") - F.col("kx")) < threshold) & (F.abs(F.col("y") - F.col("ky")) < threshold))
-    return found.join(near.select("id"), "id", "left_anti")
+    close = lambda c, k: F.abs(F.col(c) - F.col(k)) < threshold
+    places = found.select("text", "x", "y", cell("x").alias("cx"), cell("y").alias("cy")).distinct()
+    old = known.select("text", F.col("x").alias("kx"), F.col("y").alias("ky"), cell("x").alias("cx"), cell("y").alias("cy")).distinct()
+    corners = old.groupBy("text", "cx", "cy").agg(*(f(c).alias(f"{n}_{c}") for c in ("kx", "ky") for n, f in (("least", F.min), ("most", F.max))))
+    inside = close("x", "least_kx") & close("x", "most_kx") & close("y", "least_ky") & close("y", "most_ky")
+    met = places.join(corners, ["text", "cx", "cy"], "left").select("text", "x", "y", "cx", "cy", F.coalesce(inside, F.lit(False)).alias("inside"))
+    around = old.withColumn("cx", F.explode(F.array(*(F.col("cx") + i for i in (-1, 0, 1))))).withColumn("cy", F.explode(F.array(*(F.col("cy") + i for i in (-1, 0, 1)))))
+    beside = met.where(~F.col("inside")).join(around, ["text", "cx", "cy"]).where(close("x", "kx") & close("y", "ky"))
+    near = met.where("inside").select("text", "x", "y").unionByName(beside.select("text", "x", "y").distinct())
+    return found.join(found.join(near, ["text", "x", "y"], "left_semi").select("id"), "id", "left_anti")
 
 
 def pin_map(pins: DataFrame, key: str) -> DataFrame:
