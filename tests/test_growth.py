@@ -3,7 +3,7 @@
 import random
 import time
 
-from tracewright.operators import alignment, graph, packages, schematic, selecting
+from tracewright.operators import alignment, graph, packages, schematic, selecting, wiring
 from tracewright.plans import outlines
 
 
@@ -134,3 +134,15 @@ def test_votes_by_board(spark):
         assert got[board][:2] == (b, n) and abs(got[board][2] - pitch) < 1e-9
     plan = alignment.pitch_votes(spark.createDataFrame(rows, "board int, x double"), 20.0)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan  # positions are shuffled, not their pairs
+
+
+def test_many_nets_of_a_few_pins(spark):
+    """A sheet is a group, not each of its nets."""
+    k = "id % 20"
+    pins = spark.range(40_000).selectExpr("id div 20 AS sheet", f"concat('n', {k} % 6) AS net_id", "id", f"({k} div 10) * 250.0D AS x", f"{k} % 10 * 40.0D AS y", "'input' AS direction")
+    got = wiring.edges(wiring.net_pins(pins))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+    assert got.count() == 2_000 * 14
+    first = [(r.ord, r.net_id, r.from_id, r.to_id) for r in got.where("sheet = 0").orderBy("ord").collect()]
+    assert first[:6] == [(1, "n0", 0, 6), (2, "n0", 12, 18), (3, "n0", 0, 12), (4, "n1", 1, 7), (5, "n1", 13, 19), (6, "n1", 1, 13)]

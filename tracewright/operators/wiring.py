@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.geometry import point, snapped
 from tracewright.functions.routing import ALONG, BEND, EPSILON, NARROW, TRUNKS, WIDE, channels, direct_paths, escapes, manhattan, on_segment, run_together, segment, tidy
-from tracewright.operators.loop import settled
+from tracewright.operators.loop import settled, spread
 
 #: Width of a line's bucket; segments within EPSILON of its border belong to two.
 BUCKET = 4.0
 #: A net's pins on one sheet, at most: its tree is made in one task, in time that grows with their square.
 SHEET_PINS = 20_000
+#: Nets of up to so many pins have their edges sorted.
+FEW = 16
 Edge = ["sheet", "ord"]
 
 
@@ -46,44 +48,62 @@ def net_pins(pins: DataFrame, connectors: DataFrame | None = None, power_nets: D
     return named if connectors is None else named.unionByName(connectors.select(columns))
 
 
-def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The spanning tree of the least edges by (Manhattan length, first id, second id)."""
-    if len(pdf) > SHEET_PINS:
-        raise ValueError(f"a net has {len(pdf)} pins on one sheet, more than {SHEET_PINS}")
-    pdf = pdf.sort_values("place", kind="stable").reset_index(drop=True)
-    x, y, n = pdf["x"].to_numpy(), pdf["y"].to_numpy(), len(pdf)
+def _tree(x: list[float], y: list[float]) -> list[tuple[float, int, int]]:
+    """The spanning tree of the least edges by (Manhattan length, first place, second place), in this order."""
+    n = len(x)
+    if n <= FEW:
+        top = list(range(n))
+        edges = []
+        for length, i, j in sorted((abs(x[i] - x[j]) + abs(y[i] - y[j]), i, j) for j in range(n) for i in range(j)):
+            a, b = top[i], top[j]
+            if a != b:
+                top = [a if t == b else t for t in top]
+                edges.append((length, i, j))
+        return edges
+    xs, ys = np.array(x), np.array(y)
     outside = np.ones(n, bool)
     length, near = np.full(n, np.inf), np.zeros(n, np.int64)
-    at, edges = 0, []
+    at, edges, numbers = 0, [], np.arange(n)
     for _ in range(n - 1):
         outside[at] = False
-        d = np.abs(x - x[at]) + np.abs(y - y[at])
-        numbers = np.arange(n)
+        d = np.abs(xs - xs[at]) + np.abs(ys - ys[at])
         low, high = np.minimum(numbers, at), np.maximum(numbers, at)
         old_low, old_high = np.minimum(numbers, near), np.maximum(numbers, near)
         better = (d < length) | ((d == length) & ((low < old_low) | ((low == old_low) & (high < old_high))))
         length, near = np.where(better, d, length), np.where(better, at, near)
         rest = np.flatnonzero(outside & (length == length[outside].min()))
         at = int(rest[np.lexsort((np.maximum(rest, near[rest]), np.minimum(rest, near[rest])))[0]])
-        edges.append((length[at], min(at, near[at]), max(at, near[at])))
-    edges.sort()
-    side = lambda i: {"x": float(x[i]), "y": float(y[i])}
-    rows = [(pdf["sheet"].iloc[0], pdf["net_id"].iloc[0], n, k, pdf["id"][i], pdf["id"][j], side(i), side(j), pdf["direction"][i], pdf["direction"][j]) for k, (_, i, j) in enumerate(edges)]
-    return pd.DataFrame(rows, columns=["sheet", "net_id", "pins", "k", "from_id", "to_id", "a", "b", "from_direction", "to_direction"])
+        edges.append((float(length[at]), int(min(at, near[at])), int(max(at, near[at]))))
+    return sorted(edges)
+
+
+def _sheet_trees(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The edges of all nets of a sheet, numbered."""
+    nets: dict = {}
+    for net, *pin in zip(*(pdf[c].tolist() for c in ("net_id", "id", "x", "y", "direction"))):
+        nets.setdefault(net, []).append(pin)
+    rows, sheet = [], pdf["sheet"].iloc[0]
+    for net, pins in sorted(nets.items(), key=lambda n: (-len(n[1]), n[0])):
+        if len(pins) > SHEET_PINS:
+            raise ValueError(f"a net has {len(pins)} pins on one sheet, more than {SHEET_PINS}")
+        pins.sort(key=lambda p: p[:3])
+        ids, x, y, ways = zip(*pins)
+        for _, i, j in _tree(x, y):
+            rows.append((sheet, net, ids[i], ids[j], x[i], y[i], x[j], y[j], ways[i], ways[j], len(rows) + 1))
+    return pd.DataFrame(rows, columns=["sheet", "net_id", "from_id", "to_id", "ax", "ay", "bx", "by", "from_direction", "to_direction", "ord"])
 
 
 def edges(joined: DataFrame) -> DataFrame:
     """(sheet, ord, net_id, from_id, to_id, a, b, from_direction, to_direction): what is to be routed, in its order.
 
-    joined are net_pins; each net's tree joins its pins by Manhattan distance, ties by the ids.
+    joined are net_pins; each net's tree joins its pins by Manhattan distance, ties by the ids. A sheet's pins are one
+    group of a shuffle, as there are too many nets of a few pins to have a group each.
     """
     kinds = dict(joined.dtypes)
-    at = "struct<x:double,y:double>"
-    schema = f"sheet {kinds['sheet']}, net_id {kinds['net_id']}, pins int, k int, from_id {kinds['id']}, to_id {kinds['id']}, a {at}, b {at}, from_direction string, to_direction string"
-    place = F.row_number().over(W.partitionBy("sheet", "net_id").orderBy("id", "x", "y"))
-    trees = joined.withColumn("place", place).groupBy("sheet", "net_id").applyInPandas(_tree, schema)
-    order = W.partitionBy("sheet").orderBy(F.desc("pins"), "net_id", "k")
-    return trees.withColumn("ord", F.row_number().over(order)).drop("pins", "k")
+    schema = f"sheet {kinds['sheet']}, net_id {kinds['net_id']}, from_id {kinds['id']}, to_id {kinds['id']}, ax double, ay double, bx double, by double, from_direction string, to_direction string, ord int"
+    pins = joined.select("sheet", "net_id", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "direction")
+    rows = spread(pins, "sheet").groupBy("sheet").applyInPandas(_sheet_trees, schema)
+    return rows.select("sheet", "net_id", "from_id", "to_id", point(F.col("ax"), F.col("ay")).alias("a"), point(F.col("bx"), F.col("by")).alias("b"), "from_direction", "to_direction", "ord")
 
 
 def standing(pins: DataFrame, connectors: DataFrame | None = None, stubs: DataFrame | None = None, wires: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
