@@ -3,6 +3,8 @@
 import random
 import time
 
+from pyspark.sql import functions as F
+
 from tracewright.operators import alignment, graph, packages, schematic, selecting, wiring
 from tracewright.plans import outlines
 
@@ -146,3 +148,12 @@ def test_many_nets_of_a_few_pins(spark):
     assert got.count() == 2_000 * 14
     first = [(r.ord, r.net_id, r.from_id, r.to_id) for r in got.where("sheet = 0").orderBy("ord").collect()]
     assert first[:6] == [(1, "n0", 0, 6), (2, "n0", 12, 18), (3, "n0", 0, 12), (4, "n1", 1, 7), (5, "n1", 13, 19), (6, "n1", 1, 13)]
+
+
+def test_routing_joins_by_shuffles(spark):
+    """Candidates of edges are many more than what they are derived from; nothing of them is broadcast."""
+    pins = spark.createDataFrame([(1, "a", i, 100.0 * (i % 2), 40.0 * i, "input") for i in range(6)], "sheet int, net_id string, id int, x double, y double, direction string")
+    points, lines = (df.withColumn("ord", F.lit(0)) for df in wiring.standing(pins))
+    tried = wiring._tried(wiring.edges(wiring.net_pins(pins)), wiring.NARROW)
+    for df in (wiring._unblocked(tried, points, lines), wiring._cheapest(tried, lines)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()

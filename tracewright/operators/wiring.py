@@ -166,23 +166,23 @@ def _unblocked(paths: DataFrame, points: DataFrame, lines: DataFrame) -> DataFra
     parts = paths.select("sheet", "ord", "net_id", "k", "a", "b", "path")
     k = parts.select(*key, "net_id", "a", "b", "path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("i"))
     each = k.select(*key, "net_id", "a", "b", segment(F.get("path", F.col("i") - 1), F.get("path", F.col("i"))).alias("s"))
-    met = each.withColumn("line", F.explode(_lines_of(F.col("s")))).join(at, ["sheet", "line"])
+    met = each.withColumn("line", F.explode(_lines_of(F.col("s")))).join(at.hint("merge"), ["sheet", "line"])
     met = met.where(_foreign() & on_segment(F.col("p"), F.col("s")) & ~_same(F.col("p"), F.col("a")) & ~_same(F.col("p"), F.col("b"))).select(key)
     turns = parts.select(*key, "net_id", "a", "b", F.explode("path").alias("p")).where(~_same(F.col("p"), F.col("a")) & ~_same(F.col("p"), F.col("b")))
-    run = turns.withColumn("line", F.explode(_lines_at(F.col("p")))).join(on, ["sheet", "line"]).where(_foreign() & on_segment(F.col("p"), F.col("o"))).select(key)
-    return paths.join(met.unionByName(run).distinct(), key, "left_anti")
+    run = turns.withColumn("line", F.explode(_lines_at(F.col("p")))).join(on.hint("merge"), ["sheet", "line"]).where(_foreign() & on_segment(F.col("p"), F.col("o"))).select(key)
+    return paths.join(met.unionByName(run).distinct().hint("merge"), key, "left_anti")
 
 
 def _cheapest(paths: DataFrame, lines: DataFrame) -> DataFrame:
     """(sheet, ord, path): each edge's path of the least price; the first of equal ones."""
     own = lines.select("sheet", F.col("net_id").alias("o_net"), F.col("ord").alias("o_ord"), F.col("s").alias("o"), F.explode(_lines_of(F.col("s"))).alias("line"))
     s = _segments(paths.withColumnRenamed("k", "rank"), "sheet", "ord", "net_id", "rank")
-    doubled = s.withColumn("line", F.explode(_lines_of(F.col("s")))).join(own, ["sheet", "line"])
+    doubled = s.withColumn("line", F.explode(_lines_of(F.col("s")))).join(own.hint("merge"), ["sheet", "line"])
     doubled = doubled.where((F.col("o_net") == F.col("net_id").cast("string")) & (F.col("o_ord") < F.col("ord")) & run_together(F.col("s"), F.col("o")))
     doubled = doubled.groupBy("sheet", "ord", F.col("rank").alias("k")).agg(F.countDistinct("k").alias("doubled"))
     length = F.aggregate(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.abs(F.get("path", i)["x"] - F.get("path", i - 1)["x"]) + F.abs(F.get("path", i)["y"] - F.get("path", i - 1)["y"])), F.lit(0.0), lambda t, v: t + v)
     price = length + BEND * (F.size("path") - 2) + ALONG * F.coalesce("doubled", F.lit(0))
-    return paths.join(doubled, ["sheet", "ord", "k"], "left").groupBy("sheet", "ord").agg(F.min(F.struct(price.alias("price"), "k", "path")).alias("best")).select("sheet", "ord", F.col("best.path").alias("path"))
+    return paths.join(doubled.hint("merge"), ["sheet", "ord", "k"], "left").groupBy("sheet", "ord").agg(F.min(F.struct(price.alias("price"), "k", "path")).alias("best")).select("sheet", "ord", F.col("best.path").alias("path"))
 
 
 def _tried(todo: DataFrame, reach: tuple[float, float, float]) -> DataFrame:
@@ -210,7 +210,7 @@ def _escaping(todo: DataFrame, points: DataFrame, lines: DataFrame) -> DataFrame
 
     left = half("a", "from_direction").select("sheet", "ord", "net_id", "a", "b", "m", F.col("e").alias("ea"), F.col("path").alias("pa"))
     right = half("b", "to_direction").select("sheet", "ord", "m", F.col("e").alias("eb"), F.reverse("path").alias("pb"))
-    both = left.join(right, ["sheet", "ord", "m"]).withColumn("path", tidy(F.concat("pa", "pb"))).withColumn("k", (F.col("m") * 100 + F.col("ea")) * 100 + F.col("eb"))
+    both = left.join(right.hint("merge"), ["sheet", "ord", "m"]).withColumn("path", tidy(F.concat("pa", "pb"))).withColumn("k", (F.col("m") * 100 + F.col("ea")) * 100 + F.col("eb"))
     return _unblocked(settled(both), points, lines).groupBy("sheet", "ord").agg(F.min(F.struct("k", "path")).alias("best")).select("sheet", "ord", F.col("best.path").alias("path"))
 
 
@@ -234,27 +234,27 @@ def routed(todo: DataFrame, points: DataFrame, lines: DataFrame) -> DataFrame:
             p = points.unionByName(known.select("sheet", "net_id", F.explode("path").alias("p"), "ord"))
             s = lines.unionByName(_segments(known, "sheet", "net_id", "ord").drop("k"))
         found, rest = None, turn
-        for attempt in (lambda left: _direct(narrow.join(left.select(Edge), Edge, "left_semi"), p, s), lambda left: _direct(_tried(left, WIDE), p, s), lambda left: _escaping(left, p, s)):
+        for attempt in (lambda left: _direct(narrow.join(left.select(Edge).hint("merge"), Edge, "left_semi"), p, s), lambda left: _direct(_tried(left, WIDE), p, s), lambda left: _escaping(left, p, s)):
             got = settled(attempt(rest))
             found = got if found is None else found.unionByName(got)
-            rest = settled(rest.join(got, Edge, "left_anti"))
+            rest = settled(rest.join(got.hint("merge"), Edge, "left_anti"))
             if rest.isEmpty():
                 break
         plain = rest.select("sheet", "ord", manhattan(F.col("a"), F.col("b"), (F.col("from_direction") == "output") | (F.col("to_direction") == "input")).alias("path"))
         chosen = found.withColumn("clear", F.lit(True)).unionByName(plain.withColumn("clear", F.lit(False)))
-        now = turn.select("sheet", "ord", "net_id").join(chosen, Edge)
+        now = turn.select("sheet", "ord", "net_id").join(chosen.hint("merge"), Edge)
         if laid is None:
             laid, changed = settled(now), turn
         else:
             old = laid.select("sheet", "ord", F.col("path").alias("was"))
-            now = settled(now.join(old, Edge))
+            now = settled(now.join(old.hint("merge"), Edge))
             changed = now.where(F.col("path") != F.col("was"))
-            laid = settled(laid.join(now.select(Edge), Edge, "left_anti").unionByName(now.drop("was")))
+            laid = settled(laid.join(now.select(Edge).hint("merge"), Edge, "left_anti").unionByName(now.drop("was")))
         first = settled(changed.groupBy("sheet").agg(F.min("ord").alias("first")))
-        turn = settled(todo.join(first, "sheet").where("ord > first").drop("first"))
+        turn = settled(todo.join(first.hint("merge"), "sheet").where("ord > first").drop("first"))
         if turn.isEmpty():
             ends = todo.select("sheet", "ord", "from_id", "to_id")
-            return laid.join(ends, Edge).select("sheet", "ord", "net_id", "from_id", "to_id", F.col("path").alias("points"), "clear")
+            return laid.join(ends.hint("merge"), Edge).select("sheet", "ord", "net_id", "from_id", "to_id", F.col("path").alias("points"), "clear")
 
 
 def faults(wires: DataFrame, points: DataFrame) -> DataFrame:
@@ -265,10 +265,10 @@ def faults(wires: DataFrame, points: DataFrame) -> DataFrame:
     at = points.select("sheet", F.col("net_id").cast("string").alias("o_net"), "p", F.explode(_lines_at(F.col("p"))).alias("line"))
     s = _segments(w, "sheet", "ord", "net_id", "a", "b")
     other = F.col("o_net").isNull() | (F.col("o_net") == "") | (F.col("o_net") != F.col("net_id"))
-    met = s.withColumn("line", F.explode(_lines_of(F.col("s")))).join(at, ["sheet", "line"]).where(other & on_segment(F.col("p"), F.col("s")) & ~_same(F.col("p"), F.col("a")) & ~_same(F.col("p"), F.col("b")))
+    met = s.withColumn("line", F.explode(_lines_of(F.col("s")))).join(at.hint("merge"), ["sheet", "line"]).where(other & on_segment(F.col("p"), F.col("s")) & ~_same(F.col("p"), F.col("a")) & ~_same(F.col("p"), F.col("b")))
     on = s.select("sheet", F.col("net_id").alias("o_net"), F.col("s").alias("o"), F.explode(_lines_of(F.col("s"))).alias("line"))
     turns = w.select(*key, "net_id", "a", "b", F.explode("path").alias("p")).where(~_same(F.col("p"), F.col("a")) & ~_same(F.col("p"), F.col("b")))
-    run = turns.withColumn("line", F.explode(_lines_at(F.col("p")))).join(on, ["sheet", "line"]).where(other & on_segment(F.col("p"), F.col("o")))
+    run = turns.withColumn("line", F.explode(_lines_at(F.col("p")))).join(on.hint("merge"), ["sheet", "line"]).where(other & on_segment(F.col("p"), F.col("o")))
     pick = lambda df, kind: df.select("sheet", "net_id", "ord", F.lit(kind).alias("kind"))
     return pick(met, "point").unionByName(pick(run, "wire")).distinct()
 
@@ -292,7 +292,7 @@ def wire_labels(wires: DataFrame, names: DataFrame) -> DataFrame:
     along = F.when(F.col("level"), F.col("p.x").between(F.least("s.x1", "s.x2") + 2, F.greatest("s.x1", "s.x2") - 2)).otherwise(F.col("p.y").between(F.least("s.y1", "s.y2") + 2, F.greatest("s.y1", "s.y2") - 2))
     places = places.where(along).select("sheet", "ord", "net_id", "k", "turn", "p")
     on = s.select("sheet", F.col("net_id").alias("o_net"), F.col("s").alias("o"), F.explode(_lines_of(F.col("s"))).alias("line"))
-    crossed = places.withColumn("line", F.explode(_lines_at(F.col("p")))).join(on, ["sheet", "line"]).where((F.col("o_net") != F.col("net_id")) & on_segment(F.col("p"), F.col("o"))).select("sheet", "ord", "k", "turn").distinct()
+    crossed = places.withColumn("line", F.explode(_lines_at(F.col("p")))).join(on.hint("merge"), ["sheet", "line"]).where((F.col("o_net") != F.col("net_id")) & on_segment(F.col("p"), F.col("o"))).select("sheet", "ord", "k", "turn").distinct()
     free = places.join(crossed, ["sheet", "ord", "k", "turn"], "left_anti").groupBy("sheet", "ord").agg(F.min(F.struct("k", "turn", "p")).alias("best"))
     head = w.withColumn("first", point(snapped((F.get("path", F.lit(0))["x"] + F.get("path", F.lit(1))["x"]) / 2), snapped((F.get("path", F.lit(0))["y"] + F.get("path", F.lit(1))["y"]) / 2)))
     at = F.coalesce("best.p", "first")
