@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import alignment, graph, packages, schematic, selecting, wiring
+from tracewright.operators import alignment, graph, near, packages, schematic, selecting, training, wiring
 from tracewright.plans import outlines
 
 
@@ -157,3 +157,13 @@ def test_routing_joins_by_shuffles(spark):
     tried = wiring._tried(wiring.edges(wiring.net_pins(pins)), wiring.NARROW)
     for df in (wiring._unblocked(tried, points, lines), wiring._cheapest(tried, lines)):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_boxes_are_thinned_once(spark):
+    draw = random.Random(13)
+    rows = [(draw.randrange(2), i, *(draw.randrange(8) / 2 for _ in range(2)), 5.0, 5.0) for i in range(300)] + [(None, 900, 1.0, 1.0, 5.0, 5.0), (0, 901, None, 1.0, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "board int, id int, x double, y double, width double, height double")
+    few = training.apart(df)
+    assert few.count() <= 2 * 64 + 2
+    kept = lambda b: sorted(r.id for r in near.thinned(b, training.same_box(b), "id").collect())
+    assert kept(few) == kept(df)

@@ -70,6 +70,17 @@ def color_profiles(samples: DataFrame, key: str = "board", diameter: float = 20.
     return samples.groupBy(key).applyInPandas(cluster, f"{key} {dict(samples.dtypes)[key]}, profile int, value_min double, value_max double, sat_max double, n int")
 
 
+def apart(boxes: DataFrame, key: str = "board") -> DataFrame:
+    """(key, id, x, y, width, height) of boxes, of equal ones that of the least id. thinned() by id keeps none of the
+    others, as what drops the first of them drops all; so their pairs, which grow with their square, need not be made."""
+    numbers = ["x", "y", "width", "height"]
+    whole = F.col(key).isNotNull()
+    for c in numbers:
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(c)
+    first = boxes.where(whole).groupBy(key, *numbers).agg(F.min("id").alias("id"))
+    return first.unionByName(boxes.where(~whole).select(first.columns))
+
+
 def same_box(boxes: DataFrame, key: str = "board") -> DataFrame:
     """(left_id, right_id) of boxes (key, id, x, y, width, height) whose four numbers differ by less than 1; the pairs
     that thinned() takes. An equi-join on the cell of the corner."""

@@ -214,6 +214,7 @@ def first_boxes(spark, d):
     """Boxes of customers less those that equal an earlier one of their nation to less than a unit."""
     k = F.col("c_custkey")
     b = table(spark, d, "customer").select(F.col("c_nationkey").alias("board"), k.alias("id"), (k % 10 * 2.0).alias("x"), (k % 4 * 3.0).alias("y"), (k % 3 * 2.0).alias("width"), F.lit(5.0).alias("height"))
+    b = training.apart(b)
     return thinned(b, training.same_box(b), "id").select("id")
 
 
