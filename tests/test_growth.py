@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import alignment, graph, near, packages, schematic, selecting, training, wiring
+from tracewright.operators import alignment, graph, near, nets, packages, schematic, selecting, training, wiring
 from tracewright.plans import outlines
 
 
@@ -167,3 +167,17 @@ def test_equal_boxes_are_thinned_once(spark):
     assert few.count() <= 2 * 64 + 2
     kept = lambda b: sorted(r.id for r in near.thinned(b, training.same_box(b), "id").collect())
     assert kept(few) == kept(df)
+
+
+def _random_pins(spark):
+    draw = random.Random(17)
+    rows = [(draw.randrange(40), f"U{draw.randrange(6)}", str(draw.randrange(12))) for _ in range(150)]
+    return rows, spark.createDataFrame([(*r, "") for r in rows], "net_id int, component string, pin string, signal string")
+
+
+def test_links_of_pins_on_one_net_are_not_shuffled_again(spark):
+    rows, pins = _random_pins(spark)
+    got = nets.pin_connections(pins)
+    assert "other_often" in got._jdf.queryExecution().executedPlan().toString()
+    want = {(a[1], a[2], b[1], b[2]) for a in rows for b in rows if a[0] == b[0] and a[1:] != b[1:]}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)

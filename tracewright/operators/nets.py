@@ -88,11 +88,16 @@ def resolved_pins(members: DataFrame, vias: DataFrame, connectors: DataFrame, pa
 def pin_connections(pins: DataFrame, key: str = "net_id") -> DataFrame:
     """(component, pin, other_component, other_pin): for each pin the others of its nets, once each.
 
-    A net with very many pins is a skewed join key; adaptive execution splits it. What comes out is the list itself.
+    A net with very many pins is a skewed join key; adaptive execution splits it. What comes out is the list itself: only
+    pairs of two pins that are on several nets each can come twice, so only these are shuffled again.
     """
-    ends = pins.select(key, "component", "pin").distinct()
-    others = ends.select(F.col(key), F.col("component").alias("other_component"), F.col("pin").alias("other_pin"))
-    return ends.join(others, key).where("component <> other_component or pin <> other_pin").select("component", "pin", "other_component", "other_pin").distinct()
+    pair = ["component", "pin", "other_component", "other_pin"]
+    ends = pins.select(key, "component", "pin").repartition("component", "pin").distinct()
+    ends = ends.withColumn("often", F.count("*").over(W.partitionBy("component", "pin")) > 1)
+    others = ends.select(F.col(key), F.col("component").alias("other_component"), F.col("pin").alias("other_pin"), F.col("often").alias("other_often"))
+    linked = ends.join(others, key).where("component <> other_component or pin <> other_pin")
+    twice = F.col("often") & F.col("other_often")
+    return linked.where(~twice).select(pair).unionAll(linked.where(twice).select(pair).distinct())
 
 
 def pin_order(pin) -> tuple:
