@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import alignment, graph, near, nets, packages, schematic, selecting, training, wiring
+from tracewright.operators import alignment, features, graph, near, nets, packages, schematic, selecting, training, wiring
 from tracewright.plans import outlines
 
 
@@ -169,6 +169,15 @@ def test_equal_boxes_are_thinned_once(spark):
     assert kept(few) == kept(df)
 
 
+def test_loose_pins_by_a_shuffle_join(spark):
+    p = spark.range(20).selectExpr("cast(id AS string) AS part_number", "'DIP' AS package")
+    pins = p.selectExpr("*", "explode(sequence(1, 14)) AS pin_number")
+    none = "cast(array() AS array<int>)"
+    got = features.power_pins(pins, p.selectExpr("*", "array(1, 2) AS inputs", "array(3) AS outputs", f"{none} AS enables", f"{none} AS clocks"))
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 20 * 11
+
+
 def _random_pins(spark):
     draw = random.Random(17)
     rows = [(draw.randrange(40), f"U{draw.randrange(6)}", str(draw.randrange(12))) for _ in range(150)]

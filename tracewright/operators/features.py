@@ -139,9 +139,9 @@ def scored(samples: DataFrame, least: float) -> DataFrame:
 
 
 def power_pins(pins: DataFrame, functions: DataFrame) -> DataFrame:
-    """Part pins that are in none of the part's functions."""
+    """Part pins that are in none of the part's functions; a shuffle join, as functions hold more pins than they seem to."""
     used = functions.select("part_number", "package", F.explode(F.concat(*(F.coalesce(c, F.array().cast("array<int>")) for c in ("inputs", "outputs", "enables", "clocks")))).alias("pin_number"))
-    return pins.join(used, ["part_number", "package", "pin_number"], "left_anti")
+    return pins.join(used.hint("merge"), ["part_number", "package", "pin_number"], "left_anti")
 
 
 def function_pins(functions: DataFrame) -> DataFrame:
