@@ -190,3 +190,18 @@ def test_links_of_pins_on_one_net_are_not_shuffled_again(spark):
     assert "other_often" in got._jdf.queryExecution().executedPlan().toString()
     want = {(a[1], a[2], b[1], b[2]) for a in rows for b in rows if a[0] == b[0] and a[1:] != b[1:]}
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_netlist_of_pins_on_several_nets(spark):
+    """No pair of pins is shuffled; labels that look the same are of two pins, and a pin without a named net has no line."""
+    pins = [(1, "A", "1", ""), (1, "B", "2", "CLK"), (1, "A-1", "x", ""), (1, "A", "1-x", ""), (1, None, "9", ""), (2, "A", "1", "S"), (2, "B", "2", ""), (3, "C", "10", ""), (None, "C", "10", ""), (4, "D", "1", ""), (4, "C", "10", "")]
+    got = nets.netlist_text(spark.createDataFrame(pins, "net_id int, component string, pin string, signal string"), spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "net_id int, name string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sum(line.count("Join [") for line in plan.split("\n")) <= 2  # the nets' names only
+    rows = {(r.component, r.line_no): r.line for r in got.collect()}
+    # an empty signal is the least of a pin's signals
+    assert rows.pop((None, 0)) is None and rows.pop((None, 1)) == "  pin 9    [one] -> (no connections)"
+    assert rows == {
+        ("A", 0): "A:", ("A", 1): "  pin 1    [one] -> A-1-x, A-1-x, B-2", ("A", 2): "  pin 1-x  [one] -> A-1, A-1-x, B-2", ("A-1", 0): "A-1:", ("A-1", 1): "  pin x    [one] -> A-1, A-1-x, B-2",
+        ("B", 0): "B:", ("B", 1): "  pin 2    [one] -> A-1, A-1-x, A-1-x", ("C", 0): "C:", ("C", 1): "  pin 10   [three] -> (no connections)",
+    }

@@ -107,19 +107,38 @@ def pin_order(pin) -> tuple:
 
 
 def netlist_text(pins: DataFrame, names: DataFrame) -> DataFrame:
-    """(component, line_no, line): the netlist dump, a heading and a line a pin; lone pins have no connections."""
-    first = pins.join(names, "net_id").groupBy("component", "pin").agg(F.min(F.struct("net_id", "name"))["name"].alias("net"), F.min("signal").alias("signal"))
+    """(component, line_no, line): the netlist dump, a heading and a line a pin; lone pins have no connections.
+
+    No pair of pins is shuffled: a net gives each of its pins the list of the others at once. A pin on one net has its line
+    from that; a pin on several has lists drawn together, of texts that hold the label and the lengths of component and
+    pin, which tell pins with the same label apart.
+    """
+    called = names.groupBy("net_id").agg(F.min(F.struct("net_id", "name")).alias("net"))
+    named = pins.join(called.select("net_id", F.lit(True).alias("known")), "net_id", "left")
+    of_pin = W.partitionBy("component", "pin")
+    named = named.repartition("component", "pin").withColumns({"signal": F.min(F.when(F.col("known"), F.col("signal"))).over(of_pin), "known": F.max("known").over(of_pin), "often": F.count("*").over(of_pin) > 1}).where("known AND net_id IS NOT NULL")
     label = F.when(F.col("signal") != "", F.concat("component", F.lit("-"), "pin", F.lit("("), "signal", F.lit(")"))).otherwise(F.concat_ws("-", "component", "pin"))
-    shown = first.select(F.col("component").alias("other_component"), F.col("pin").alias("other_pin"), label.alias("label"))
-    linked = pin_connections(pins).join(shown, ["other_component", "other_pin"])
-    lists = linked.groupBy("component", "pin").agg(F.array_sort(F.collect_list("label")).alias("labels"))
-    lines = first.join(lists, ["component", "pin"], "left")
-    body = F.when(F.col("labels").isNull(), "(no connections)").otherwise(F.array_join("labels", ", "))
+    entry = F.concat_ws(" ", label, F.length("component"), F.length("pin"), F.col("often").cast("int"))
+    whole = F.col("component").isNotNull() & F.col("pin").isNotNull()
+    nets = named.groupBy("net_id").agg(F.collect_set(F.when(whole, entry)).alias("pins"), F.collect_set(F.when(~whole, F.struct("component", "pin"))).alias("bare"))
+    tail = lambda e, n: F.substring_index(e, " ", -n)
+    text_of = lambda e: e.substr(F.lit(1), F.length(e) - F.length(tail(e, 3)) - 1)
+    number = lambda e, n: F.substring_index(tail(e, n), " ", 1).cast("int")
+    own = F.transform("pins", lambda e, i: F.struct(e.substr(F.lit(1), number(e, 3)).alias("component"), e.substr(number(e, 3) + 2, number(e, 2)).alias("pin"), (number(e, 1) == 1).alias("often"), i.alias("at")))
+    bare = F.transform("bare", lambda b: F.struct(b["component"].alias("component"), b["pin"].alias("pin"), F.lit(False).alias("often"), F.lit(-1).alias("at")))
+    each = nets.join(called, "net_id", "left").select("net", "pins", F.explode(F.concat(own, bare)).alias("own"))
+    each = each.select("own.*", "net", F.when(F.col("own.at") >= 0, F.filter("pins", lambda _, i: i != F.col("own.at"))).alias("others"))
+    joined = lambda others: F.when(F.size(others) > 0, F.array_join(F.array_sort(F.transform(others, text_of)), ", "))
+    each = each.select("component", "pin", "net", F.when(~F.col("often"), joined("others")).alias("body"), F.when(F.col("often"), F.col("others")).alias("others"))
+    lines = each.repartition("component").groupBy("component", "pin").agg(F.min("net")["name"].alias("net"), F.max("body").alias("body"), F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    body = F.coalesce("body", joined("others"), F.lit("(no connections)"))
     padded = F.when(F.length("pin") < 4, F.rpad("pin", 4, " ")).otherwise(F.col("pin"))
     text = F.concat(F.lit("  pin "), padded, F.lit(" ["), "net", F.lit("] -> "), body)
     rank = F.row_number().over(W.partitionBy("component").orderBy(*pin_order(F.col("pin"))))
     rows = lines.select("component", rank.alias("line_no"), text.alias("line"))
-    return rows.unionByName(rows.select("component").distinct().select("component", F.lit(0).alias("line_no"), F.concat("component", F.lit(":")).alias("line")))
+    head = F.struct(F.lit(0).alias("line_no"), F.concat("component", F.lit(":")).alias("line"))
+    own = F.struct("line_no", "line")
+    return rows.select("component", F.explode(F.when(F.col("line_no") == 1, F.array(head, own)).otherwise(F.array(own))).alias("row")).select("component", "row.line_no", "row.line")
 
 
 def signals(vias: DataFrame, components_: DataFrame, part_pins: DataFrame) -> DataFrame:

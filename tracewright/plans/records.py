@@ -68,7 +68,7 @@ def loose_pins(spark, d):
 
 def _board(spark, d):
     """Pins of nets: parts at suppliers on orders."""
-    lines = table(spark, d, "lineitem")
+    lines = table(spark, d, "lineitem").repartition("l_orderkey")  # one shuffle for lines, nets and their names
     return lines.groupBy(F.col("l_orderkey").alias("net_id"), F.concat(F.lit("S"), "l_suppkey").alias("component"), F.col("l_partkey").cast("string").alias("pin")).agg(F.when(F.min("l_linenumber") == 1, "CLK").otherwise("").alias("signal"))
 
 
