@@ -7,6 +7,6 @@ from functools import partial
 from tracewright.llm.common import stored
 from tracewright.operators import graph, lookup
 
-components = partial(graph.components, keep=stored)
+components = partial(graph.rounds, keep=stored)
 merged = partial(graph.merged, keep=stored)
 looked_up = partial(lookup.looked_up, keep=stored)

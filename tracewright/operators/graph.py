@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,12 +16,70 @@ from tracewright.operators.lookup import Keep, hot_keys, looked_up
 from tracewright.operators.loop import settled, spread
 
 
+#: Edges that a task holds before it draws them together.
+HELD = 1_000_000
+
+
+def _drawn_together(a: pa.Array, b: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Edges that connect what a to b connect: each node to the least that it reaches by these, itself included."""
+    nodes = pa.chunked_array([a, b]).dictionary_encode().combine_chunks()
+    order = pc.sort_indices(nodes.dictionary)
+    names, place = nodes.dictionary.take(order), np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    codes = place[nodes.indices.to_numpy(zero_copy_only=False)]
+    left, right, label = codes[: len(a)], codes[len(a) :], np.arange(len(names))
+    while len(left):
+        low = np.minimum(label[left], label[right])
+        np.minimum.at(label, label[left], low)
+        np.minimum.at(label, label[right], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[left] != label[right]
+        left, right = left[apart], right[apart]
+    return names, names.take(pa.array(label))
+
+
+def _within_tasks(edges: DataFrame) -> DataFrame:
+    """Edges that connect what edges (a, b) connect: a row for each node of a task, to the least that it reaches there (or in
+    a part of the task's edges, where the nodes are many). One scan, no shuffle."""
+    held = HELD
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list = []
+        for batch in batches:
+            kept.append((batch.column(0), batch.column(1)))
+            if sum(len(a) for a, _ in kept) < held:
+                continue
+            kept = [_drawn_together(*(pa.concat_arrays([k[i] for k in kept]) for i in (0, 1)))]
+            if len(kept[0][0]) > held // 2:
+                yield pa.RecordBatch.from_arrays(list(kept.pop()), names=["a", "b"])
+        if kept:
+            yield pa.RecordBatch.from_arrays(list(_drawn_together(*(pa.concat_arrays([k[i] for k in kept]) for i in (0, 1)))), names=["a", "b"])
+
+    return edges.mapInArrow(run, edges.schema)
+
+
 def components(edges: DataFrame, keep: Keep = settled) -> DataFrame:
     """(node, root) for edges (a, b): root is the smallest node reachable. A null end is no edge.
 
+    Each task first draws its own edges together, so that a node is shuffled once a task that meets it; the roots of one
+    node in several tasks are then linked, and only these links go through rounds. keep cuts the lineage of a round.
+    """
+    known = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
+    if not all(f.dataType.typeName() in ("string", "long", "integer") for f in known.schema):
+        return rounds(known, keep)
+    tops = keep(_within_tasks(known).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"), F.collect_set("b").alias("roots")))
+    links = tops.where(F.size("roots") > 1).select(F.explode("roots").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
+    lower = rounds(links, keep).select(F.col("node").alias("root"), F.col("root").alias("top")).where("root <> top")
+    return keep(looked_up(tops.select("node", "root"), "root", lower, "left", keep=keep).select("node", F.coalesce("top", "root").alias("root")))
+
+
+def rounds(edges: DataFrame, keep: Keep = settled) -> DataFrame:
+    """What components() gives, by rounds over all edges; for few edges, and for those that tasks can't draw together.
+
     Each round passes the smallest label on along the edges, pre-aggregated by node, and then has each label replaced by
     its own label; only labels that change are looked up, and hot nodes meet a broadcast copy. Rounds grow with the
-    logarithm of a component's diameter. keep cuts the lineage of a round.
+    logarithm of a component's diameter.
     """
     known = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = keep(known.unionAll(known.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))))
@@ -35,7 +97,7 @@ def components(edges: DataFrame, keep: Keep = settled) -> DataFrame:
 
 def merged(labels: DataFrame, links: DataFrame, keep: Keep = settled) -> DataFrame:
     """Components (node, root) after links (a, b) between their roots, or nodes that are alone, have been added."""
-    tops = components(links, keep)
+    tops = rounds(links, keep)
     alone = tops.join(labels, "node", "left_anti").select("node", F.col("node").alias("root"))
     tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
     return keep(looked_up(labels.unionByName(alone), "root", tops, "left", keep=keep).select("node", F.coalesce("top", "root").alias("root")))
