@@ -130,16 +130,19 @@ def off_sheet(symbols: DataFrame, pins: DataFrame, power_nets: DataFrame, left:
     less is 1.
     """
     sheet = F.when(F.coalesce("sheet", F.lit(1)) <= 0, 1).otherwise(F.coalesce("sheet", F.lit(1))).alias("sheet")
-    on = pins.where(F.col("net_id").isNotNull() & (F.col("net_id").cast("string") != "")).join(power_nets.select("doc", "net_id").distinct(), ["doc", "net_id"], "left_anti")
+    on = pins.where(F.col("net_id").isNotNull() & (F.col("net_id").cast("string") != ""))
     on = on.join(symbols.select("doc", F.col("id").alias("symbol_id"), F.col("ord").alias("symbol_ord"), sheet), ["doc", "symbol_id"])
-    order = F.struct("symbol_ord", "ord")
-    names = on.groupBy("doc", "net_id").agg(F.max_by(F.when(F.col("net_name") != "", F.col("net_name")), F.when(F.col("net_name") != "", order)).alias("name"))
+    # pins are shuffled for their symbols and once more; all that follows has a row a net and sheet
+    order, has = F.struct("symbol_ord", "ord"), F.col("net_name") != ""
+    named = F.max(F.when(has, F.struct(order.alias("order"), F.col("net_name").alias("name")))).alias("named")
     place = F.struct("symbol_ord", "ord", "x", "y", "direction")
-    first = on.groupBy("doc", "net_id", "sheet").agg(F.min(place).alias("pin"))
-    other = first.select("doc", "net_id", F.col("sheet").alias("target_sheet"))
+    first = on.groupBy("doc", "net_id", "sheet").agg(F.min(place).alias("pin"), named)
+    first = first.join(power_nets.select("doc", "net_id").distinct(), ["doc", "net_id"], "left_anti")
+    nets = first.groupBy("doc", "net_id").agg(F.max("named")["name"].alias("name"), F.collect_list(F.struct("sheet", "pin")).alias("firsts")).where(F.size("firsts") > 1)
     takes = F.col("pin.direction").isin("input", "clock", "enable")
     x = F.when(takes, F.greatest(F.col("pin.x") - 140, F.lit(left))).otherwise(F.col("pin.x") + 60)
-    pairs = first.join(other, ["doc", "net_id"]).where("sheet <> target_sheet").join(names, ["doc", "net_id"])
+    each = nets.select("doc", "net_id", "name", F.col("firsts.sheet").alias("sheets"), F.explode("firsts").alias("own")).select("doc", "net_id", "name", "own.*", F.explode("sheets").alias("target_sheet"))
+    pairs = each.where("sheet <> target_sheet")
     return pairs.select("doc", "sheet", "net_id", F.coalesce("name", F.lit("")).alias("name"), "target_sheet", x.alias("x"), F.greatest(F.col("pin.y") - 10, F.lit(top)).alias("y"), F.when(takes, "input").otherwise("output").alias("direction"))
 
 
