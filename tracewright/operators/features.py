@@ -67,13 +67,12 @@ def track_ends(tracks: DataFrame) -> DataFrame:
 
 def tracks_at(tracks: DataFrame, vias: DataFrame, tolerance: float, same_side: bool = False) -> DataFrame:
     """(via_id, trace_id) of tracks with an end within the tolerance of a via."""
-    ends = track_ends(tracks).withColumn("end", F.concat_ws("@", "id", "x", "y"))
-    pairs = near_join(vias.select("id", "x", "y"), ends.select(F.col("end").alias("id"), "x", "y"), tolerance)
-    owner = ends.select(F.col("end").alias("right_id"), F.col("id").alias("trace_id"), F.col("side").alias("trace_side"))
-    found = pairs.join(owner, "right_id").select(F.col("left_id").alias("via_id"), "trace_id", "trace_side").distinct()
+    whose = F.struct("id", "side") if same_side else F.struct("id")
+    of = lambda df: df.select(whose.alias("id"), "x", "y")
+    pairs = near_join(of(vias), of(track_ends(tracks)), tolerance)  # ids go with their sides, so nothing is joined to them after
     if same_side:
-        found = found.join(vias.select(F.col("id").alias("via_id"), "side"), "via_id").where("side = trace_side")
-    return found.select("via_id", "trace_id").distinct()
+        pairs = pairs.where("left_id.side = right_id.side")
+    return pairs.select(F.col("left_id.id").alias("via_id"), F.col("right_id.id").alias("trace_id")).distinct()
 
 
 def overlapping(new: DataFrame, old: DataFrame, most: float) -> DataFrame:
