@@ -2,8 +2,9 @@
 
 A search is any value that tells one search from another; it runs in a space of places, each next to its eight
 neighbours. Places are gathered in tiles. A tile that gets better costs over its border is searched in one
-task, and hands on to its neighbours only what improves beyond its border; so a round works on the tiles that the front
-has reached, and rounds grow with the tiles that the longest best way passes through.
+task, and hands on to its neighbours what may improve beyond its border; so a round works on the tiles that the front has
+reached, and rounds grow with the tiles that the longest best way passes through. A tile that nothing improves hands on
+nothing; places are never taken out of their tiles to find that out.
 
 Costs are counts of straight and diagonal steps, so equal costs are equal exactly. Of parents that give the same cost,
 the one with the least y, then x, is taken; results do not depend on the size of tiles.
@@ -24,6 +25,8 @@ from tracewright.operators.loop import settled
 
 #: Places along the side of a tile.
 TILE = 256
+#: Reached places that a task holds before it hands tiles on.
+SLICE = 100_000
 STEPS = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
 _LEFT = "struct<tx:int,ty:int,x:int,y:int,straight:int,diagonal:int,px:int,py:int>"
 _ARRAYS = ["xs", "ys", "straights", "diagonals", "pxs", "pys"]
@@ -103,37 +106,38 @@ def distances(nodes: DataFrame, seeds: DataFrame, diagonal: float = math.sqrt(2)
     schema = f"search {kind}, tx int, ty int, {lists}, beyond array<{_LEFT}>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = pa.struct([(n, pa.int32()) for n in ("tx", "ty", "x", "y", "straight", "diagonal", "px", "py")])
         for batch in batches:
+            first, held, done = 0, 0, []
             for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                row = {c: one.column(c)[0].as_py() for c in one.schema.names if c != "search"}
-                places = {(p["x"], p["y"]) for p in row["places"] or []}
+                at = batch.column("places").slice(i, 1).flatten()
+                places = set(zip(at.field("x").to_pylist(), at.field("y").to_pylist(), strict=True))
+                row = {c: batch.column(c)[i].as_py() for c in ("tx", "ty", "arrivals", *_ARRAYS)}
                 known = {}
                 if row["xs"] is not None:
                     known = {(x, y): (s + d * diagonal, s, d, py, px) for x, y, s, d, px, py in zip(*(row[c] for c in _ARRAYS), strict=True)}
                 out = _search(places, known, row["arrivals"], diagonal, (row["tx"], row["ty"]), tile)
                 items = [(x, y, s, d, px, py) for (x, y), (_, s, d, py, px) in known.items()]
-                columns = [pa.array([[t[k] for t in items]], pa.list_(pa.int32())) for k in range(6)]
-                left = pa.struct([(n, pa.int32()) for n in ("tx", "ty", "x", "y", "straight", "diagonal", "px", "py")])
-                yield pa.RecordBatch.from_arrays([one.column("search"), one.column("tx"), one.column("ty"), *columns, pa.array([out], pa.list_(left))], names=["search", "tx", "ty", *_ARRAYS, "beyond"])
+                done.append([*([t[k] for t in items] for k in range(6)), out])
+                held += len(items)
+                if held < SLICE and i + 1 < batch.num_rows:
+                    continue
+                part = batch.slice(first, i + 1 - first)
+                columns = [pa.array([t[k] for t in done], pa.list_(pa.int32() if k < 6 else left)) for k in range(7)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in key), *columns], names=[*key, *_ARRAYS, "beyond"])
+                first, held, done = i + 1, 0, []
 
     found: DataFrame | None = None
     while True:
-        active = arrivals.groupBy(*key, "space").agg(F.collect_list("a").alias("arrivals")).join(tiles, ["space", "tx", "ty"], "left")
+        active = arrivals.groupBy(*key, "space").agg(F.collect_list("a").alias("arrivals"))
+        # seeds may lie where nothing is lit; later on there is nothing to do there
+        active = active.join(tiles, ["space", "tx", "ty"], "left" if found is None else "inner")
         before = active.withColumns({c: F.lit(None).cast("array<int>") for c in _ARRAYS}) if found is None else active.join(found, key, "left")
         ran = settled(before.select(*key, "places", "arrivals", *_ARRAYS).mapInArrow(run, schema))
-        plain = ran.select(*key, *_ARRAYS)
+        plain = ran.where(F.size("xs") > 0).select(*key, *_ARRAYS)
         found = settled(plain if found is None else found.join(plain.select(key), key, "left_anti").unionByName(plain))
         sent = ran.select("search", F.explode("beyond").alias("a")).join(spaces, "search")
-        sent = sent.select("search", "space", "a.tx", "a.ty", "a.x", "a.y", "a")
-        # what lies in no place, or is no better than what is known there, wakes no tile
-        wanted = tiles.join(sent.select("space", "tx", "ty").distinct(), ["space", "tx", "ty"], "left_semi").select("space", F.explode("places").alias("p")).select("space", "p.x", "p.y")
-        known = reached(found).select("search", "x", "y", (F.col("straight") + F.col("diagonal") * diagonal).alias("cost"), F.struct("py", "px").alias("parent"))
-        cost = F.col("a.straight") + F.col("a.diagonal") * diagonal
-        better = F.col("cost").isNull() | (cost < F.col("cost")) | ((cost == F.col("cost")) & (F.struct("a.py", "a.px") < F.col("parent")))
-        new = sent.join(wanted, ["space", "x", "y"], "left_semi").join(known, ["search", "x", "y"], "left").where(better)
-        arrivals = new.select("search", "space", "tx", "ty", F.struct(*(F.col(f"a.{c}").alias(c) for c in ("x", "y", "straight", "diagonal", "px", "py"))).alias("a"))
-        arrivals = settled(arrivals)
+        arrivals = sent.select("search", "space", "a.tx", "a.ty", F.struct(*(F.col(f"a.{c}").alias(c) for c in ("x", "y", "straight", "diagonal", "px", "py"))).alias("a"))
         if arrivals.isEmpty():
             return found
 
