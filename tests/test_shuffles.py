@@ -1,6 +1,9 @@
 """Steps that once shuffled their rows more often than the result needs."""
 
-from tracewright.operators import drawing, features
+from pyspark.sql import functions as F
+
+from tracewright.operators import drawing, features, loop
+from tracewright.plans import drawings
 
 
 def _joins(df):
@@ -23,3 +26,12 @@ def test_sheet_connectors_by_two_joins(spark):
     assert _joins(got) == 2  # symbols, power nets
     at = {1: (360.0, 290.0, "output"), 2: (360.0, 100.0, "input"), 3: (100.0, 190.0, "input")}
     assert sorted(map(tuple, got.collect())) == sorted((1, s, "n", "B", t, *at[s]) for s in at for t in at if s != t)
+
+
+def test_pins_are_dealt_by_their_number(spark, monkeypatch):
+    """Partitions of a fixed number hold more rows, and take more memory to sort, the larger the tables are."""
+    plain = drawings.drawn_pins(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(loop, "ROWS", 500, raising=False)
+    got = drawings.drawn_pins(spark, "/root/testdata/sf0.001")
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 2000 and sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))

@@ -18,7 +18,7 @@ from tracewright.functions.names import is_ground, is_power
 from tracewright.operators import wiring
 from tracewright.operators.features import function_pins
 from tracewright.operators.layout import laid_out, pin_places
-from tracewright.operators.loop import settled
+from tracewright.operators.loop import dealt, settled, tasks_for
 from tracewright.operators.parts import tiered_lookup
 from tracewright.operators.schematic import power_places, without_stubs
 
@@ -26,22 +26,23 @@ SYMBOL = ["doc", "id", "ord", "component_id", "function_name", "gate_type", "par
 PIN = ["doc", "symbol_id", "ord", "pin_number", "name", "direction", "negated", "clock", "net_id", "net_name"]
 
 
-def pads(nets: DataFrame, net_pads: DataFrame, net_vias: DataFrame) -> DataFrame:
+def pads(nets: DataFrame, net_pads: DataFrame, net_vias: DataFrame, tasks: int = 0) -> DataFrame:
     """(doc, component_id, pin, net_id, net_name) of the pins that nets hold as pads or through vias.
 
     Of several nets of a pin the last counts, by the nets' order, pads before vias; a nameless net takes no name away
-    through a via.
+    through a via. Rows are dealt over so many tasks, where the shuffle partitions are fewer.
     """
     n = nets.select("doc", "net_id", F.col("ord").alias("net_ord"), F.coalesce("name", F.lit("")).alias("net_name"))
     part = lambda df, phase: df.where("component_id <> '' AND pin <> ''").select("doc", "net_id", "component_id", "pin", F.lit(phase).alias("phase"), F.col("ord").alias("member_ord"))
-    every = part(net_pads, 0).unionByName(part(net_vias, 1)).join(n, ["doc", "net_id"])
+    every = dealt(part(net_pads, 0).unionByName(part(net_vias, 1)), tasks, "doc", "net_id").join(dealt(n, tasks, "doc", "net_id"), ["doc", "net_id"])
+    every = dealt(every, tasks, "doc", "component_id", "pin")
     order = F.struct("net_ord", "phase", "member_ord")
     name = F.max_by(F.when((F.col("phase") == 0) | (F.col("net_name") != ""), F.col("net_name")), F.when((F.col("phase") == 0) | (F.col("net_name") != ""), order))
     return every.groupBy("doc", "component_id", "pin").agg(F.max_by("net_id", order).alias("net_id"), F.coalesce(name, F.lit("")).alias("net_name"))
 
 
 def known_parts(components: DataFrame, parts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(doc, id, found_part, found_package) of components, by part and package first, else by part alone; null if unknown."""
+    """components with found_part and found_package, by part and package first, else by part alone; null if unknown."""
     wanted = components.select("part_number", "package").distinct().withColumn("id", F.struct("part_number", "package"))
     first = tiered_lookup(wanted, parts, aliases).select("part_number", "package", "id", "found_part", "found_package")
     rest = first.where("found_part IS NULL").select("id", "part_number", "package")
@@ -49,24 +50,25 @@ def known_parts(components: DataFrame, parts: DataFrame, aliases: DataFrame) ->
     found = first.where("found_part IS NOT NULL").select("part_number", "package", "found_part", "found_package").unionByName(again)
     keyed = lambda c: F.coalesce(F.col(c), F.lit(""))
     found = found.select(keyed("part_number").alias("p"), keyed("package").alias("k"), "found_part", "found_package")
-    return components.select("doc", "id", keyed("part_number").alias("p"), keyed("package").alias("k")).join(found, ["p", "k"], "left").select("doc", "id", "found_part", "found_package")
+    return components.withColumns({"p": keyed("part_number"), "k": keyed("package")}).join(found, ["p", "k"], "left").drop("p", "k")
 
 
-def _net_of(pins: DataFrame, pad: DataFrame) -> DataFrame:
+def _net_of(pins: DataFrame, pad: DataFrame, tasks: int) -> DataFrame:
     """pins with the net of their component's pad."""
+    key = ["doc", "component_id", "pad_pin"]
     p = pad.select("doc", "component_id", F.col("pin").alias("pad_pin"), "net_id", "net_name")
-    joined = pins.withColumn("pad_pin", F.col("pin_number").cast("string")).join(p, ["doc", "component_id", "pad_pin"], "left")
+    joined = dealt(pins.withColumn("pad_pin", F.col("pin_number").cast("string")), tasks, *key).join(dealt(p, tasks, *key), key, "left")
     return joined.withColumn("net_name", F.coalesce("net_name", F.lit("")))
 
 
-def symbols_and_pins(components: DataFrame, parts: DataFrame, part_pins: DataFrame, part_functions: DataFrame, aliases: DataFrame, pad: DataFrame) -> tuple[DataFrame, DataFrame]:
+def symbols_and_pins(components: DataFrame, parts: DataFrame, part_pins: DataFrame, part_functions: DataFrame, aliases: DataFrame, pad: DataFrame, tasks: int = 0) -> tuple[DataFrame, DataFrame]:
     """Symbols and pins of components: one symbol a logic function of the part, else one block with all pins.
 
     A block of an unknown part has the pins that nets name, by number. ord of a symbol is struct<group, component,
-    function>; connectors come after components.
+    function>; connectors come after components. Pins and pads are dealt over so many tasks, where the shuffle partitions are
+    fewer.
     """
-    found = known_parts(components, parts, aliases)
-    c = components.join(found, ["doc", "id"]).withColumnsRenamed({"id": "component_id", "ord": "component_ord"})
+    c = known_parts(components, parts, aliases).where("doc IS NOT NULL AND id IS NOT NULL").withColumnsRenamed({"id": "component_id", "ord": "component_ord"})
     key = [F.col("part_number").alias("found_part"), F.col("package").alias("found_package")]
     texts = parts.select(*key, "description")
     c = settled(c.join(texts, ["found_part", "found_package"], "left").withColumn("description", F.coalesce("description", F.lit(""))))
@@ -92,10 +94,14 @@ def symbols_and_pins(components: DataFrame, parts: DataFrame, part_pins: DataFra
     no = F.lit(False)
     block_pins = blocks.select("doc", "component_id", "found_part", "found_package", F.col("component_id").alias("symbol_id")).join(listed, ["found_part", "found_package"]).withColumns({"negated": no, "clock": no})
     number = F.regexp_extract("pin", r"^([+-]?\d+)", 1).try_cast("int")
-    unknown = blocks.where("found_part IS NULL").select("doc", "component_id").join(pad, ["doc", "component_id"]).select("doc", "component_id", number.alias("pin_number")).where("pin_number IS NOT NULL").distinct()
-    bare = _net_of(unknown, pad).withColumns({"symbol_id": F.col("component_id"), "ord": F.col("pin_number"), "name": F.lit(""), "negated": no, "clock": no})
-    bare = bare.withColumn("direction", F.when(is_power(F.col("net_name")), "power").otherwise("input"))
-    pins = _net_of(gate_pins, pad).select(PIN).unionByName(_net_of(block_pins, pad).select(PIN)).unionByName(bare.select(PIN))
+    key = ["doc", "component_id"]
+    unknown = dealt(blocks.where("found_part IS NULL").select(key), tasks, *key).join(dealt(pad.select(*key, "pin"), tasks, *key), key)
+    unknown = unknown.select(*key, number.alias("pin_number")).where("pin_number IS NOT NULL").distinct()
+    bare = unknown.withColumns({"symbol_id": F.col("component_id"), "ord": F.col("pin_number"), "name": F.lit(""), "direction": F.lit(None).cast("string"), "negated": no, "clock": no})
+    plain = ["component_id", *(c for c in PIN if c not in ("net_id", "net_name"))]
+    # the net's name tells the direction of a bare pin
+    pins = _net_of(gate_pins.select(plain).unionByName(block_pins.select(plain)).unionByName(bare.select(plain)), pad, tasks)
+    pins = pins.withColumn("direction", F.coalesce("direction", F.when(is_power(F.col("net_name")), "power").otherwise("input"))).select(PIN)
     return of_gates.unionByName(of_blocks), pins
 
 
@@ -181,8 +187,9 @@ def generated(components: DataFrame, parts: DataFrame, part_pins: DataFrame, par
     Without stubs, connectors on nets with no other pin are left out, though not the ports of their pins, which then
     have no place. Parts and nets without rows, and docs without components, give empty tables.
     """
-    pad = settled(pads(nets, net_pads, net_vias))
-    of_parts, part_rows = symbols_and_pins(components, parts, part_pins, part_functions, aliases, pad)
+    tasks = tasks_for(nets, net_pads.count() + net_vias.count())
+    pad = settled(pads(nets, net_pads, net_vias, tasks))
+    of_parts, part_rows = symbols_and_pins(components, parts, part_pins, part_functions, aliases, pad, tasks)
     of_edge, edge_rows = connector_symbols(connectors, board_pins, nets)
     symbols, pins = settled(of_parts.unionByName(of_edge)), settled(part_rows.unionByName(edge_rows))
     ports = settled(power_ports(nets, symbols, pins))

@@ -18,3 +18,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt by keys over all shuffle partitions, for work by groups that takes long over few bytes: a plain shuffle of
     few bytes is drawn together into a task or two."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+#: Rows that a task sorts for a join or a group.
+ROWS = 250_000
+
+
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """How many tasks so many rows take, ROWS each; the shuffle partitions at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+
+
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """df dealt by keys over so many tasks if a plain shuffle has fewer: its partitions grow with the rows, these do not."""
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
