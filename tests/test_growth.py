@@ -205,3 +205,20 @@ def test_netlist_of_pins_on_several_nets(spark):
         ("A", 0): "A:", ("A", 1): "  pin 1    [one] -> A-1-x, A-1-x, B-2", ("A", 2): "  pin 1-x  [one] -> A-1, A-1-x, B-2", ("A-1", 0): "A-1:", ("A-1", 1): "  pin x    [one] -> A-1, A-1-x, B-2",
         ("B", 0): "B:", ("B", 1): "  pin 2    [one] -> A-1, A-1-x, A-1-x", ("C", 0): "C:", ("C", 1): "  pin 10   [three] -> (no connections)",
     }
+
+
+def test_coarse_match_without_pairs(spark):
+    """The same as the greedy choice of all pairs, with ties, equal places and gaps."""
+    draw = random.Random(5)
+    side = lambda far, least: [(n, i + least, (draw.randrange(40) if n else draw.randrange(6000)) * (0.25 if n else 0.01) + far + (900 if n == 2 and i % 2 else 0)) for n in range(3) for i in draw.sample(range(1000 * n, 1000 * n + 90), 55 + n)]
+    f, b = (spark.createDataFrame(rows, "board int, id long, x double") for rows in (side(0, 0), side(70, 5)))
+    want = near.greedy_match(alignment.coarse_pairs(f, b, 2.0)).collect()
+    got = alignment.coarse_match(f, b, 2.0).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 80
+
+
+def test_coarse_match_of_contacts_at_one_place(spark):
+    """A million pairs, of which rounds of the greedy choice took one each."""
+    side = lambda odd: spark.range(1000).selectExpr("1 AS board", f"id * 2 + {odd} AS id", "id % 2 * 1.0D AS x")
+    got = {(r.left_id, r.right_id) for r in alignment.coarse_match(side(0), side(1), 5.0).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(1000)}

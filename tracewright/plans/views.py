@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import geometry, names
 from tracewright.operators import alignment, features, nets, packages, pixels, schematic, selecting, training
-from tracewright.operators.near import greedy_match, thinned
+from tracewright.operators.near import thinned
 from tracewright.plans.inputs import points, table
 from tracewright.plans.layout import _PIXELS, _pixels
 
@@ -198,7 +198,7 @@ def coarse_contacts(spark, d):
     """Contacts of two sides by their place from the mean, one to one."""
     s = table(spark, d, "supplier")
     side = lambda far, odd: s.where(F.col("s_suppkey") % 2 == odd).select((F.col("s_nationkey") % 4).alias("board"), F.col("s_suppkey").alias("id"), (F.col("s_acctbal") + far).alias("x"))
-    m = greedy_match(alignment.coarse_pairs(side(0, 0), side(5000, 1), 300.0))
+    m = alignment.coarse_match(side(0, 0), side(5000, 1), 300.0)
     return m.select("left_id", "right_id", F.round("dist", 6).alias("dist"))
 
 
