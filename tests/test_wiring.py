@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,3 +210,37 @@ def test_kept_wires_stand(spark):
     path = wiring.routed(wiring.edges(wiring.net_pins(pins)), points, lines).first()
     assert path.clear and [tuple(q) for q in path.points] == [(0.0, 0.0), (0.0, -10.0), (100.0, -10.0), (100.0, 0.0)]
     assert points.where(F.col("net_id") == "b").count() == 2
+
+
+def test_small_sheets_are_routed_in_tasks(spark):
+    """Rounds of jobs over all sheets took minutes for a few thousand of them."""
+    k = "id % 20"
+    pins = spark.range(40_000).selectExpr("id div 20 AS sheet", "concat('n', id * 7 % 11 % 6) AS net_id", "id", f"({k} div 10) * 250.0D AS x", f"{k} % 10 * 40.0D AS y", f"if({k} < 10, 'output', 'input') AS direction")
+    points, lines = wiring.standing(pins)
+    began = time.perf_counter()
+    wires = wiring.routed(wiring.edges(wiring.net_pins(pins)), points, lines)
+    n = pins.groupBy("sheet", "net_id").count().agg(F.sum(F.col("count") - 1)).head()[0]
+    assert wires.count() == n and wiring.faults(wires.where("clear"), points).where("kind = 'point'").count() == 0
+    assert time.perf_counter() - began < 90
+
+
+def test_large_and_odd_sheets_go_by_joins(spark, monkeypatch):
+    """A large sheet and one with a missing place by joins, a small one by tasks: all as one after the other."""
+    rng = random.Random(5)
+    pins, odd = crowded(rng, "a", 2, 3, 2) + crowded(rng, "b", 2, 2, 2), [("c", "n", f"c{i}", None if i == 2 else 50.0 * i, 10.0 * i, "input") for i in range(3)]
+    df = spark.createDataFrame(pins + odd, "sheet string, net_id string, id string, x double, y double, direction string")
+    points, lines = wiring.standing(df)
+    by_joins = []
+    joins = wiring._routed_by_joins
+    monkeypatch.setattr(wiring, "_routed_by_joins", lambda *frames: by_joins.extend(r.sheet for r in frames[0].select("sheet").distinct().collect()) or joins(*frames))
+    monkeypatch.setattr(wiring, "WHOLE", 16)
+    wires = wiring.routed(wiring.edges(wiring.net_pins(df.where("x IS NOT NULL"))), points, lines)
+    got = {(r.sheet, r.net_id, r.from_id, r.to_id): [tuple(q) for q in r.points] for r in wires.collect()}
+    assert got == by_hand(pins + odd[:2], []) and sorted(by_joins) == ["a", "c"]
+
+
+def test_ids_of_structs(spark):
+    """Ids may be structs, whose missing fields come first."""
+    pins = spark.sql("SELECT * FROM VALUES (1, 'n', named_struct('k', 1, 'name', 'b'), 0D, 0D, 'input'), (1, 'n', named_struct('k', 1, 'name', NULL), 9D, 0D, 'input'), (1, 'n', named_struct('k', 0, 'name', 'z'), 50D, 0D, 'input') AS t(sheet, net_id, id, x, y, direction)")
+    got = [(tuple(r.from_id), tuple(r.to_id)) for r in wiring.edges(wiring.net_pins(pins)).orderBy("ord").collect()]
+    assert got == [((1, None), (1, "b")), ((0, "z"), (1, None))]

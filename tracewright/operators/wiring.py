@@ -4,22 +4,29 @@ Sheets are independent; a sheet is any value that tells it from all others. On a
 more pins first, then by id, and in a net by the length of its tree's edges. An edge takes the cheapest path that no
 pin, sheet connector or power stub blocks, and no wire of an edge before it.
 
-All edges choose at once, seen against the wires that the last round laid for the edges before them, until no path
+Sheets of up to WHOLE rows are dealt over all tasks, which lay a sheet's wires one after the other. Of larger sheets all
+edges choose at once, seen against the wires that the last round laid for the edges before them, until no path
 changes. Then each edge has chosen against the final wires of those before it, as if they had been laid one by one;
 the first edge of a sheet is right after one round, and a round reads only edges behind one that has just changed.
-Which obstacles a path meets is an equi-join on the line that a segment lies on.
+Which obstacles a path meets is an equi-join on the line that a segment lies on. Both give the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.functions.geometry import point, snapped
 from tracewright.functions.routing import ALONG, BEND, EPSILON, NARROW, TRUNKS, WIDE, channels, direct_paths, escapes, manhattan, on_segment, run_together, segment, tidy
+from tracewright.operators import routes
+from tracewright.operators.layout import whole
 from tracewright.operators.loop import settled, spread
 
 #: Width of a line's bucket; segments within EPSILON of its border belong to two.
@@ -28,6 +35,8 @@ BUCKET = 4.0
 SHEET_PINS = 20_000
 #: Nets of up to so many pins have their edges sorted.
 FEW = 16
+#: Rows of a sheet (edges and what stands) up to which a task lays its wires, in time that grows with their square.
+WHOLE = 5_000
 Edge = ["sheet", "ord"]
 
 
@@ -77,6 +86,12 @@ def _tree(x: list[float], y: list[float]) -> list[tuple[float, int, int]]:
     return sorted(edges)
 
 
+def _in_order(v: object) -> object:
+    """A key that orders values as Spark does, nulls first, also those of structs."""
+    parts = v.values() if isinstance(v, dict) else v if isinstance(v, tuple) else None
+    return v if parts is None else tuple((p is not None, _in_order(p)) for p in parts)
+
+
 def _sheet_trees(pdf: pd.DataFrame) -> pd.DataFrame:
     """The edges of all nets of a sheet, numbered."""
     nets: dict = {}
@@ -86,7 +101,7 @@ def _sheet_trees(pdf: pd.DataFrame) -> pd.DataFrame:
     for net, pins in sorted(nets.items(), key=lambda n: (-len(n[1]), n[0])):
         if len(pins) > SHEET_PINS:
             raise ValueError(f"a net has {len(pins)} pins on one sheet, more than {SHEET_PINS}")
-        pins.sort(key=lambda p: p[:3])
+        pins.sort(key=lambda p: (_in_order(p[0]), *p[1:3]))
         ids, x, y, ways = zip(*pins)
         for _, i, j in _tree(x, y):
             rows.append((sheet, net, ids[i], ids[j], x[i], y[i], x[j], y[j], ways[i], ways[j], len(rows) + 1))
@@ -217,11 +232,60 @@ def _escaping(todo: DataFrame, points: DataFrame, lines: DataFrame) -> DataFrame
 def routed(todo: DataFrame, points: DataFrame, lines: DataFrame) -> DataFrame:
     """(sheet, ord, net_id, from_id, to_id, points, clear) of edges, see edges(), among what stands, see standing().
 
-    clear says whether the path touches nothing foreign; an edge without such a path gets the plain one. Rounds grow
-    with the longest chain of edges on a sheet that change each other's path.
+    clear says whether the path touches nothing foreign; an edge without such a path gets the plain one.
     """
-    before = F.lit(0).cast("int")
     todo = settled(todo)
+    parts = [(todo, "least(a.x, a.y, b.x, b.y)", "greatest(a.x, a.y, b.x, b.y)", "a.x + a.y + b.x + b.y"), (points, "least(p.x, p.y)", "greatest(p.x, p.y)", "p.x + p.y"), (lines, "least(s.x1, s.y1, s.x2, s.y2)", "greatest(s.x1, s.y1, s.x2, s.y2)", "s.x1 + s.y1 + s.x2 + s.y2")]
+    # missing and endless places compare otherwise in tasks
+    odd = lambda least, most, total: F.expr(f"coalesce(isnan({total}) OR {least} = double('-infinity') OR {most} = double('infinity') OR {total} IS NULL, true)")
+    every = reduce(DataFrame.unionAll, (df.select("sheet", odd(*at).alias("odd")) for df, *at in parts))
+    n = every.where("sheet IS NOT NULL").groupBy("sheet").agg(F.count("*").alias("n"), F.max("odd").alias("odd"))
+    large = settled(n.where((F.col("n") > WHOLE) | F.col("odd")).select("sheet"))
+    if large.isEmpty():
+        return settled(_routed_in_tasks(todo, points, lines))
+    small, rest = ([df.join(large.hint("merge"), "sheet", how) for df in (todo, points, lines)] for how in ("left_anti", "left_semi"))
+    return settled(_routed_in_tasks(*small)).unionByName(_routed_by_joins(settled(rest[0]), *rest[1:]))
+
+
+def _routed_in_tasks(todo: DataFrame, points: DataFrame, lines: DataFrame) -> DataFrame:
+    """routed() of sheets that fit a task."""
+    kept = ["sheet", "ord", "net_id", "from_id", "to_id"]
+    ends = ["x1", "y1", "x2", "y2"]
+    flags = ["out_a", "out_b", "in_b"]
+    empty = [F.lit(None).cast(todo.schema[c].dataType).alias(c) for c in kept[2:]]
+    no = [F.lit(False).alias(c) for c in flags]
+    is_ = lambda c, way: F.coalesce(F.col(c) == way, F.lit(False))
+    own = todo.select(*kept, F.lit(0).alias("kind"), F.col("net_id").cast("string").alias("net"), *(F.col(c) for c in ("a.x", "a.y", "b.x", "b.y")), is_("from_direction", "output"), is_("to_direction", "output"), is_("to_direction", "input"))
+    tips = points.select("sheet", F.lit(0), *empty, F.lit(1), F.col("net_id").cast("string"), "p.x", "p.y", "p.x", "p.y", *no)
+    legs = lines.select("sheet", F.lit(0), *empty, F.lit(2), F.col("net_id").cast("string"), *(f"s.{c}" for c in ends), *no)
+    every = own.unionAll(tips).unionAll(legs).toDF(*kept, "kind", "net", *ends, *flags).where("sheet IS NOT NULL")
+    w = W.partitionBy("sheet")
+    every = spread(every, "sheet").withColumn("number", F.when(F.coalesce("net", F.lit("")) != "", F.dense_rank().over(w.orderBy("net"))).otherwise(0))
+    # the last order is that of the rows in a task: a sheet's edges as they are laid, then what stands
+    every = every.withColumn("begins", F.row_number().over(w.orderBy("kind", "ord")) == 1).drop("net")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole(batches):
+            get = {c: table[c].to_numpy() for c in ("kind", "begins", *ends, *flags)} | {"net": table["number"].to_numpy().astype(np.int64)}
+            first = np.flatnonzero(get["begins"])
+            paths = []
+            for low, high in zip(first, [*first[1:], table.num_rows]):
+                edge, tip, leg = (low + np.flatnonzero(get["kind"][low:high] == k) for k in range(3))
+                places = lambda at, names: (get["net"][at], np.array([get[c][at] for c in names]))  # noqa: B023, E731
+                paths += routes.laid({c: get[c][edge] for c in ("net", *ends, *flags)}, places(tip, ends[:2]), places(leg, ends))
+            offsets = np.cumsum([0, *(len(x) for x, _, _ in paths)])
+            x, y = (np.concatenate([p[i] for p in paths]) if paths else np.empty(0) for i in (0, 1))
+            rows = table.select(kept).take(np.flatnonzero(get["kind"] == 0))
+            path = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"]))
+            yield from pa.Table.from_arrays([*rows.columns, path, pa.array([p[2] for p in paths], pa.bool_())], names=[*kept, "points", "clear"]).to_batches()
+
+    return every.mapInArrow(run, todo.select(*kept, F.array("a").alias("points"), F.lit(True).alias("clear")).schema)
+
+
+def _routed_by_joins(todo: DataFrame, points: DataFrame, lines: DataFrame) -> DataFrame:
+    """routed() of settled edges of large sheets. Rounds grow with the longest chain of edges on a sheet that change each
+    other's path."""
+    before = F.lit(0).cast("int")
     points, lines = (settled(df.withColumn("ord", before)) for df in (points, lines))
     narrow = _tried(todo, NARROW)
     laid: DataFrame | None = None
