@@ -233,7 +233,7 @@ def test_large_and_odd_sheets_go_by_joins(spark, monkeypatch):
     by_joins = []
     joins = wiring._routed_by_joins
     monkeypatch.setattr(wiring, "_routed_by_joins", lambda *frames: by_joins.extend(r.sheet for r in frames[0].select("sheet").distinct().collect()) or joins(*frames))
-    monkeypatch.setattr(wiring, "WHOLE", 16)
+    monkeypatch.setattr(wiring, "WHOLE", 14)
     wires = wiring.routed(wiring.edges(wiring.net_pins(df.where("x IS NOT NULL"))), points, lines)
     got = {(r.sheet, r.net_id, r.from_id, r.to_id): [tuple(q) for q in r.points] for r in wires.collect()}
     assert got == by_hand(pins + odd[:2], []) and sorted(by_joins) == ["a", "c"]
