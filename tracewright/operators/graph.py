@@ -13,11 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.operators.lookup import Keep, hot_keys, looked_up
-from tracewright.operators.loop import settled, spread
-
+from tracewright.operators.loop import dealt, settled, spread, tasks_for
 
 #: Edges that a task holds before it draws them together.
 HELD = 1_000_000
+#: Links up to which rounds take over.
+LINKS = 1_000_000
 
 
 def _drawn_together(a: pa.Array, b: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -63,15 +64,28 @@ def components(edges: DataFrame, keep: Keep = settled) -> DataFrame:
     """(node, root) for edges (a, b): root is the smallest node reachable. A null end is no edge.
 
     Each task first draws its own edges together, so that a node is shuffled once a task that meets it; the roots of one
-    node in several tasks are then linked, and only these links go through rounds. keep cuts the lineage of a round.
+    node in several tasks are then linked. While these links are many, tasks draw them together in turn, dealt by their
+    roots; the last few go through rounds. keep cuts the lineage of a level or a round.
     """
     known = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
     if not all(f.dataType.typeName() in ("string", "long", "integer") for f in known.schema):
         return rounds(known, keep)
-    tops = keep(_within_tasks(known).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"), F.collect_set("b").alias("roots")))
-    links = tops.where(F.size("roots") > 1).select(F.explode("roots").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
-    lower = rounds(links, keep).select(F.col("node").alias("root"), F.col("root").alias("top")).where("root <> top")
-    return keep(looked_up(tops.select("node", "root"), "root", lower, "left", keep=keep).select("node", F.coalesce("top", "root").alias("root")))
+    return keep(_levels(_within_tasks(known), known.count(), keep))
+
+
+def _levels(stars: DataFrame, rows: int, keep: Keep) -> DataFrame:
+    """components() of stars (a, b): nodes and what they reach in some task, of that many links."""
+    tops = dealt(stars, tasks_for(stars, rows), "a").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"), F.collect_set("b").alias("roots"))
+    row = lambda node, link: F.struct(node.alias("node"), F.col("root"), F.lit(link).alias("link"))
+    others = F.filter("roots", lambda r: r != F.col("root"))
+    told = keep(tops.select(F.explode(F.concat(F.array(row(F.col("node"), False)), F.transform(others, lambda r: row(r, True)))).alias("t")).select("t.*"))
+    labels, links = told.where("NOT link").select("node", "root"), told.where("link").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    left = links.count()
+    # links become fewer by a level, as each node but the least of a star leaves
+    few = left <= LINKS or left >= rows
+    lower = rounds(links.distinct(), keep) if few else keep(_levels(_within_tasks(links.repartition(tasks_for(links, left), "b")), left, keep))
+    lower = lower.select(F.col("node").alias("root"), F.col("root").alias("top")).where("root <> top")
+    return looked_up(labels, "root", lower, "left", keep=keep).select("node", F.coalesce("top", "root").alias("root"))
 
 
 def rounds(edges: DataFrame, keep: Keep = settled) -> DataFrame:

@@ -6,20 +6,31 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.names import base_name, better_name, is_power, net_priority
 from tracewright.operators.graph import components, layers
+from tracewright.operators.lookup import looked_up
+from tracewright.operators.loop import stored
 from tracewright.operators.near import dense_filter, greedy_match, near_join, nearest, nearest_k, thinned, vote_peak
 from tracewright.operators.nets import disambiguated, net_statistics, pin_connections
 from tracewright.operators.schematic import bus_families, sheet_connectors
-from tracewright.plans.inputs import DIST, EDGES, POINTS, SIDES, part_supplier_edges, points, sides, table
+from tracewright.plans.inputs import DIST, EDGES, POINTS, SIDES, node_name, numbered_edges, part_supplier_edges, points, sides, table
 
 TOLERANCE = 1.0
 
 
 def net_components(spark, d):
-    return components(part_supplier_edges(spark, d))
+    """Numbers take the place of names while components are found, as they are a fraction of these on disk."""
+    edges = numbered_edges(spark, d)
+    if edges is None:
+        return components(part_supplier_edges(spark, d), stored)
+    of = components(edges, stored)
+    roots = stored(of.groupBy("root").agg(F.min(node_name(F.col("node"))).alias("name")))
+    return looked_up(of, "root", roots, keep=stored).select(node_name(F.col("node")).alias("node"), F.col("name").alias("root"))
 
 
 def component_sizes(spark, d):
-    return components(part_supplier_edges(spark, d)).groupBy("root").agg(F.count("*").alias("size"))
+    edges = numbered_edges(spark, d)
+    if edges is None:
+        return components(part_supplier_edges(spark, d), stored).groupBy("root").agg(F.count("*").alias("size"))
+    return components(edges, stored).groupBy("root").agg(F.min(node_name(F.col("node"))).alias("name"), F.count("*").alias("size")).select(F.col("name").alias("root"), "size")
 
 
 def _order_pins(spark, d):

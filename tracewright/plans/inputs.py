@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,4 +35,20 @@ def part_supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.concat_ws(".", F.concat(F.lit("p"), "l_partkey"), year).alias("a"), F.concat_ws(".", F.concat(F.lit("s"), "l_suppkey"), year).alias("b"))
 
 
+def numbered_edges(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """part_supplier_edges with numbers for names, see node_name; None where a key or a year is missing or too large for that."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.year("l_shipdate").alias("year"))
+    fits = F.col("l_partkey").between(0, 2**47) & F.col("l_suppkey").between(0, 2**47) & F.col("year").between(1, 9999)
+    if not lines.where(~F.coalesce(fits, F.lit(False))).isEmpty():
+        return None
+    number = lambda key, side: (F.col(key).cast("long") * 32768 + F.col("year") * 2 + side)
+    return lines.select(number("l_partkey", 0).alias("a"), number("l_suppkey", 1).alias("b"))
+
+
+def node_name(node: Column) -> Column:
+    """The name of a node of numbered_edges: p1.1994 or s1.1994."""
+    key, year, side = F.shiftright(node, 15), F.shiftright(node.bitwiseAND(32767), 1), node.bitwiseAND(1)
+    return F.concat_ws(".", F.concat(F.when(side == 1, "s").otherwise("p"), key), year)
+
+
 EDGES = "edges AS (SELECT DISTINCT 'p' || l_partkey || '.' || year(l_shipdate) AS a, 's' || l_suppkey || '.' || year(l_shipdate) AS b FROM lineitem)"
