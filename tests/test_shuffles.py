@@ -35,3 +35,10 @@ def test_pins_are_dealt_by_their_number(spark, monkeypatch):
     got = drawings.drawn_pins(spark, "/root/testdata/sf0.001")
     sizes = got.groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in sizes) < 2000 and sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_nets_are_shuffled_and_parts_broadcast(spark):
+    """Nets look small behind an explode, and were broadcast; few parts that many components have were hot keys of a shuffle."""
+    plan = drawings.drawn_pins(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    keys = [line.split("Join [")[1].split("]")[0] for line in plan.split("\n") if "BroadcastHashJoin [" in line]
+    assert not [k for k in keys if k.startswith(("doc", "l_orderkey"))] and "SortMergeJoin [found_part" not in plan

@@ -18,6 +18,7 @@ from tracewright.functions.names import is_ground, is_power
 from tracewright.operators import wiring
 from tracewright.operators.features import function_pins
 from tracewright.operators.layout import laid_out, pin_places
+from tracewright.operators.lookup import SMALL
 from tracewright.operators.loop import dealt, settled, tasks_for
 from tracewright.operators.parts import tiered_lookup
 from tracewright.operators.schematic import power_places, without_stubs
@@ -30,17 +31,23 @@ def pads(nets: DataFrame, net_pads: DataFrame, net_vias: DataFrame, tasks: int =
     """(doc, component_id, pin, net_id, net_name) of the pins that nets hold as pads or through vias.
 
     Of several nets of a pin the last counts, by the nets' order, pads before vias; a nameless net takes no name away
-    through a via. Rows are dealt over so many tasks, where the shuffle partitions are fewer.
+    through a via. Rows are dealt over so many tasks, where the shuffle partitions are fewer. Nets may look small enough to
+    broadcast when they are not, so the join is a shuffle join.
     """
     n = nets.select("doc", "net_id", F.col("ord").alias("net_ord"), F.coalesce("name", F.lit("")).alias("net_name"))
     part = lambda df, phase: df.where("component_id <> '' AND pin <> ''").select("doc", "net_id", "component_id", "pin", F.lit(phase).alias("phase"), F.col("ord").alias("member_ord"))
-    every = dealt(part(net_pads, 0).unionByName(part(net_vias, 1)), tasks, "doc", "net_id").join(dealt(n, tasks, "doc", "net_id"), ["doc", "net_id"])
+    every = dealt(part(net_pads, 0).unionByName(part(net_vias, 1)), tasks, "doc", "net_id").join(dealt(n, tasks, "doc", "net_id").hint("merge"), ["doc", "net_id"])
     every = dealt(every, tasks, "doc", "component_id", "pin")
     order = F.struct("net_ord", "phase", "member_ord")
     name = F.max_by(F.when((F.col("phase") == 0) | (F.col("net_name") != ""), F.col("net_name")), F.when((F.col("phase") == 0) | (F.col("net_name") != ""), order))
     return every.groupBy("doc", "component_id", "pin").agg(F.max_by("net_id", order).alias("net_id"), F.coalesce(name, F.lit("")).alias("net_name"))
 
 
+def _counted(library: DataFrame) -> DataFrame:
+    """library, to be broadcast if it has up to SMALL rows."""
+    return F.broadcast(library) if library.limit(SMALL + 1).count() <= SMALL else library.hint("merge")
+
+
 def known_parts(components: DataFrame, parts: DataFrame, aliases: DataFrame) -> DataFrame:
     """components with found_part and found_package, by part and package first, else by part alone; null if unknown."""
     wanted = components.select("part_number", "package").distinct().withColumn("id", F.struct("part_number", "package"))
@@ -57,7 +64,7 @@ def _net_of(pins: DataFrame, pad: DataFrame, tasks: int) -> DataFrame:
     """pins with the net of their component's pad."""
     key = ["doc", "component_id", "pad_pin"]
     p = pad.select("doc", "component_id", F.col("pin").alias("pad_pin"), "net_id", "net_name")
-    joined = dealt(pins.withColumn("pad_pin", F.col("pin_number").cast("string")), tasks, *key).join(dealt(p, tasks, *key), key, "left")
+    joined = dealt(pins.withColumn("pad_pin", F.col("pin_number").cast("string")), tasks, *key).join(dealt(p, tasks, *key).hint("merge"), key, "left")
     return joined.withColumn("net_name", F.coalesce("net_name", F.lit("")))
 
 
@@ -66,18 +73,18 @@ def symbols_and_pins(components: DataFrame, parts: DataFrame, part_pins: DataFra
 
     A block of an unknown part has the pins that nets name, by number. ord of a symbol is struct<group, component,
     function>; connectors come after components. Pins and pads are dealt over so many tasks, where the shuffle partitions are
-    fewer.
+    fewer. A library of few rows is broadcast by their number, so that a part with very many components is no hot key.
     """
     c = known_parts(components, parts, aliases).where("doc IS NOT NULL AND id IS NOT NULL").withColumnsRenamed({"id": "component_id", "ord": "component_ord"})
     key = [F.col("part_number").alias("found_part"), F.col("package").alias("found_package")]
-    texts = parts.select(*key, "description")
+    texts = _counted(parts.select(*key, "description"))
     c = settled(c.join(texts, ["found_part", "found_package"], "left").withColumn("description", F.coalesce("description", F.lit(""))))
     ord_of = lambda f: F.struct(F.lit(0).alias("group"), F.col("component_ord").cast("long").alias("component"), f.cast("long").alias("function"))
     fn = part_functions.select(*key, F.col("ord").alias("f"), F.col("name").alias("function_name"), F.col("type").alias("gate_type"))
-    gates = c.join(fn, ["found_part", "found_package"])
+    gates = c.join(_counted(fn), ["found_part", "found_package"])
     gate_id = F.concat_ws("-", "component_id", "function_name")
     of_gates = gates.withColumn("id", gate_id).withColumn("ord", ord_of(F.col("f"))).select(SYMBOL)
-    blocks = c.join(fn.select("found_part", "found_package").distinct(), ["found_part", "found_package"], "left_anti")
+    blocks = c.join(_counted(fn.select("found_part", "found_package").distinct()), ["found_part", "found_package"], "left_anti")
     of_blocks = blocks.withColumns({"id": F.col("component_id"), "ord": ord_of(F.lit(0)), "function_name": F.lit(""), "gate_type": F.lit("BLOCK")}).select(SYMBOL)
 
     names = part_pins.groupBy(*key, F.col("number").alias("pin_number")).agg(F.min_by("name", "ord").alias("name"))
@@ -85,17 +92,17 @@ def symbols_and_pins(components: DataFrame, parts: DataFrame, part_pins: DataFra
     roles = roles.join(names, ["found_part", "found_package", "pin_number"], "left").withColumn("name", F.coalesce("name", F.lit("")))
     slashed = F.col("name").startswith("/")
     negated = F.when(F.col("direction").isin("input", "enable"), slashed).when(F.col("direction") == "output", slashed | F.col("name").startswith("~")).otherwise(False)
-    gate_pins = gates.select("doc", "component_id", "found_part", "found_package", "function_name", gate_id.alias("symbol_id")).join(roles, ["found_part", "found_package", "function_name"])
+    gate_pins = gates.select("doc", "component_id", "found_part", "found_package", "function_name", gate_id.alias("symbol_id")).join(_counted(roles), ["found_part", "found_package", "function_name"])
     gate_pins = gate_pins.withColumns({"ord": F.col("place"), "negated": negated, "clock": F.col("direction") == "clock"})
 
     way = F.lower("direction")
     side = F.when(way == "output", "output").when(way.isin("power", "ground"), "power").otherwise("input")
     listed = part_pins.select(*key, "ord", F.col("number").alias("pin_number"), "name", side.alias("direction"))
     no = F.lit(False)
-    block_pins = blocks.select("doc", "component_id", "found_part", "found_package", F.col("component_id").alias("symbol_id")).join(listed, ["found_part", "found_package"]).withColumns({"negated": no, "clock": no})
+    block_pins = blocks.select("doc", "component_id", "found_part", "found_package", F.col("component_id").alias("symbol_id")).join(_counted(listed), ["found_part", "found_package"]).withColumns({"negated": no, "clock": no})
     number = F.regexp_extract("pin", r"^([+-]?\d+)", 1).try_cast("int")
     key = ["doc", "component_id"]
-    unknown = dealt(blocks.where("found_part IS NULL").select(key), tasks, *key).join(dealt(pad.select(*key, "pin"), tasks, *key), key)
+    unknown = dealt(blocks.where("found_part IS NULL").select(key), tasks, *key).join(dealt(pad.select(*key, "pin"), tasks, *key).hint("merge"), key)
     unknown = unknown.select(*key, number.alias("pin_number")).where("pin_number IS NOT NULL").distinct()
     bare = unknown.withColumns({"symbol_id": F.col("component_id"), "ord": F.col("pin_number"), "name": F.lit(""), "direction": F.lit(None).cast("string"), "negated": no, "clock": no})
     plain = ["component_id", *(c for c in PIN if c not in ("net_id", "net_name"))]

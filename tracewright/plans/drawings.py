@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import drawing, lattice, layout, wiring
 from tracewright.operators.alignment import sampled_rigid
-from tracewright.operators.loop import dealt, tasks_for
+from tracewright.operators.loop import dealt, stored, tasks_for
 from tracewright.plans.inputs import table
 
 SIDE = 25
@@ -77,7 +77,7 @@ def _boards(spark, d):
     net = table(spark, d, "customer").select(F.col("c_custkey").alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("ord"))
     nets = net.select("doc", F.concat(F.lit("n"), "ord").alias("net_id"), "ord", F.when(F.col("ord") == 6, "GND").when(F.col("ord") == 5, "").otherwise(F.concat(F.lit("D"), "ord")).alias("name"))
     tasks = tasks_for(lines, lines.count())
-    on = dealt(lines.select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity"), tasks, "l_orderkey").join(dealt(o.select("o_orderkey", "o_custkey"), tasks, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    on = dealt(lines.select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity"), tasks, "l_orderkey").join(dealt(o.select("o_orderkey", "o_custkey"), tasks, "o_orderkey").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     held = lambda df, key: df.select(F.col("o_custkey").alias("doc"), F.concat(F.lit("n"), F.col(key) % 7).alias("net_id"), F.col("l_linenumber").alias("ord"), name.alias("component_id"), F.col("l_linenumber").cast("string").alias("pin"))
     return components, parts, pins, functions.unionByName(second), aliases, nets, held(on, "l_suppkey"), held(on.where("l_quantity > 25"), "l_partkey"), tasks
 
@@ -85,7 +85,7 @@ def _boards(spark, d):
 def drawn_pins(spark, d):
     """The pins of all symbols of all boards, with their nets."""
     components, parts, pins, functions, aliases, nets, net_pads, net_vias, tasks = _boards(spark, d)
-    pad = drawing.pads(nets, net_pads, net_vias, tasks)
+    pad = stored(drawing.pads(nets, net_pads, net_vias, tasks))  # read twice
     _, rows = drawing.symbols_and_pins(components, parts, pins, functions, aliases, pad, tasks)
     return rows.select("doc", "symbol_id", F.col("pin_number").cast("int").alias("pin_number"), F.col("ord").cast("int").alias("place"), "name", "direction", "negated", F.coalesce("net_id", F.lit("")).alias("net_id"), "net_name")
 
